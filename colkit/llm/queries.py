@@ -33,8 +33,31 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    model = fit(docs.where(~held_out))
+    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "coverage")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from .bpe import decode, encode
+
+    if tokenizer_path is None:
+        import public_tokenizers
+
+        tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    both = decode(encode(table(spark, sf_dir, "documents"), tokenizer_path), tokenizer_path)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
+    "op9_language_id": op9_language_id,
+    "op10_bpe": op10_bpe,
 }

@@ -1,0 +1,26 @@
+import random
+
+import numpy as np
+import pytest
+
+from colkit.llm.bpe import Encoder, Tables
+
+P = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
+
+
+def texts():
+    rnd = random.Random(5)
+    pools = ["abc", "aA1 .,\n\t'", "éèüñß ", "   　\x85\x1c\x0b", "你好世界안녕", "🙈👍🏽‍", "'s't're 'LL", "0123456789²½Ⅷ٣"]
+    out = ["", " ", "a", "aaaaaaa", "a" * 3001, "<|endoftext|>", "x<|endoftext|> y<|endoftext|><|endoftext|>", "don't we'll I'M", "  two   spaces  \n\n end  "]
+    for _ in range(400):
+        out.append("".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(1, 60))))
+    return out
+
+
+def test_same_ids_as_the_library():
+    path = P.path("byte_bpe_50k.json")
+    own, lib = Encoder(Tables(path)), tokenizers.Tokenizer.from_file(path)
+    lib.no_truncation(), lib.no_padding()
+    for text, ids in zip(texts(), own(texts()), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids, text
