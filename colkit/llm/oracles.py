@@ -1,3 +1,57 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP1 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM q
+"""
+
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+), g AS (
+  SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+"""
+
+_SIZES = r"""
+sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || 'mix') AS turn FROM documents
+), named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source
+), weighed AS (
+  SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS weight, 2 * source_size AS cap FROM named
+), level AS (
+  SELECT *, cap / weight AS ratio,
+    (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / sum(weight) OVER after AS level
+  FROM weighed
+  WINDOW before AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    after AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), targets AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce((SELECT arg_min(level, ratio) FROM level WHERE level <= ratio), 1e300) * weight) AS target FROM level
+), queued AS (
+  SELECT s.doc_id, s.turn, s.size, t.source_size, t.target,
+    sum(s.size) OVER (PARTITION BY s.source ORDER BY s.turn, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS sent
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), tags AS (
+  SELECT doc_id, turn, size, (sent + k * source_size) / target AS finish FROM queued, (SELECT unnest([0, 1]) AS k) WHERE size > 0
+), running AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, turn, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM tags
+)
+"""
+
+OP6 = f"""
+WITH {_SIZES}, mixed AS (
+  SELECT doc_id, count(*) AS passes FROM running WHERE upto <= (SELECT 1.5 * sum(size) FROM sizes) GROUP BY doc_id
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * coalesce(passes, 0) AS BIGINT) AS taken FROM queued LEFT JOIN mixed USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op4_exact_dedup": OP4, "op6_mix_sources": OP6}
