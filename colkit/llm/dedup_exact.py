@@ -6,8 +6,8 @@
 * compaction: ``fanout`` runs at a time are merged, keeping smallest identifiers and adding
   counts, until one level is left;
 * filter: a bit set of bounded size tells which texts can be hits before any text is shuffled;
-* hits: rows whose digest the index holds for another row are verified byte by byte against the text of
-  the row that stays; what differs (a collision) is grouped by the text itself.
+* hits: the texts of rows whose digest the index holds for another row are verified byte by byte, by each
+  group's least and greatest text; where these differ (a collision) the text itself makes the groups.
 
 At scale: only (row, digest) travels for most rows; texts travel for hits alone.
 Groups are pre-aggregated before each shuffle; joins on the digest are between written tables, so the
@@ -105,15 +105,11 @@ def exact_dedup(
     groups = written(index.where("n > 1"), "lsm-groups")
     found = rows.join(groups, "digest", "left")
 
-    # byte verification of the hits
-    hits = written(found.where("n > 1").select("digest", "doc_id", "text_sha256", "rid", "keep"), "lsm-hits")
-    bodies = written(_might_hold(source.select("doc_id", "body", key(F.col("body")).cast("string").alias("digest")), groups), "lsm-bodies")
-    wanted = groups.select("digest", F.col("keep.doc_id").alias("keep_id"))
-    stays = written(bodies.join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("stay_body")), "lsm-stay")
-    unequal = written(bodies.join(stays, "digest").where(F.col("body") != F.col("stay_body")).select("digest", sha256(F.col("body")).alias("text_sha256"), "body"), "lsm-unequal")
-    if not unequal.isEmpty():  # digests collide: there the texts themselves make the groups
-        mixed = written(unequal.select("digest").distinct(), "lsm-mixed")
-        again = hits.join(mixed, "digest").groupBy("digest", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")).alias("keep2"), F.count("*").alias("n2"))
+    # byte verification of the hits: a group's texts are equal if its least and its greatest are
+    bodies = _might_hold(source.select("body", key(F.col("body")).cast("string").alias("digest")), groups)
+    mixed = written(bodies.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest")).where("least <> greatest").select("digest"), "lsm-mixed")
+    if not mixed.isEmpty():  # digests collide: there the texts themselves make the groups
+        again = rows.join(mixed, "digest").groupBy("digest", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")).alias("keep2"), F.count("*").alias("n2"))
         found = found.join(written(again, "lsm-again"), ["digest", "text_sha256"], "left").withColumns({"keep": F.coalesce("keep2", "keep"), "n": F.coalesce("n2", "n")})
     return found.select(
         "doc_id",
