@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import WORD, columns, partitions, written
 
 #: Rows that one block of a queue should hold.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 
 
 def word_count(text) -> F.Column:

@@ -29,6 +29,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), width=4, threshold=(85, 100))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup_exact import exact_dedup
 
@@ -70,6 +76,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
