@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,19 @@ def columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in wanted.items()])
 
 
+def chunks(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes: int = 1_000_000) -> Iterator[tuple[pa.Array, list]]:
+    """(first column, texts of the second) in chunks that hold one text or a bounded number of bytes."""
+    for batch in batches:
+        texts = batch.column(1)
+        lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        at = size = 0
+        for k, length in enumerate(lengths):
+            size += length
+            if size >= most_bytes or k + 1 - at >= most_rows or k + 1 == len(lengths):
+                yield batch.column(0).slice(at, k + 1 - at), texts.slice(at, k + 1 - at).to_pylist()
+                at, size = k + 1, 0
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b long), as rows (id, label); label is the smallest id reached.
 

@@ -26,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, components, written
+from .common import chunks, columns, components, written
 
 SLACK, CELLS = 2, 3
 #: Documents a bucket of signatures stands for; nodes in a row of a packed group.
 BUCKET_DOCS, PACK = 3000, 1 << 16
 #: Bits of the filter for candidate nodes: 4 MB.
 FILTER_BITS = 1 << 25
-_CHARS = 1_000_000
 _U = np.uint64
 
 
@@ -62,7 +61,7 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     b = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
     if len(_POWERS.get("up", ())) <= b.size:
-        size = max(2 * _CHARS, 1 << int(b.size + 1).bit_length())
+        size = max(1 << 21, 1 << int(b.size + 1).bit_length())
         _POWERS["up"], _POWERS["down"] = _powers(_BASE, size), _powers(_INVERSE, size)
     blank = _SPACE[b]
     edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
@@ -154,18 +153,6 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(sigs), np.concatenate(sets)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most_rows: int = 2000) -> Iterator[tuple[pa.Array, list]]:
-    """(ids, texts) of bounded size."""
-    for batch in batches:
-        texts = batch.column(1)
-        at = chars = 0
-        for k in range(batch.num_rows):
-            chars += len(texts[k].as_py() or "") if texts[k].is_valid else 0
-            if chars >= _CHARS or k + 1 - at >= most_rows or k + 1 == batch.num_rows:
-                yield batch.column(0).slice(at, k + 1 - at), texts.slice(at, k + 1 - at).to_pylist()
-                at, chars = k + 1, 0
-
-
 def _pairs_of_bucket(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """(distinct pairs with hubs, groups of three and more as (hub, nodes)) of a bucket's signatures."""
     order = np.lexsort((node, sig))
@@ -213,7 +200,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
-        for _, texts in _chunks(batches):
+        for _, texts in chunks(batches):
             flat, sizes = shingle_sets(texts, width)
             ids = set_ids(flat, sizes).view(np.int64)
             at = np.mod(ids, FILTER_BITS)
@@ -249,7 +236,7 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches):
+        for ids, texts in chunks(batches):
             flat, sizes = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(set_ids(flat, sizes).view(np.int64))], names=["doc_id", "n_shingles", "node"])
 
@@ -257,7 +244,7 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     n_buckets = buckets or max(64, table.count() // BUCKET_DOCS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches):
+        for _, texts in chunks(batches):
             flat, sizes = shingle_sets(texts, width)
             ids = set_ids(flat, sizes)
             # copies in the batch travel once
@@ -270,7 +257,7 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
             sig, of, bucket = (sig[order] >> _U(32)).astype(np.uint32), of[order], bucket[order]
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if bucket.size else np.zeros(0, dtype=np.int64)
             out = []
-            for a, e in zip(edges.tolist(), [*edges[1:].tolist(), bucket.size], strict=True):
+            for a, e in zip(edges.tolist(), [*edges[1:].tolist(), bucket.size], strict=False):
                 who, times = np.unique(of[a:e], return_counts=True)
                 out.append((int(bucket[a]), ids[who].tobytes(), times.astype(np.uint32).tobytes(), sig[a:e].tobytes()))
             if out:
