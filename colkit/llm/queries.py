@@ -53,6 +53,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import fit, predict
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
+    "op8_nearest": op8_nearest,
     "op9_language_id": op9_language_id,
     "op10_bpe": op10_bpe,
 }
