@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, columns, components, written
+from .hashing import BASE, digests, mix, powers
 
 SLACK, CELLS = 2, 3
 #: Documents a bucket of signatures stands for; nodes in a row of a packed group.
@@ -36,38 +37,18 @@ FILTER_BITS = 1 << 25
 _U = np.uint64
 
 
-def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
-    h = h ^ _U(salt)
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, A-Z lower-cased, and how many each text has."""
     parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     b = np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8)
-    if len(_POWERS.get("up", ())) <= b.size:
-        size = max(1 << 21, 1 << int(b.size + 1).bit_length())
-        _POWERS["up"], _POWERS["down"] = _powers(_BASE, size), _powers(_INVERSE, size)
     blank = _SPACE[b]
     edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    total = np.r_[_U(0), np.cumsum(mix(b.astype(np.uint64)) * _POWERS["up"][: b.size], dtype=np.uint64)]
-    h = mix((total[ends] - total[starts]) * _POWERS["down"][starts] + (ends - starts).astype(np.uint64))
+    h = digests(b, starts, ends)
     limits = np.cumsum([len(p) + 1 for p in parts])
     return h, np.diff(np.r_[0, np.searchsorted(starts, limits)])
 
@@ -91,7 +72,7 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
         if not few:
             sets.append(np.unique(s[a : e - width + 1]))
         elif e > a:
-            sets.append(mix(np.array([sum(int(x) for x in mix(h[a:e], 97) * _powers(_BASE, e - a)) & (2**64 - 1)], dtype=np.uint64), e - a))
+            sets.append(mix(np.array([sum(int(x) for x in mix(h[a:e], 97) * powers(BASE, e - a)) & (2**64 - 1)], dtype=np.uint64), e - a))
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
     return (np.concatenate(sets) if sets else s[:0]), np.array([x.size for x in sets], dtype=np.int64)

@@ -29,6 +29,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_components
 
@@ -82,6 +88,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
