@@ -179,3 +179,19 @@ def predict(docs: DataFrame, model: Filter, *, id_col: str = "doc_id", text_col:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, coverage double")
+
+
+def keep_determined(docs: DataFrame, model: Filter, *, text_col: str = "text", min_coverage: float = 0.2) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text has letters and at least ``min_coverage`` of its n-grams in one language."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(0, batch.num_rows, 500):
+                n, share = held.value.score(batch.column(at).slice(k, 500).to_pylist())
+                keep.append((n > 0) & (share.max(axis=1, initial=0.0) >= min_coverage))
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)

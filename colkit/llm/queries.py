@@ -15,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> F.Column:
+    """crc32 of doc_id as text, modulo n: the folds of the learning queries (null for a null id, which is never learned from)."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -47,6 +52,15 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import learn, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(5) == 0
+    model = learn(docs, labels.where(~held_out))
+    return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -69,9 +83,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import fit, predict
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    held_out = remainder(4) == 2
     model = fit(docs.where(~held_out))
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "coverage")
+    return predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "coverage")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
@@ -91,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality": op5_quality,
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_nearest": op8_nearest,

@@ -1,6 +1,71 @@
-STAGES = []
-ORACLE_SQL = None
+"""A pipeline from raw documents to token ids: five stages, each a written table that the next one reads.
 
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the next stage's docs.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colkit.llm import bpe, dedup_exact, lang_id, mixing, ngram_join
+from colkit.llm.common import written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the corpus's own labels teach; texts without letters and of unknown language go."""
+    return lang_id.keep_determined(docs, lang_id.fit(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal up to white space: that with the smallest doc_id."""
+    kept = dedup_exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    digest = dedup_exact.sha256(dedup_exact.normalise(F.col("text")))
+    rows = docs.withColumn("__own", digest)
+    same = rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    return rows.join(written(kept, "pipeline-exact"), same, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates (five words, similarity 0.8): that with the smallest doc_id."""
+    found = ngram_join.similar_components(docs, width=5, threshold=(80, 100))
+    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"))
+    return docs.join(written(kept, "pipeline-near"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a document that the mix takes twice is two rows, one that it does not take is none."""
+    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    taken = written(taken.groupBy("__id").agg(F.max("__times").alias("__times")), "pipeline-mix")
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256): the token ids, and the digest of the text that they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("ngram_jaccard_join", near),
+    ("mix_sources", mixed),
+    ("bpe", tokens),
+]
+
+#: Signature joins, merge rounds and the language filter are beyond SQL: the stages are tested against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
