@@ -8,13 +8,14 @@ in ``k`` shingles at most, some partition holds one difference at most, and a su
 ``SLACK`` more partitions than that needs make signatures of empty subsets unnecessary, but for sets that
 have more than ``SLACK`` partitions with an empty subset.
 
-Nodes that share a signature are paired with one of them, the hub, only.  All pairs are verified by the sets' real
-intersection.  A node whose pair with a hub fails, and that no other link puts in the hub's component, is then
-compared with all nodes of the hub's groups.  So no link between components is lost, and a group of
-near copies costs as many pairs as it has members.
+Nodes that share a signature are paired with one of them, the hub, only.  The components of these candidate pairs are
+families: all similar pairs are inside of them.  A family's sets come together in blocks; in a block, sets of
+different components are compared, by sketches that cannot lose a similar pair and then by their real
+intersection.  Where a family fills several blocks, nodes outside of its largest component are compared with
+all its blocks.  So no link between components is lost, no pairs are written, and a group of near copies costs as many rows as it has members.
 
 At scale: signatures are packed in a row per batch and bucket, deduplicated before the shuffle; copies of a set in one batch travel once.
-The number of buckets grows with the input.  Sets travel only for nodes in candidate pairs, found by a bit filter of bounded size.
+The number of buckets grows with the input.  Sets travel only for nodes in families, found by a bit filter of bounded size.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .common import chunks, columns, components, written
 from .hashing import BASE, digests, mix, powers
 
 SLACK, CELLS = 2, 3
-#: Documents a bucket of signatures stands for; nodes in a row of a packed group.
-BUCKET_DOCS, PACK = 3000, 1 << 16
+#: Documents a bucket of signatures stands for; nodes of a family that are compared in one task.
+BUCKET_DOCS, BLOCK = 3000, 1000
 #: Bits of the filter for candidate nodes: 4 MB.
 FILTER_BITS = 1 << 25
 _U = np.uint64
@@ -134,8 +135,8 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(sigs), np.concatenate(sets)
 
 
-def _pairs_of_bucket(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(distinct pairs with hubs, groups of three and more as (hub, nodes)) of a bucket's signatures."""
+def _pairs_of_bucket(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Distinct pairs of nodes with their groups' hubs."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])] if sig.size else np.zeros(0, dtype=bool)
@@ -147,20 +148,61 @@ def _pairs_of_bucket(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, lis
     node, sizes = node[inside], sizes[many]
     starts = np.cumsum(sizes) - sizes
     if not node.size:
-        return np.zeros((0, 2), dtype=np.int64), []
+        return np.zeros((0, 2), dtype=np.int64)
     # the hub is the node that stands in most of the bucket's groups, so that few hubs serve all groups
     values, at, times = np.unique(node, return_inverse=True, return_counts=True)
     group = np.repeat(np.arange(sizes.size), sizes)
     best = np.lexsort((node, -times[at], group))[starts]
     hub = node[best][group]
     off = node != hub
-    a, b = np.minimum(node, hub)[off], np.maximum(node, hub)[off]
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-    large: dict[tuple[int, bytes], np.ndarray] = {}
-    for k in np.flatnonzero(sizes > 2).tolist():
-        members = node[starts[k] : starts[k] + sizes[k]]
-        large[(int(hub[starts[k]]), members.tobytes())] = members
-    return pairs, [(h, m) for (h, _), m in large.items()]
+    return np.unique(np.stack([node[off], hub[off]], axis=1), axis=0)
+
+
+class Sets:
+    """Some nodes' sets, with parity sketches: a bit per hash value, flipped by each shingle that has it.
+
+    Two sketches differ in at most as many bits as the sets differ in shingles, so a pair whose sketches differ in more
+    than its bound cannot be similar; what passes is decided by the real intersection.
+    """
+
+    def __init__(self, items: list[np.ndarray], num: int, den: int):
+        self.items, self.num, self.den = items, num, den
+        self.sizes = np.array([x.size for x in items], dtype=np.int64)
+
+    def sketch(self, bits: int) -> np.ndarray:
+        of = np.repeat(np.arange(self.sizes.size), self.sizes)
+        at = (mix(np.concatenate(self.items), 0x5CE7) % _U(bits)).astype(np.int64) if self.sizes.size else of
+        odd = np.zeros((self.sizes.size, bits), dtype=np.uint8)
+        np.bitwise_xor.at(odd, (of, at), np.uint8(1))
+        return np.packbits(odd, axis=1).view(np.uint64)
+
+    def similar(self, i: int, other: Sets, j: int) -> bool:
+        both = np.intersect1d(self.items[i], other.items[j], assume_unique=True).size
+        return both * self.den >= (self.items[i].size + other.items[j].size - both) * self.num
+
+    def candidates(self, i: int, own: np.ndarray, other: Sets, theirs: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Those of ``among`` that sizes and sketches allow."""
+        total = self.sizes[i] + other.sizes[among]
+        differ = np.bitwise_count(theirs[among] ^ own[i]).sum(axis=1, dtype=np.int64)
+        return among[differ * (self.num + self.den) <= total * (self.den - self.num)]
+
+
+def sketch_bits(*sets: Sets) -> int:
+    most = max((int(s.sizes.max()) for s in sets if s.sizes.size), default=64)
+    return min(8192, max(256, 1 << (most - 1).bit_length()))
+
+
+def roots_of(sets: Sets) -> np.ndarray:
+    """Each set's component by similarity: the number of a set of its component."""
+    n = len(sets.items)
+    root = np.arange(n)
+    sketch = sets.sketch(sketch_bits(sets)) if n > 1 else None
+    for i in range(n - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1  # what is connected already need not be compared
+        for j in sets.candidates(i, sketch, sets, sketch, rest).tolist():
+            if root[j] != root[i] and sets.similar(i, sets, j):
+                root[root == root[j]] = root[i]
+    return root
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
@@ -173,11 +215,9 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, with ok = true, and the others."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = spark.sparkContext.broadcast(_filter_bits(nodes))
+def _sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, ...) -> the same and items: the sets of ``nodes``, from one more pass over the texts."""
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -190,18 +230,69 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int)
             first = np.zeros(ids.size, dtype=bool)
             first[np.unique(ids, return_index=True)[1]] = True
             take = np.flatnonzero((keep == 1) & (sizes > 0) & first)
-            parts = [flat[ends[k] - sizes[k] : ends[k]] for k in take.tolist()]
-            offsets = np.r_[0, np.cumsum(sizes[take])].astype(np.int32)
-            values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array([flat[ends[k] - sizes[k] : ends[k]].tobytes() for k in take.tolist()], pa.binary())], names=["node", "items"])
+
+    found = docs.mapInArrow(sets, "node bigint, items binary")
+    return found.join(nodes.hint("merge"), "node").dropDuplicates(["node"])
+
+
+def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, family, node, items) -> links (a, b) that connect each family's components within each key."""
+
+    def link(group: pa.Table) -> pa.Table:
+        family, node = group.column("family").to_numpy(), group.column("node").to_numpy()
+        items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
+        order = np.lexsort((node, family))
+        edges = np.flatnonzero(np.r_[True, np.diff(family[order]) != 0, True])
+        a, b = [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mine = order[lo:hi]
+            root = roots_of(Sets([items[k] for k in mine.tolist()], num, den))
+            off = root != np.arange(root.size)
+            a.append(node[mine[off]])
+            b.append(node[mine[root[off]]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    found = docs.mapInArrow(sets, "node bigint, items array<bigint>")
-    wanted = written(nodes.distinct(), "join-nodes")
-    sets_of = written(found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "join-sets")
-    a, b = sets_of.select(F.col("node").alias("a"), F.col("items").alias("x")), sets_of.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    common = F.size(F.array_intersect("x", "y")).cast("long")
-    ok = common * den >= (F.size("x") + F.size("y") - common) * num
-    return written(pairs.join(a, "a").join(b, "b").select("a", "b", ok.alias("ok")), "join-verified")
+    return sets.select("key", "family", "node", "items").groupBy("key").applyInArrow(link, "a bigint, b bigint")
+
+
+def _across(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Links between the blocks of families that fill several: None if none can be missing.
+
+    Two nodes in different components are not both in their family's largest one, so the nodes outside of it (few, in a group
+    of near copies) meet all blocks of their family.
+    """
+    named = sets.where("blocks > 1").select("family", "node", "block", "blocks").join(labels.hint("merge"), F.col("node") == F.col("id"), "left")
+    named = written(named.select("family", "node", "block", "blocks", F.coalesce("label", "node").alias("label")), "join-named")
+    parts = named.groupBy("family", "label").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
+    largest = parts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.first("blocks").alias("blocks"))
+    mixed = written(largest.where("top.n < all").select("family", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("lots"), F.col("blocks").alias("n_blocks")), "join-mixed")
+    if mixed.isEmpty():
+        return None
+    members = named.join(mixed, "family")
+    rows = written(sets.select("node", "items").join(members, "node"), "join-members")
+    lot = F.pmod(F.xxhash64("node"), F.col("lots")).cast("int")
+    outside = rows.where("label <> top").select("family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), lot.alias("lot"), "node", "label", "items")
+    inside = rows.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "node", "label", "items")
+
+    def cross(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            x, y = (Sets([np.frombuffer(v, np.uint64) for v in t.column("items").to_pylist()], num, den) for t in (left, right))
+            bits = sketch_bits(x, y)
+            own, theirs = x.sketch(bits), y.sketch(bits)
+            label, node = right.column("label").to_numpy(), right.column("node").to_numpy()
+            for i, (name, mine) in enumerate(zip(left.column("node").to_pylist(), left.column("label").to_pylist(), strict=True)):
+                done = {mine}
+                for j in x.candidates(i, own, y, theirs, np.flatnonzero(label != mine)).tolist():
+                    if label[j] not in done and x.similar(i, y, j):
+                        done.add(label[j])
+                        a.append(name)
+                        b.append(int(node[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    keys = ("family", "block", "lot")
+    return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(cross, "a bigint, b bigint")
 
 
 def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -249,47 +340,24 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
         for who, times, sig in zip(*(group.column(c).to_pylist() for c in ("nodes", "times", "sigs")), strict=True):
             nodes.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(times, np.uint32)))
             sigs.append(np.frombuffer(sig, np.uint32))
-        pairs, large = _pairs_of_bucket(np.concatenate(sigs), np.concatenate(nodes))
-        packs = [(h, m[k : k + PACK].tobytes()) for h, m in large for k in range(0, m.size, PACK)]
-        return pa.table(
-            {
-                "a": pa.array([*pairs[:, 0].tolist(), *(h for h, _ in packs)], pa.int64()),
-                "b": pa.array([*pairs[:, 1].tolist(), *(None for _ in packs)], pa.int64()),
-                "members": pa.array([*(None for _ in range(len(pairs))), *(m for _, m in packs)], pa.binary()),
-            }
-        )
-
-    met = rows.mapInArrow(emit, "bucket bigint, nodes binary, times binary, sigs binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, members binary")
-    met = written(met, "join-met")
-    pairs = written(met.where("members is null").select("a", "b").distinct(), "join-pairs")
-    checked = _verified(pairs, rows, width, num, den)
-    links = checked.where("ok").select("a", "b")
+        pairs = _pairs_of_bucket(np.concatenate(sigs), np.concatenate(nodes))
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    met = rows.mapInArrow(emit, "bucket bigint, nodes binary, times binary, sigs binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    # families: all nodes that any signature, over however many steps, brings together
+    families = components(written(met, "join-met"))
+    sizes = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = families.select(F.col("id").alias("node"), F.col("label").alias("family")).join(written(sizes, "join-sizes").hint("merge"), "family")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    #: small families share keys, large ones have a key per block
+    key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_buckets)))
+    placed = written(placed.select("node", "family", "blocks", block.alias("block"), key.alias("key")), "join-placed")
+    sets = written(_sets_of(placed, rows, width), "join-sets")
+    links = written(_linked(sets, num, den), "join-links")
     labels = components(links)
-
-    # nodes that failed with a hub of another component: compare them with all of the hub's groups
-    la, lb = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    failed = checked.where("not ok").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    groups = met.where("members is not null").select(F.col("a").alias("hub"), "members")
-    sides = failed.select(F.col("a").alias("hub"), F.col("b").alias("node")).union(failed.select(F.col("b").alias("hub"), F.col("a").alias("node")))
-    sides = written(sides.join(groups.select("hub").distinct(), "hub", "left_semi"), "join-failed")
-    if not sides.isEmpty():
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for node, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    m = np.frombuffer(members, np.int64)
-                    if m.size < PACK and not (m == node).any():
-                        continue  # the node is in another group of this hub
-                    m = m[m != node]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(m, node)), pa.array(np.maximum(m, node))], names=["a", "b"])
-
-        more = sides.join(groups, "hub").select("node", "members").mapInArrow(compare, "a bigint, b bigint").distinct()
-        more = more.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "join-more")
-        if not more.isEmpty():
-            found = _verified(more, rows, width, num, den).where("ok").select("a", "b")
-            if not found.isEmpty():
-                labels = components(links.union(found))
+    more = _across(sets, labels, num, den)
+    if more is not None:
+        labels = components(links.union(written(more, "join-across")))
 
     named = written(table.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "join-labels")
     first = written(named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first")), "join-first")

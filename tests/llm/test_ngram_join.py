@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from colkit.llm import ngram_join
 from colkit.llm.ngram_join import similar_components
 
 
@@ -46,12 +49,13 @@ def corpus():
     return rows
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("width,num,den,block", [(4, 85, 100, 1000), (5, 80, 100, 3)])
+def test_components_equal_brute_force(spark, monkeypatch, width, num, den, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks: families fill several
     rows = corpus()
-    for width, num, den in ((4, 85, 100), (5, 80, 100)):
-        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(df, width=width, threshold=(num, den), buckets=5).collect()}
-        assert got == brute(rows, width, num, den)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(df, width=width, threshold=(num, den), buckets=5).collect()}
+    assert got == brute(rows, width, num, den)
 
 
 def test_empty_table_and_clashing_columns(spark):
