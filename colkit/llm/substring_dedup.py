@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .cdc import chunk_texts
 from .common import chunks, columns, written
 
-MIN_WORDS, MIN_RUN_WORDS = 50, 12
+MIN_WORDS, MIN_RUN_WORDS = 50, 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
