@@ -11,19 +11,28 @@ if ROOT not in sys.path:
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
-@pytest.fixture(scope="session")
-def spark():
+def pytest_configure(config):
+    """The session starts before test modules are imported: they build columns at module level."""
     shared = tempfile.mkdtemp(prefix="colkit-tests-")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "3g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", f"file://{shared}/checkpoints")
         .config("spark.sql.warehouse.dir", f"{shared}/warehouse")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    session.sparkContext.setLogLevel("OFF")
+    config.colkit_session = session
+
+
+def pytest_unconfigure(config):
+    config.colkit_session.stop()
+
+
+@pytest.fixture(scope="session")
+def spark(pytestconfig):
+    return pytestconfig.colkit_session
