@@ -8,7 +8,7 @@ in ``k`` shingles at most, some partition holds one difference at most, and a su
 ``SLACK`` more partitions than that needs make signatures of empty subsets unnecessary, but for sets that
 have more than ``SLACK`` partitions with an empty subset.
 
-Nodes that share a signature are paired with one of them, the hub, only.  The components of these candidate pairs are
+Nodes that share a signature are connected inside their bucket, and a pair per node and bucket leaves it.  The components of these pairs are
 families: all similar pairs are inside of them.  A family's sets come together in blocks; in a block, sets of
 different components are compared, by sketches that cannot lose a similar pair and then by their real
 intersection.  Where a family fills several blocks, nodes outside of its largest component are compared with
@@ -135,8 +135,24 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(sigs), np.concatenate(sets)
 
 
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n - 1 and edges (a, b): the smallest node that each reaches."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _pairs_of_bucket(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Distinct pairs of nodes with their groups' hubs."""
+    """Pairs of a node and the smallest node that the bucket's signatures connect it with."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])] if sig.size else np.zeros(0, dtype=bool)
@@ -149,13 +165,12 @@ def _pairs_of_bucket(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
     starts = np.cumsum(sizes) - sizes
     if not node.size:
         return np.zeros((0, 2), dtype=np.int64)
-    # the hub is the node that stands in most of the bucket's groups, so that few hubs serve all groups
-    values, at, times = np.unique(node, return_inverse=True, return_counts=True)
-    group = np.repeat(np.arange(sizes.size), sizes)
-    best = np.lexsort((node, -times[at], group))[starts]
-    hub = node[best][group]
-    off = node != hub
-    return np.unique(np.stack([node[off], hub[off]], axis=1), axis=0)
+    values, at = np.unique(node, return_inverse=True)
+    # nodes are sorted in a group: its first one is the hub; the smallest of all is the same in most buckets
+    hub = np.repeat(at[starts], sizes)
+    root = values[least_reachable(values.size, at, hub)]
+    off = values != root
+    return np.stack([values[off], root[off]], axis=1)
 
 
 class Sets:
