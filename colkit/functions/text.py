@@ -23,7 +23,7 @@ def literal(pat: str) -> str:
 
 
 def java_regex(pat: str, case: bool = True) -> str:
-    """A Python pattern in the JVM's syntax: named groups, ``\\Z``, ``$`` and Unicode classes."""
+    """A Python pattern in the JVM's syntax: named groups, ``\\Z``, ``$`` Unicode classes, only line feeds end lines."""
     out, i, in_class = [], 0, False
     while i < len(pat):
         two = pat[i : i + 2]
@@ -46,7 +46,7 @@ def java_regex(pat: str, case: bool = True) -> str:
             in_class = (pat[i] == "[") or (in_class and pat[i] != "]")
             out.append(pat[i])
             i += 1
-    return ("(?U)" if case else "(?iuU)") + "".join(out)
+    return ("(?dU)" if case else "(?diuU)") + "".join(out)
 
 
 def java_replacement(repl: str) -> str:
