@@ -54,4 +54,70 @@ WITH {_SIZES}, mixed AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * coalesce(passes, 0) AS BIGINT) AS taken FROM queued LEFT JOIN mixed USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op4_exact_dedup": OP4, "op6_mix_sources": OP6}
+OP3 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles FROM words
+), items AS (
+  SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS h FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM sets
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, m.component_id FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON s.doc_id = m.x
+"""
+
+
+def _op7() -> str:
+    from .queries import URL_RULES
+    from .url_filter import LEVELS, MIN_SUPPORT, REJECT, SMOOTHING, VARIABLE, Z_LIMIT
+
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
+    fits = [(v, r, f"(host = '{r.partition('/')[0]}' OR suffix(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')") for v, r in rules]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for _, r, c in fits) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for v, _, c in fits) + " END"
+    sql = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut
+), parsed AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts
+), judged AS (
+  SELECT *, {rule} AS rule, {ruled} AS ruled, string_split(path, '/') AS p FROM parsed
+), pieces AS (
+  SELECT *, list_transform(list_filter(CASE WHEN len(p) > {LEVELS + 1} THEN list_append(p[1:{LEVELS}], array_to_string(p[{LEVELS + 1}:], '/')) ELSE p END, lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{VARIABLE}') THEN '*' ELSE s END) AS segs FROM judged
+), t0 AS (
+  SELECT host, segs, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS blocked, '' AS template FROM pieces GROUP BY host, segs
+)"""
+    for k in range(LEVELS + 1):
+        sql += f""", k{k} AS (
+  SELECT host, template, segs[{k + 1}] AS seg, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t{k} WHERE segs[{k + 1}] IS NOT NULL GROUP BY ALL
+), r{k} AS (
+  SELECT *, sum(labelled) OVER w - labelled AS rest_n, sum(blocked) OVER w - blocked AS rest_b FROM k{k} WINDOW w AS (PARTITION BY host, template)
+), s{k} AS (
+  SELECT *, (blocked + rest_b) / nullif(CAST(labelled + rest_n AS DOUBLE), 0) AS p, blocked / nullif(CAST(labelled AS DOUBLE), 0) - rest_b / nullif(CAST(rest_n AS DOUBLE), 0) AS gap, 1.0 / nullif(CAST(labelled AS DOUBLE), 0) + 1.0 / nullif(CAST(rest_n AS DOUBLE), 0) AS per FROM r{k}
+), l{k} AS (
+  SELECT host, template, seg FROM s{k} WHERE seg <> '*' AND ((labelled >= {MIN_SUPPORT} AND coalesce(p * (1.0 - p) * per > 0 AND gap * gap > {Z_LIMIT * Z_LIMIT!r} * (p * (1.0 - p) * per), false)) OR (labelled = 0 AND n >= {MIN_SUPPORT}))
+), t{k + 1} AS (
+  SELECT t.host, t.segs, t.n, t.labelled, t.blocked, CASE WHEN t.segs[{k + 1}] IS NULL THEN t.template ELSE t.template || '/' || CASE WHEN l.seg IS NOT NULL THEN l.seg ELSE '*' END END AS template
+  FROM t{k} t LEFT JOIN l{k} l ON t.host = l.host AND t.template = l.template AND t.segs[{k + 1}] = l.seg
+)"""
+    t = f"t{LEVELS + 1}"
+    return sql + f""", base AS (
+  SELECT coalesce(sum(blocked) / nullif(CAST(sum(labelled) AS DOUBLE), 0), 0) AS base FROM {t}
+), by_host AS (
+  SELECT host, (sum(blocked) + {SMOOTHING} * any_value(base)) / (sum(labelled) + {SMOOTHING}) AS host_purity FROM {t}, base GROUP BY host
+), by_template AS (
+  SELECT host, template, (sum(blocked) + {SMOOTHING} * any_value(host_purity)) / (sum(labelled) + {SMOOTHING}) AS purity FROM {t} JOIN by_host USING (host) GROUP BY host, template
+)
+SELECT page_id, j.host, j.path, j.rule, coalesce(j.ruled, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM pieces j JOIN {t} t ON j.host = t.host AND j.segs = t.segs JOIN by_template b ON b.host = t.host AND b.template = t.template
+"""
+
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_ngram_join": OP3, "op4_exact_dedup": OP4, "op6_mix_sources": OP6, "op7_url_filter": _op7()}

@@ -24,7 +24,7 @@ from .common import columns, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments that vary from page to page: digits with an optional extension, hexadecimal identifiers.
-VARIABLE = r"^([0-9]+(\.[A-Za-z0-9]+)?|[0-9a-fA-F-]{16,})$"
+VARIABLE = r"^([0-9]+(\.[A-Za-z0-9]+)?|[0-9a-fA-F-]{16,})\z"
 #: Levels of the tree; what lies deeper in a path is one last segment.
 LEVELS = 4
 MIN_SUPPORT, Z_LIMIT, SMOOTHING, REJECT = 5, 2.58, 2.0, 0.8
