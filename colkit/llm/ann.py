@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import Scratch, columns, written
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 4, 6, 2.0, 80, 7
 BLOCK = 2000
@@ -116,55 +116,56 @@ def search(
             data = flat.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[8 * a : 8 * e] for a, e in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["vec_id", "vec"])
 
-    rows = written(rows.mapInArrow(packed, "vec_id bigint, vec binary"), "ann-rows")
-    # classes of equal vectors, each with its smallest ids; the limit on ranks is applied before the shuffle, too
-    ranked = rows.select("vec_id", "vec", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id")).alias("n")).where(F.col("n") <= k + 1)
-    classes = written(ranked.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "vec"), "ann-classes")
-    asked = written(rows.where(F.col("vec_id") % every == 0).dropDuplicates(), "ann-queries")
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, x in _matrices(batch):
-                a, b = projections(x.shape[1], tables, hashes, width, seed)
-                part, u = batch.take(pa.array(at)), unit(x)
-                for t in range(tables):
-                    key = _key(t, x.shape[1], np.floor((u @ a[t] + b[t]) / width))
-                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column("cls"), part.column("vec")], names=["key", "cls", "vec"])
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, x in _matrices(batch):
-                a, b = projections(x.shape[1], tables, hashes, width, seed)
-                u = unit(x)
-                keys, who = [], []
-                for t in range(tables):
-                    p = u @ a[t] + b[t]
-                    h = np.floor(p / width)
-                    low = p - h * width
-                    for i in range(at.size):
-                        steps = list(probe_steps(low[i], width, probes))
-                        moved = np.repeat(h[i][None, :], len(steps), axis=0)
-                        for r, step in enumerate(steps):
-                            for j, d in step:
-                                moved[r, j] += d
-                        keys.append(_key(t, x.shape[1], moved))
-                        who.append(np.full(len(steps), at[i]))
-                part = batch.take(pa.array(np.concatenate(who)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("vec_id"), part.column("vec")], names=["key", "query_id", "vec"])
-
-    entries = written(classes.select("cls", "vec").mapInArrow(index, "key bigint, cls bigint, vec binary"), "ann-index")
-    visits = written(asked.repartition(F.col("vec_id")).mapInArrow(probe, "key bigint, query_id bigint, vec binary"), "ann-visits")
-    found = written(_meet(entries, visits, k), "ann-found")
-    best = _ranked(found, classes, k)
-    best = written(best, "ann-best")
-    # too few found: exact search over all blocks
-    short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select(F.lit(0).cast("long").alias("key"), F.col("vec_id").alias("query_id"), "vec")
-    short = written(short, "ann-short")
-    if short.isEmpty():
-        return best
-    every_class = classes.select(F.lit(0).cast("long").alias("key"), "cls", "vec")
-    exact = _ranked(written(_meet(every_class, short, k), "ann-exact"), classes, k)
-    return best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact)
+    with Scratch(vectors.sparkSession) as scratch:
+        rows = written(rows.mapInArrow(packed, "vec_id bigint, vec binary"), "ann-rows")
+        # classes of equal vectors, each with its smallest ids; the limit on ranks is applied before the shuffle, too
+        ranked = rows.select("vec_id", "vec", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id")).alias("n")).where(F.col("n") <= k + 1)
+        classes = written(ranked.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "vec"), "ann-classes")
+        asked = written(rows.where(F.col("vec_id") % every == 0).dropDuplicates(), "ann-queries")
+
+        def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, x in _matrices(batch):
+                    a, b = projections(x.shape[1], tables, hashes, width, seed)
+                    part, u = batch.take(pa.array(at)), unit(x)
+                    for t in range(tables):
+                        key = _key(t, x.shape[1], np.floor((u @ a[t] + b[t]) / width))
+                        yield pa.RecordBatch.from_arrays([pa.array(key), part.column("cls"), part.column("vec")], names=["key", "cls", "vec"])
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, x in _matrices(batch):
+                    a, b = projections(x.shape[1], tables, hashes, width, seed)
+                    u = unit(x)
+                    keys, who = [], []
+                    for t in range(tables):
+                        p = u @ a[t] + b[t]
+                        h = np.floor(p / width)
+                        low = p - h * width
+                        for i in range(at.size):
+                            steps = list(probe_steps(low[i], width, probes))
+                            moved = np.repeat(h[i][None, :], len(steps), axis=0)
+                            for r, step in enumerate(steps):
+                                for j, d in step:
+                                    moved[r, j] += d
+                            keys.append(_key(t, x.shape[1], moved))
+                            who.append(np.full(len(steps), at[i]))
+                    part = batch.take(pa.array(np.concatenate(who)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("vec_id"), part.column("vec")], names=["key", "query_id", "vec"])
+
+        entries = written(classes.select("cls", "vec").mapInArrow(index, "key bigint, cls bigint, vec binary"), "ann-index")
+        visits = written(asked.repartition(F.col("vec_id")).mapInArrow(probe, "key bigint, query_id bigint, vec binary"), "ann-visits")
+        found = written(_meet(entries, visits, k), "ann-found")
+        best = _ranked(found, classes, k)
+        best = written(best, "ann-best")
+        # too few found: exact search over all blocks
+        short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select(F.lit(0).cast("long").alias("key"), F.col("vec_id").alias("query_id"), "vec")
+        short = written(short, "ann-short")
+        if short.isEmpty():
+            return scratch.keep(best, best)
+        every_class = classes.select(F.lit(0).cast("long").alias("key"), "cls", "vec")
+        exact = written(_ranked(written(_meet(every_class, short, k), "ann-exact-met"), classes, k), "ann-exact")
+        return scratch.keep(best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact), best, short, exact)
 
 
 def _meet(entries: DataFrame, visits: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,12 +36,61 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/colkit/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Written tables of one operator.  All but those that its result still reads are deleted when it is done.
+
+    ``keep`` names the tables that a result reads; they pass to the scratch around this one, if there is one.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept, self.outer = spark, [], [], None
+
+    def __enter__(self) -> Scratch:
+        self.outer = _OPEN.get()
+        _OPEN.set(self)
+        return self
+
+    def keep(self, result: DataFrame, *tables: DataFrame) -> DataFrame:
+        self.kept += [t._colkit_path for t in tables]
+        return result
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that are not needed any more."""
+        for path in [t._colkit_path for t in tables]:
+            self.paths.remove(path)
+            delete(self.spark, path)
+
+    def __exit__(self, *error) -> None:
+        _OPEN.set(self.outer)
+        for path in self.paths:
+            if path not in self.kept:
+                delete(self.spark, path)
+            elif self.outer is not None:
+                self.outer.paths.append(path)
+
+
+_OPEN: contextvars.ContextVar[Scratch | None] = contextvars.ContextVar("colkit_scratch", default=None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def register(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Makes the table at ``path``, read as ``df``, one of the open scratch's tables."""
+    df._colkit_path = path
+    if (scratch := _OPEN.get()) is not None:
+        scratch.paths.append(path)
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, and any executor can read it again."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return register(spark, spark.read.schema(df.schema).parquet(path), path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -65,28 +115,43 @@ def chunks(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes:
                 at, size = k + 1, 0
 
 
+def contracted(edges: DataFrame, rounds: int = 3) -> DataFrame:
+    """Fewer edges that connect the same vertices.
+
+    A round points each vertex to its smallest smaller neighbour and connects its other smaller neighbours with
+    that one; the pointers are kept as edges, the rest goes into the next round.  ``edges`` have a > b.
+    """
+    kept = None
+    for _ in range(rounds):
+        low = written(edges.groupBy("a").agg(F.min("b").alias("low")), "pointers")
+        rest = edges.join(low.hint("merge"), "a").where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        pointers = low.select("a", F.col("low").alias("b"))
+        kept = pointers if kept is None else kept.union(pointers)
+        edges = written(rest, "edges")
+        if edges.isEmpty():
+            return kept
+    return kept.union(edges)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b long), as rows (id, label); label is the smallest id reached.
 
-    Smallest-label propagation with pointer jumping; each round is a written
+    The edges are contracted first.  Then smallest-label propagation with pointer jumping; each round is a written
     table, so a lost executor repeats one round at most.  Nothing is collected but a
     count per round.  Both directions of an edge are joined against a written
     label table, so a vertex with very many edges is split by the skew join.
     """
-    both = written(
-        edges.where(F.col("a") != F.col("b"))
-        .select("a", "b")
-        .union(edges.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .distinct(),
-        "edges",
-    )
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        step = written(hooked.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        if step.where(F.col("was") != F.col("label")).isEmpty():
-            return step.select("id", "label")
-        labels = step.select("id", "label")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with Scratch(edges.sparkSession) as scratch:
+        once = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        few = contracted(written(once, "edges"))
+        both = written(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
+        for _ in range(max_rounds):
+            near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+            hooked = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+            jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
+            step = written(hooked.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+            if step.where(F.col("was") != F.col("label")).isEmpty():
+                return scratch.keep(step.select("id", "label"), step)
+            labels = step.select("id", "label")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")

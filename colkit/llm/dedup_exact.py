@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, new_path, partitions, written
+from .common import Scratch, columns, new_path, register, written
 
 #: Runs of white space that are not already one space.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*+|\x20[\x20\x09-\x0D]++"
@@ -47,7 +47,7 @@ def _flush(rows: DataFrame, name: str) -> DataFrame:
         .partitionBy("run")
         .parquet(path)
     )
-    return spark.read.schema(rows.schema).parquet(path)
+    return register(spark, spark.read.schema(rows.schema).parquet(path), path)
 
 
 def build_index(rows: DataFrame, *, runs: int = 8, fanout: int = 8) -> DataFrame:
@@ -99,22 +99,26 @@ def exact_dedup(
     key = digest or sha256
     source = columns(docs, doc_id=id_col, text=text_col).select("doc_id", normalise(F.col("text")).alias("body"))
     own = sha256(F.col("body")).alias("text_sha256")
-    rows = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *([own, F.lit(None).cast("string").alias("digest")] if digest is None else [own, key(F.col("body")).cast("string").alias("digest")]))
-    rows = written(rows, "lsm-rows").withColumn("digest", F.coalesce("digest", "text_sha256"))
-    index = build_index(rows, runs=runs, fanout=fanout)
-    groups = written(index.where("n > 1"), "lsm-groups")
-    found = rows.join(groups, "digest", "left")
-
-    # byte verification of the hits: a group's texts are equal if its least and its greatest are
-    bodies = _might_hold(source.select("body", key(F.col("body")).cast("string").alias("digest")), groups)
-    mixed = written(bodies.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest")).where("least <> greatest").select("digest"), "lsm-mixed")
-    if not mixed.isEmpty():  # digests collide: there the texts themselves make the groups
-        again = rows.join(mixed, "digest").groupBy("digest", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")).alias("keep2"), F.count("*").alias("n2"))
-        found = found.join(written(again, "lsm-again"), ["digest", "text_sha256"], "left").withColumns({"keep": F.coalesce("keep2", "keep"), "n": F.coalesce("n2", "n")})
-    return found.select(
-        "doc_id",
-        F.when(F.col("n") > 1, F.col("keep.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("n") > 1, F.col("keep.rid") == F.col("rid")).otherwise(F.lit(True)).alias("kept"),
-        "text_sha256",
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        rows = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", *([own, F.lit(None).cast("string").alias("digest")] if digest is None else [own, key(F.col("body")).cast("string").alias("digest")]))
+        narrow = written(rows, "lsm-rows")
+        rows = narrow.withColumn("digest", F.coalesce("digest", "text_sha256"))
+        index = build_index(rows, runs=runs, fanout=fanout)
+        groups = again = written(index.where("n > 1"), "lsm-groups")
+        found = rows.join(groups, "digest", "left")
+
+        # byte verification of the hits: a group's texts are equal if its least and its greatest are
+        bodies = _might_hold(source.select("body", key(F.col("body")).cast("string").alias("digest")), groups)
+        mixed = written(bodies.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("greatest")).where("least <> greatest").select("digest"), "lsm-mixed")
+        if not mixed.isEmpty():  # digests collide: there the texts themselves make the groups
+            regrouped = rows.join(mixed, "digest").groupBy("digest", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid")).alias("keep2"), F.count("*").alias("n2"))
+            again = written(regrouped, "lsm-again")
+            found = found.join(again, ["digest", "text_sha256"], "left").withColumns({"keep": F.coalesce("keep2", "keep"), "n": F.coalesce("n2", "n")})
+        result = found.select(
+            "doc_id",
+            F.when(F.col("n") > 1, F.col("keep.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
+            F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("group_size"),
+            F.when(F.col("n") > 1, F.col("keep.rid") == F.col("rid")).otherwise(F.lit(True)).alias("kept"),
+            "text_sha256",
+        )
+        return scratch.keep(result, narrow, groups, again)

@@ -4,7 +4,8 @@ Each source is a queue with a weight, its target number of words.  Documents
 queue in shuffled order, and pass through the queue ``max_repeats`` times.  A
 document's virtual finish time is the number of words its source has sent when
 it is done, divided by the source's target.  All documents are sorted by finish
-time over all sources and the mix takes them until the budget is used.
+time over all sources and the mix takes them until the budget is used: in total, and at virtual time 1, when every source has been
+served its target (a source whose next document is too long for what is left does not pass its words on to others).
 
 At scale: a hot source is never gathered.  The shuffled order is a uniform hash, so a
 source's queue is cut by the leading bits of the hash into blocks; a block's sum is
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, partitions, written
+from .common import WORD, Scratch, columns, partitions, written
 
 #: Rows that one block of a queue should hold.
 BLOCK_ROWS = 2_000
@@ -76,49 +77,51 @@ def mix(
     is ordered before others; rows that are equal in all columns share one decision.  An
     empty table gives an empty result.
     """
-    size = word_count(F.col("text"))
-    rows = columns(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))).alias("turn"))
-    rows = written(rows, "mix-sizes")
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    bits = max(0, (blocks - 1).bit_length())
-    #: leading bits of the hash, from its first eight hexadecimal digits
-    block = F.shiftright(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), 32 - bits).alias("block")
-    rows = rows.select("*", block)
-    sums = written(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
-    sources = sums.groupBy("source").agg(F.sum("block_size").alias("source_size"))
-    if weights is None:
-        weights = cyclic_weights(sources.select("source"))
-    else:
-        weights = columns(weights, source="source", weight="weight")
-    weights = weights.select(F.col("source").alias("named"), F.col("weight").cast("double").alias("weight"))
-    sources = sources.join(weights, F.col("source").eqNullSafe(F.col("named")), "left").select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"), "source_size")
-    targets = fill_targets(sources, budget_share, max_repeats)
-    queue = Window.partitionBy("source").orderBy("block")
-    offsets = sums.select("source", "block", (F.sum("block_size").over(queue) - F.col("block_size")).alias("offset"))
-    targets = targets.select(F.col("source").alias("named"), "source_size", "target")
-    per = offsets.join(targets, F.col("source").eqNullSafe(F.col("named"))).select(F.col("source").alias("named"), F.col("block").alias("at"), "offset", "source_size", "target")
-    per = written(per, "mix-offsets")
-    inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = rows.select("*", F.sum("size").over(inside).alias("sent"))
-    queued = queued.join(per, F.col("source").eqNullSafe(F.col("named")) & (F.col("block") == F.col("at"))).select(
-        "doc_id", "source", "size", "turn", "source_size", "target", (F.col("offset") + F.col("sent")).alias("sent")
-    )
-    queued = written(queued, "mix-queue")
-
-    def finish(k: int) -> F.Column:
-        return (F.col("sent") + F.lit(k) * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
-
-    passes = F.explode(F.array(*[F.struct(finish(k).alias("finish"), F.lit(k).alias("k")) for k in range(max_repeats)]))
-    tags = queued.where("size > 0").select("turn", "doc_id", "size", passes.alias("t")).select(F.col("t.finish").alias("finish"), "turn", "doc_id", "size").where("finish is not null")
-    total = sums.agg(F.sum("block_size")).first()[0] or 0
-    cut = _cut(tags, budget_share * total)
-    if cut is None:
-        taken = F.lit(0).cast("long")
-    else:
-        last = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["turn"]).alias("turn"), F.lit(cut["doc_id"]).cast(queued.schema["doc_id"].dataType).alias("doc_id"))
-        ins = [F.coalesce((F.struct(finish(k).alias("finish"), "turn", "doc_id") <= last).cast("long"), F.lit(0)) for k in range(max_repeats)]
-        taken = sum(ins[1:], ins[0]) * F.col("size")
-    return queued.select("doc_id", "source", "size", "source_size", "target", finish(0).alias("finish"), taken.alias("taken"))
+    with Scratch(docs.sparkSession) as scratch:
+        size = word_count(F.col("text"))
+        rows = columns(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))).alias("turn"))
+        rows = written(rows, "mix-sizes")
+        blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+        bits = max(0, (blocks - 1).bit_length())
+        #: leading bits of the hash, from its first eight hexadecimal digits
+        block = F.shiftright(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), 32 - bits).alias("block")
+        rows = rows.select("*", block)
+        sums = written(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
+        sources = sums.groupBy("source").agg(F.sum("block_size").alias("source_size"))
+        if weights is None:
+            weights = cyclic_weights(sources.select("source"))
+        else:
+            weights = columns(weights, source="source", weight="weight")
+        weights = weights.select(F.col("source").alias("named"), F.col("weight").cast("double").alias("weight"))
+        sources = sources.join(weights, F.col("source").eqNullSafe(F.col("named")), "left").select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"), "source_size")
+        targets = fill_targets(sources, budget_share, max_repeats)
+        queue = Window.partitionBy("source").orderBy("block")
+        offsets = sums.select("source", "block", (F.sum("block_size").over(queue) - F.col("block_size")).alias("offset"))
+        targets = targets.select(F.col("source").alias("named"), "source_size", "target")
+        per = offsets.join(targets, F.col("source").eqNullSafe(F.col("named"))).select(F.col("source").alias("named"), F.col("block").alias("at"), "offset", "source_size", "target")
+        per = written(per, "mix-offsets")
+        inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        queued = rows.select("*", F.sum("size").over(inside).alias("sent"))
+        queued = queued.join(per, F.col("source").eqNullSafe(F.col("named")) & (F.col("block") == F.col("at"))).select(
+            "doc_id", "source", "size", "turn", "source_size", "target", (F.col("offset") + F.col("sent")).alias("sent")
+        )
+        queued = written(queued, "mix-queue")
+
+        def finish(k: int) -> F.Column:
+            return (F.col("sent") + F.lit(k) * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0))
+
+        passes = F.explode(F.array(*[F.struct(finish(k).alias("finish"), F.lit(k).alias("k")) for k in range(max_repeats)]))
+        tags = queued.where("size > 0").select("turn", "doc_id", "size", passes.alias("t")).select(F.col("t.finish").alias("finish"), "turn", "doc_id", "size").where("finish <= 1")
+        total = sums.agg(F.sum("block_size")).first()[0] or 0
+        cut = _cut(tags, budget_share * total)
+        if cut is None:
+            taken = F.lit(0).cast("long")
+        else:
+            last = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["turn"]).alias("turn"), F.lit(cut["doc_id"]).cast(queued.schema["doc_id"].dataType).alias("doc_id"))
+            ins = [F.coalesce(((finish(k) <= 1) & (F.struct(finish(k).alias("finish"), "turn", "doc_id") <= last)).cast("long"), F.lit(0)) for k in range(max_repeats)]
+            taken = sum(ins[1:], ins[0]) * F.col("size")
+        result = queued.select("doc_id", "source", "size", "source_size", "target", finish(0).alias("finish"), taken.alias("taken"))
+        return scratch.keep(result, queued)
 
 
 def _cut(tags: DataFrame, budget: float):

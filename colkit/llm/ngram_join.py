@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, columns, components, written
+from .common import Scratch, chunks, columns, components, written
 from .hashing import BASE, digests, mix, powers
 
 SLACK, CELLS = 2, 3
 #: Documents a bucket of signatures stands for; nodes of a family that are compared in one task.
-BUCKET_DOCS, BLOCK = 3000, 1000
+BUCKET_DOCS, BLOCK = 3000, 500
 #: Bits of the filter for candidate nodes: 4 MB.
 FILTER_BITS = 1 << 25
 _U = np.uint64
@@ -327,53 +327,55 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
             flat, sizes = shingle_sets(texts, width)
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(set_ids(flat, sizes).view(np.int64))], names=["doc_id", "n_shingles", "node"])
 
-    table = written(rows.mapInArrow(narrow, f"doc_id {kind}, n_shingles bigint, node bigint"), "join-rows")
-    n_buckets = buckets or max(64, table.count() // BUCKET_DOCS)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            flat, sizes = shingle_sets(texts, width)
-            ids = set_ids(flat, sizes)
-            # copies in the batch travel once
-            once = np.zeros(ids.size, dtype=bool)
-            once[np.unique(ids, return_index=True)[1]] = True
-            sig, of = signatures(flat[np.repeat(once, sizes)], sizes[once], num, den)
-            ids = ids[once].view(np.int64)
-            bucket = (sig % _U(n_buckets)).astype(np.int64)
-            order = np.lexsort((of, bucket))
-            sig, of, bucket = (sig[order] >> _U(32)).astype(np.uint32), of[order], bucket[order]
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if bucket.size else np.zeros(0, dtype=np.int64)
-            out = []
-            for a, e in zip(edges.tolist(), [*edges[1:].tolist(), bucket.size], strict=False):
-                who, times = np.unique(of[a:e], return_counts=True)
-                out.append((int(bucket[a]), ids[who].tobytes(), times.astype(np.uint32).tobytes(), sig[a:e].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "nodes", "times", "sigs"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        nodes, sigs = [], []
-        for who, times, sig in zip(*(group.column(c).to_pylist() for c in ("nodes", "times", "sigs")), strict=True):
-            nodes.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(times, np.uint32)))
-            sigs.append(np.frombuffer(sig, np.uint32))
-        pairs = _pairs_of_bucket(np.concatenate(sigs), np.concatenate(nodes))
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    met = rows.mapInArrow(emit, "bucket bigint, nodes binary, times binary, sigs binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
-    # families: all nodes that any signature, over however many steps, brings together
-    families = components(written(met, "join-met"))
-    sizes = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = families.select(F.col("id").alias("node"), F.col("label").alias("family")).join(written(sizes, "join-sizes").hint("merge"), "family")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    #: small families share keys, large ones have a key per block
-    key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_buckets)))
-    placed = written(placed.select("node", "family", "blocks", block.alias("block"), key.alias("key")), "join-placed")
-    sets = written(_sets_of(placed, rows, width), "join-sets")
-    links = written(_linked(sets, num, den), "join-links")
-    labels = components(links)
-    more = _across(sets, labels, num, den)
-    if more is not None:
-        labels = components(links.union(written(more, "join-across")))
-
-    named = written(table.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "join-labels")
-    first = written(named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first")), "join-first")
-    return named.join(first, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        table = written(rows.mapInArrow(narrow, f"doc_id {kind}, n_shingles bigint, node bigint"), "join-rows")
+        n_buckets = buckets or max(64, table.count() // BUCKET_DOCS)
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, texts in chunks(batches):
+                flat, sizes = shingle_sets(texts, width)
+                ids = set_ids(flat, sizes)
+                # copies in the batch travel once
+                once = np.zeros(ids.size, dtype=bool)
+                once[np.unique(ids, return_index=True)[1]] = True
+                sig, of = signatures(flat[np.repeat(once, sizes)], sizes[once], num, den)
+                ids = ids[once].view(np.int64)
+                bucket = (sig % _U(n_buckets)).astype(np.int64)
+                order = np.lexsort((of, bucket))
+                sig, of, bucket = (sig[order] >> _U(32)).astype(np.uint32), of[order], bucket[order]
+                edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if bucket.size else np.zeros(0, dtype=np.int64)
+                out = []
+                for a, e in zip(edges.tolist(), [*edges[1:].tolist(), bucket.size], strict=False):
+                    who, times = np.unique(of[a:e], return_counts=True)
+                    out.append((int(bucket[a]), ids[who].tobytes(), times.astype(np.uint32).tobytes(), sig[a:e].tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "nodes", "times", "sigs"])
+
+        def meet(group: pa.Table) -> pa.Table:
+            nodes, sigs = [], []
+            for who, times, sig in zip(*(group.column(c).to_pylist() for c in ("nodes", "times", "sigs")), strict=True):
+                nodes.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(times, np.uint32)))
+                sigs.append(np.frombuffer(sig, np.uint32))
+            pairs = _pairs_of_bucket(np.concatenate(sigs), np.concatenate(nodes))
+            return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        met = rows.mapInArrow(emit, "bucket bigint, nodes binary, times binary, sigs binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+        # families: all nodes that any signature, over however many steps, brings together
+        families = components(written(met, "join-met"))
+        sizes = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        placed = families.select(F.col("id").alias("node"), F.col("label").alias("family")).join(written(sizes, "join-sizes").hint("merge"), "family")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        #: small families share keys, large ones have a key per block
+        key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_buckets)))
+        placed = written(placed.select("node", "family", "blocks", block.alias("block"), key.alias("key")), "join-placed")
+        sets = written(_sets_of(placed, rows, width), "join-sets")
+        links = written(_linked(sets, num, den), "join-links")
+        labels = components(links)
+        more = _across(sets, labels, num, den)
+        if more is not None:
+            labels = components(links.union(written(more, "join-across")))
+
+        named = written(table.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "join-labels")
+        first = written(named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first")), "join-first")
+        result = named.join(first, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+        return scratch.keep(result, named, first)

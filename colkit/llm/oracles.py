@@ -43,7 +43,7 @@ sizes AS (
 ), tags AS (
   SELECT doc_id, turn, size, (sent + k * source_size) / target AS finish FROM queued, (SELECT unnest([0, 1]) AS k) WHERE size > 0
 ), running AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, turn, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM tags
+  SELECT *, sum(size) OVER (ORDER BY finish, turn, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM tags WHERE finish <= 1
 )
 """
 

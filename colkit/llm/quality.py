@@ -59,7 +59,8 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     line = np.searchsorted(ends, w_start)
     words = np.bincount(line, minlength=ends.size).astype(np.float64)
     h = digests(b, w_start, w_end)
-    again = np.r_[False, (h[1:] == h[:-1]) & (line[1:] == line[:-1])]
+    again = np.zeros(h.size, dtype=bool)
+    again[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
     repeats = np.bincount(line[again], minlength=ends.size)
     kept = np.unique(mix(h + mix(line.astype(np.uint64))), return_index=True)[1]
     distinct = np.bincount(line[kept], minlength=ends.size)

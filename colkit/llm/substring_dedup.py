@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cdc import chunk_texts
-from .common import chunks, columns, written
+from .common import Scratch, chunks, columns, written
 
 MIN_WORDS, MIN_RUN_WORDS = 50, 20
 _SPACE = np.zeros(256, dtype=bool)
@@ -66,19 +66,20 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     empty texts take no part; rows that share a doc_id are one document, and repeats within a document do not count.
     """
     rows = columns(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
-    table = written(chunk_table(rows), "cdc-chunks")
-    groups = table.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-    shared = written(groups.where("first_doc_id <> last_doc_id").select("digest", "first_doc_id"), "cdc-shared")
-    hits = written(table.join(shared, "digest").select("doc_id", "no", "start", "end", "words", "before", "after", "first_doc_id"), "cdc-hits")
-    hits = hits.dropDuplicates(["doc_id", "no"])
-    run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))
-    runs = hits.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start_byte"),
-        F.max("end").alias("end_byte"),
-        F.sum("words").alias("n_words"),
-        F.min_by("before", "no").alias("before"),
-        F.max_by("after", "no").alias("after"),
-        F.min_by("first_doc_id", "no").alias("first_doc_id"),
-    )
-    runs = runs.where((F.col("n_words") >= min_run_words) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words))
-    return runs.select("doc_id", "start_byte", "end_byte", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept"))
+    with Scratch(docs.sparkSession) as scratch:
+        table = written(chunk_table(rows), "cdc-chunks")
+        groups = table.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+        shared = written(groups.where("first_doc_id <> last_doc_id").select("digest", "first_doc_id"), "cdc-shared")
+        hits = written(table.join(shared, "digest").select("doc_id", "no", "start", "end", "words", "before", "after", "first_doc_id"), "cdc-hits")
+        kept, hits = hits, hits.dropDuplicates(["doc_id", "no"])
+        run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))
+        runs = hits.withColumn("run", run).groupBy("doc_id", "run").agg(
+            F.min("start").alias("start_byte"),
+            F.max("end").alias("end_byte"),
+            F.sum("words").alias("n_words"),
+            F.min_by("before", "no").alias("before"),
+            F.max_by("after", "no").alias("after"),
+            F.min_by("first_doc_id", "no").alias("first_doc_id"),
+        )
+        runs = runs.where((F.col("n_words") >= min_run_words) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words))
+        return scratch.keep(runs.select("doc_id", "start_byte", "end_byte", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept")), kept)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, written
+from .common import Scratch, columns, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments that vary from page to page: digits with an optional extension, hexadecimal identifiers.
@@ -109,14 +109,16 @@ def filter_urls(
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path"), levels).alias("segs"))
     is_blocked = (F.col("ruled") == "block").cast("long")
     shapes = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.coalesce(F.sum(is_blocked), F.lit(0)).alias("blocked"))
-    tree = build_templates(written(shapes, "url-shapes"), levels=levels, min_support=min_support, z_limit=z_limit)
-
-    sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
-    overall = tree.agg(*sums).first()
-    base = (overall["blocked"] / overall["labelled"]) if overall["labelled"] else 0.0
-    hosts = tree.groupBy("host").agg(*sums).select("host", ((F.col("blocked") + F.lit(smoothing * base)) / (F.col("labelled") + F.lit(smoothing))).alias("host_purity"))
-    found = tree.groupBy("host", "template").agg(*sums).join(hosts, "host")
-    found = found.select("host", "template", ((F.col("blocked") + F.lit(smoothing) * F.col("host_purity")) / (F.col("labelled") + F.lit(smoothing))).alias("purity"))
-    found = written(tree.join(found, ["host", "template"]).select("host", "segs", "template", "purity"), "url-templates")
-    judged = F.coalesce("ruled", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.join(found, ["host", "segs"], "left").select("page_id", "host", "path", "rule", judged.alias("verdict"), "template", "purity")
+    with Scratch(pages.sparkSession) as scratch:
+        tree = build_templates(written(shapes, "url-shapes"), levels=levels, min_support=min_support, z_limit=z_limit)
+
+        sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
+        overall = tree.agg(*sums).first()
+        base = (overall["blocked"] / overall["labelled"]) if overall["labelled"] else 0.0
+        hosts = tree.groupBy("host").agg(*sums).select("host", ((F.col("blocked") + F.lit(smoothing * base)) / (F.col("labelled") + F.lit(smoothing))).alias("host_purity"))
+        found = tree.groupBy("host", "template").agg(*sums).join(hosts, "host")
+        found = found.select("host", "template", ((F.col("blocked") + F.lit(smoothing) * F.col("host_purity")) / (F.col("labelled") + F.lit(smoothing))).alias("purity"))
+        found = written(tree.join(found, ["host", "template"]).select("host", "segs", "template", "purity"), "url-templates")
+        judged = F.coalesce("ruled", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
+        result = rows.join(found, ["host", "segs"], "left").select("page_id", "host", "path", "rule", judged.alias("verdict"), "template", "purity")
+        return scratch.keep(result, found)

@@ -13,7 +13,6 @@ Options: ``path``; ``payload`` ("false": no payloads are read); ``level`` (compr
 
 from __future__ import annotations
 
-import io
 import struct
 import uuid
 import zlib
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .common import columns, new_path, written
+from .common import Scratch, columns, new_path, written
 
 SCHEMA = "record_id string, row_id long, record_type string, target_uri string, date string, content_type string, payload_digest string, refers_to string, content_length long, payload_length long, payload binary"
 #: Column of each header that a filter can name.
@@ -187,20 +186,19 @@ class Archive:
             if length:
                 self.raw.seek(at)
                 self.rest = b""
-                left = io.BytesIO(self.raw.read(min(length, 2048)))
-                head, z = bytearray(), zlib.decompressobj(31)
-                head += z.decompress(left.read())
+                z = zlib.decompressobj(31)
+                head = bytearray(z.decompress(self.raw.read(min(length, 2048)), 1024))  # headers first
                 while (cut := head.find(b"\r\n\r\n")) < 0:
-                    data = self.raw.read(_BLOCK)
+                    data = z.unconsumed_tail or self.raw.read(_BLOCK)
                     if not data:
                         return
-                    head += z.decompress(data)
+                    head += z.decompress(data, 1024)
                 headers = parse_headers(bytes(head[:cut]))
                 how = wanted(headers)
                 if how == "block":
                     size = int(headers.get("content-length", 0))
                     tail = self.raw.read(max(0, at + length - self.raw.tell()))
-                    head += z.decompress(tail)
+                    head += z.decompress(z.unconsumed_tail + tail)
                     yield headers, bytes(head[cut + 4 : cut + 4 + size])
                 elif how:
                     yield headers, None
@@ -362,15 +360,16 @@ def archive_pages(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     register(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = columns(pages, row_id=id_col, url=url_col, html=html_col).select(F.col("row_id").cast("long").alias("row_id"), "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    sizes = written(rows.where(F.octet_length("payload") >= min_revisit).select("row_id", "digest"), "warc-digests")
-    first = written(sizes.groupBy("digest").agg(F.min("row_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to"), "warc-first")
-    revisits = sizes.join(first, "digest").where(~F.col("row_id").eqNullSafe(F.col("refers_to"))).select("row_id", "digest", "refers_to").distinct()
-    revisits = written(revisits, "warc-revisits").select(F.col("row_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
-    kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    out = rows.join(revisits, F.col("row_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select(
-        "row_id", kind.alias("record_type"), F.col("url").alias("target_uri"), F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_length"), F.when(kind == "response", F.col("payload")).alias("payload"), "refers_to"
-    )
-    out.write.format("colkit_warc").mode("append").save(path)
+    with Scratch(pages.sparkSession):
+        sizes = written(rows.where(F.octet_length("payload") >= min_revisit).select("row_id", "digest"), "warc-digests")
+        first = written(sizes.groupBy("digest").agg(F.min("row_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to"), "warc-first")
+        revisits = sizes.join(first, "digest").where(~F.col("row_id").eqNullSafe(F.col("refers_to"))).select("row_id", "digest", "refers_to").distinct()
+        revisits = written(revisits, "warc-revisits").select(F.col("row_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
+        kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
+        out = rows.join(revisits, F.col("row_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select(
+            "row_id", kind.alias("record_type"), F.col("url").alias("target_uri"), F.col("digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_length"), F.when(kind == "response", F.col("payload")).alias("payload"), "refers_to"
+        )
+        out.write.format("colkit_warc").mode("append").save(path)
 
 
 def round_trip(pages: DataFrame, **names: str) -> DataFrame:

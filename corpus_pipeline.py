@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colkit.llm import bpe, dedup_exact, lang_id, mixing, ngram_join
-from colkit.llm.common import written
+from colkit.llm.common import Scratch, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,5 +67,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scratch(spark) as scratch:  # what a stage's result reads is needed no longer once that is written
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+            scratch.keep(docs, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
