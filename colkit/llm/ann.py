@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, written
+from .common import Scratch, columns, partitions, written
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 4, 6, 2.0, 80, 7
 BLOCK = 2000
@@ -154,7 +154,7 @@ def search(
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("vec_id"), part.column("vec")], names=["key", "query_id", "vec"])
 
         entries = written(classes.select("cls", "vec").mapInArrow(index, "key bigint, cls bigint, vec binary"), "ann-index")
-        visits = written(asked.repartition(F.col("vec_id")).mapInArrow(probe, "key bigint, query_id bigint, vec binary"), "ann-visits")
+        visits = written(asked.repartition(partitions(vectors.sparkSession), "vec_id").mapInArrow(probe, "key bigint, query_id bigint, vec binary"), "ann-visits")
         found = written(_meet(entries, visits, k), "ann-found")
         best = _ranked(found, classes, k)
         best = written(best, "ann-best")
