@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 
 def group_agg(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], dropna: bool = True, first_seen: str | None = None) -> DataFrame:
@@ -128,3 +130,37 @@ def hash_rows(*columns: Column) -> Column:
 
 def running(partition: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def insert(df: DataFrame, position: int, values: dict, order_by: Sequence[str], name: str = "rid") -> DataFrame:
+    """One more row before a position; ``name`` numbers the rows of the result."""
+    from .rows import with_row_id
+
+    numbered = with_row_id(df, order_by, name).withColumn(name, F.col(name) + (F.col(name) >= position).cast("bigint"))
+    new = df.sparkSession.createDataFrame([tuple(values.get(c) for c in df.columns)], df.schema).withColumn(name, F.lit(position).cast("bigint"))
+    return numbered.unionByName(new)
+
+
+def apply_elementwise(c: Column, func: Callable, returns: str) -> Column:
+    """A Python function of each value, null included, in Arrow batches: for what no expression can say."""
+    @pandas_udf(returns)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([func(None if x is None or x != x else x) for x in s], dtype=object)
+
+    return run(c)
+
+
+def combine(a: Column, b: Column, func: Callable[[Column, Column], Column]) -> Column:
+    """``func`` of two aligned columns, as an expression."""
+    return func(a, b)
+
+
+def transpose(df: DataFrame, index: str) -> DataFrame:
+    """Rows become columns: for small frames only, as Spark's own limit on pivoted values holds."""
+    return df.transpose(F.col(index))
+
+
+def memory_usage(df: DataFrame, column: str) -> int:
+    from ..sources.io import metadata
+
+    return metadata(df, column)["nbytes"]

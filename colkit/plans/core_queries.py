@@ -507,6 +507,83 @@ def apply_binary_str_prefix_len(spark, sf_dir):
     return df.select("p_partkey", apply_binary_str(with_nulls("p_partkey", "p_brand"), other, func=prefix, output_dtype="bigint").alias("n"))
 
 
+# --- more of the data-frame contract ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT CAST(0 AS INTEGER) AS pos, (SELECT c_custkey FROM {_NUMBERED} WHERE r = 0) AS v UNION ALL SELECT 1, (SELECT c_custkey FROM {_NUMBERED} WHERE r = n - 3) UNION ALL SELECT 2, NULL")
+def getitem_scalars(spark, sf_dir):
+    df = _customers(spark, sf_dir).select("c_custkey")
+    found = [rows.getitem(df, "c_custkey", i, ["c_custkey"]) for i in (0, -3, 10**9)]
+    return spark.createDataFrame(list(enumerate(found)), "pos int, v bigint")
+
+
+@query(f"SELECT c_custkey, CASE WHEN r BETWEEN 10 AND 19 AND r % 3 = 1 THEN 'X' ELSE c_name END AS c_name FROM {_NUMBERED}")
+def setitem_slice(spark, sf_dir):
+    return rows.setitem(_customers(spark, sf_dir).select("c_custkey", "c_name"), "c_name", slice(10, 20, 3), "X", ["c_custkey"])
+
+
+@query(f"SELECT CASE WHEN r >= 5 THEN r + 1 ELSE r END AS rid, c_custkey FROM {_NUMBERED} UNION ALL SELECT 5, -1")
+def insert_row(spark, sf_dir):
+    return frame.insert(_customers(spark, sf_dir).select("c_custkey"), 5, {"c_custkey": -1}, ["c_custkey"])
+
+
+@query(f"SELECT event_id, CASE WHEN ({_E}) IS NULL THEN 'none' ELSE reverse({_E}) END AS v FROM events")
+def apply_elementwise(spark, sf_dir):
+    return _events(spark, sf_dir).select("event_id", frame.apply_elementwise(F.col("e"), lambda x: "none" if x is None else x[::-1], "string").alias("v"))
+
+
+@query("SELECT event_id, user_id <= event_id AS le, user_id + event_id AS s FROM events")
+def combine(spark, sf_dir):
+    df = table(spark, sf_dir, "events", "event_id", "user_id")
+    a, b = F.col("user_id"), F.col("event_id")
+    return df.select("event_id", frame.combine(a, b, lambda x, y: x <= y).alias("le"), frame.combine(a, b, arith.add).alias("s"))
+
+
+@query("SELECT 'r_name' AS key, max(r_name) FILTER (r_regionkey = 0) AS \"0\", max(r_name) FILTER (r_regionkey = 1) AS \"1\", max(r_name) FILTER (r_regionkey = 2) AS \"2\", max(r_name) FILTER (r_regionkey = 3) AS \"3\", max(r_name) FILTER (r_regionkey = 4) AS \"4\" FROM region")
+def transpose(spark, sf_dir):
+    return frame.transpose(table(spark, sf_dir, "region", "r_regionkey", "r_name"), "r_regionkey")
+
+
+@query("SELECT count(*) > 0 AS has_click, false AS has_other FROM events WHERE event_type = 'click'")
+def contains_value(spark, sf_dir):
+    df = table(spark, sf_dir, "events", "event_type")
+    return spark.createDataFrame([(encode.contains_value(df, "event_type", "click"), encode.contains_value(df, "event_type", "no such"))], "has_click boolean, has_other boolean")
+
+
+@query("SELECT CAST(r_regionkey AS DOUBLE) AS k, 0 AS part FROM region UNION ALL SELECT p_retailprice, 1 FROM part")
+def concat_widened(spark, sf_dir):
+    a = table(spark, sf_dir, "region", "r_regionkey").select(F.col("r_regionkey").alias("k"))
+    b = table(spark, sf_dir, "part", "p_retailprice").select(F.col("p_retailprice").alias("k"))
+    return rows.concat(a, b)
+
+
+@query("SELECT count(*) AS size, CAST(sum(strlen(p_name)) AS BIGINT) AS text_bytes, count(*) * 4 AS int_bytes FROM part")
+def metadata(spark, sf_dir):
+    from ..sources.io import metadata as describe
+
+    df = table(spark, sf_dir, "part", "p_name", "p_size")
+    a, b = describe(df, "p_name"), describe(df, "p_size")
+    return spark.createDataFrame([(a["size"], a["nbytes"], b["nbytes"])], "size bigint, text_bytes bigint, int_bytes bigint")
+
+
+@query("SELECT doc_id, contains(text, 'the') AS c FROM documents")
+def stream_text(spark, sf_dir):
+    """The same expressions on a stream, run to its end into a table in the shared folder."""
+    import tempfile
+    import uuid
+
+    from ..functions.accessor import text_strict
+    from ..streaming.stateless import read_parquet_stream, with_columns
+
+    source = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(source).schema
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='colkit-')}/stream-{uuid.uuid4().hex}"
+    stream = with_columns(read_parquet_stream(spark, f"{source}*", schema), c=text_strict(F.col("text")).contains("the"))
+    query_ = stream.select("doc_id", "c").writeStream.format("parquet").option("checkpointLocation", f"{base}/log").option("path", f"{base}/out").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.schema("doc_id bigint, c boolean").parquet(f"{base}/out")
+
+
 # --- flagship --------------------------------------------------------------------------------------------------------
 
 FLAGSHIP_SQL = """
