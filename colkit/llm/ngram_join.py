@@ -32,7 +32,7 @@ from .hashing import BASE, digests, mix, powers
 
 SLACK, CELLS = 2, 3
 #: Documents a bucket of signatures stands for; nodes of a family that are compared in one task.
-BUCKET_DOCS, BLOCK = 3000, 500
+BUCKET_DOCS, BLOCK = 3000, 4000
 #: Bits of the filter for candidate nodes: 4 MB.
 FILTER_BITS = 1 << 25
 _U = np.uint64
@@ -285,7 +285,7 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
     if mixed.isEmpty():
         return None
     members = named.join(mixed, "family")
-    rows = written(sets.select("node", "items").join(members, "node"), "join-members")
+    rows = written(sets.where("blocks > 1").select("node", "items").join(members, "node"), "join-members")
     lot = F.pmod(F.xxhash64("node"), F.col("lots")).cast("int")
     outside = rows.where("label <> top").select("family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), lot.alias("lot"), "node", "label", "items")
     inside = rows.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "node", "label", "items")
