@@ -5,8 +5,8 @@ Equal sets are one node, named by a 64-bit digest of the set.  Nodes are put in
 on the number of shingles in which two sets differ.  The domain of shingles is hashed into ``n1`` partitions of three cells; in a
 partition each subset of two cells gives a signature, the hash of the set's shingles in them.  If sets differ
 in ``k`` shingles at most, some partition holds one difference at most, and a subset without it gives both the same signature.
-``SLACK`` more partitions than that needs make signatures of empty subsets unnecessary, but for sets that
-have more than ``SLACK`` partitions with an empty subset.
+Some more partitions than that needs make signatures of empty subsets unnecessary, but for sets that
+have more partitions with an empty subset than there are spare ones.
 
 Nodes that share a signature are connected inside their bucket, and a pair per node and bucket leaves it.  The components of these pairs are
 families: all similar pairs are inside of them.  A family's sets come together in blocks; in a block, sets of
@@ -21,6 +21,8 @@ The number of buckets grows with the input.  Sets travel only for nodes in famil
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunks, columns, components, written
 from .hashing import BASE, digests, mix, powers
 
-SLACK, CELLS = 2, 3
+#: Cells of a partition.
+CELLS = 3
 #: Documents a bucket of signatures stands for; nodes of a family that are compared in one task.
 BUCKET_DOCS, BLOCK = 3000, 4000
 #: Bits of the filter for candidate nodes: 4 MB.
@@ -95,18 +98,42 @@ def bands(most: int, num: int, den: int) -> np.ndarray:
     return np.array(upper[1:] or [1], dtype=np.int64)
 
 
+@lru_cache(maxsize=None)
+def slack_of(low: int, k: int) -> int:
+    """Partitions beyond those that the bound needs, for sets of ``low`` shingles or more.
+
+    Chosen so that few sets (one in a thousand, or as few as can be) have more partitions with an empty subset than spare ones.
+    """
+    need = k // (CELLS - 1) + 1
+    best, least = 0, 2.0
+    for slack in range(max(2, need // 3) + 1):
+        parts = need + slack
+        mean = CELLS * parts * exp(-low / parts * (CELLS - 1) / CELLS)
+        term, below = exp(-mean), 0.0
+        for i in range(slack + 1):  # the Poisson distribution up to slack
+            below += term
+            term *= mean / (i + 1)
+        if 1 - below < least - 1e-12:
+            best, least = slack, 1 - below
+        if least < 1e-3:
+            break
+    return best
+
+
 def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """(signature, number of the set it belongs to) of all sets."""
     if not flat.size:
         return flat, np.zeros(0, dtype=np.int64)
     upper = bands(int(sizes.max()), num, den)
     own = np.searchsorted(upper, sizes)
+    bound = (den - num) * upper // num
+    spare = np.array([slack_of(low, k) for low, k in zip((np.r_[0, upper[:-1]] + 1).tolist(), bound.tolist(), strict=True)], dtype=np.int64)
     sigs, sets = [], []
     for back in (0, 1):  # as the smaller one's band, and as a partner of the band below
         band = own - back
-        k = (den - num) * upper[np.maximum(band, 0)] // num
+        k, slack = bound[np.maximum(band, 0)], spare[np.maximum(band, 0)]
         live = (sizes > 0) & (band >= 0) & (k > 0)
-        n1 = np.where(live, k // (CELLS - 1) + 1 + SLACK, 0)
+        n1 = np.where(live, k // (CELLS - 1) + 1 + slack, 0)
         offset = np.cumsum(n1 * CELLS) - n1 * CELLS
         cells = int((n1 * CELLS).sum())
         if not cells:
@@ -125,7 +152,7 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
         rest, left = value.sum(axis=1, dtype=np.uint64)[:, None] - value, count.sum(axis=1)[:, None] - count
         empty = left == 0
         voids = np.bincount(row_set, weights=empty.any(axis=1), minlength=sizes.size)
-        use = ~empty | (voids > SLACK)[row_set][:, None]
+        use = ~empty | (voids > slack)[row_set][:, None]
         tag = (band[row_set].astype(np.uint64) << _U(40)) + (part_no.astype(np.uint64) << _U(2))
         sig = mix(rest + mix(tag[:, None] + np.arange(CELLS, dtype=np.uint64)[None, :], 0x519))
         sigs.append(sig[use])
