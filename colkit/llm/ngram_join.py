@@ -9,9 +9,8 @@ Some more partitions than that needs make signatures of empty subsets unnecessar
 have more partitions with an empty subset than there are spare ones.
 
 Nodes that share a signature are connected inside their bucket, and a pair per node and bucket leaves it.  The components of these pairs are
-families: all similar pairs are inside of them.  A family's sets come together in blocks; in a block, sets of
-different components are compared, by sketches that cannot lose a similar pair and then by their real
-intersection.  Where a family fills several blocks, nodes outside of its largest component are compared with
+families: all similar pairs are inside of them.  First a family's sketches come together in blocks, and leave smaller families of nodes that
+sketches, which cannot lose a similar pair, allow to be similar; then these families' sets, which are compared by their real intersection.  Where a family fills several blocks, nodes outside of its largest component are compared with
 all its blocks.  So no link between components is lost, no pairs are written, and a group of near copies costs as many rows as it has members.
 
 At scale: signatures are packed in a row per batch and bucket, deduplicated before the shuffle; copies of a set in one batch travel once.
@@ -34,6 +33,8 @@ from .hashing import BASE, digests, mix, powers
 
 #: Cells of a partition.
 CELLS = 3
+#: Bits of the sketches that travel before sets do.
+SKETCH = 1024
 #: Documents a bucket of signatures stands for; nodes of a family that are compared in one task.
 BUCKET_DOCS, BLOCK = 3000, 4000
 #: Bits of the filter for candidate nodes: 4 MB.
@@ -89,6 +90,14 @@ def set_ids(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64), 0x1D), _U(0))
 
 
+def sketches_of(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A parity sketch of ``SKETCH`` bits of each set."""
+    of = np.repeat(np.arange(sizes.size), sizes)
+    at = (mix(flat, 0x5CE7) % _U(SKETCH)).astype(np.int64)
+    odd = (np.bincount(of * SKETCH + at, minlength=sizes.size * SKETCH) & 1).astype(np.uint8)
+    return [row.tobytes() for row in np.packbits(odd.reshape(sizes.size, SKETCH), axis=1)]
+
+
 def bands(most: int, num: int, den: int) -> np.ndarray:
     """Upper bounds of the size bands up to ``most``; threshold num / den."""
     upper, low = [0], 1
@@ -229,6 +238,27 @@ class Sets:
         return among[differ * (self.num + self.den) <= total * (self.den - self.num)]
 
 
+class Sketches(Sets):
+    """Sketches of fixed length instead of sets: what they allow counts as similar."""
+
+    def __init__(self, sizes: np.ndarray, rows: list[bytes], num: int, den: int):
+        self.sizes, self.num, self.den = sizes, num, den
+        self.rows = np.frombuffer(b"".join(rows), dtype=np.uint64).reshape(sizes.size, SKETCH // 64)
+
+    def sketch(self, bits: int) -> np.ndarray:
+        return self.rows
+
+    def similar(self, i: int, other: Sets, j: int) -> bool:
+        return True
+
+
+def load(group: pa.Table, at: np.ndarray, num: int, den: int, exact: bool) -> Sets:
+    items = group.column("items").take(pa.array(at)).to_pylist()
+    if exact:
+        return Sets([np.frombuffer(x, np.uint64) for x in items], num, den)
+    return Sketches(group.column("n_shingles").to_numpy()[at], items, num, den)
+
+
 def sketch_bits(*sets: Sets) -> int:
     most = max((int(s.sizes.max()) for s in sets if s.sizes.size), default=64)
     return min(8192, max(256, 1 << (most - 1).bit_length()))
@@ -236,7 +266,7 @@ def sketch_bits(*sets: Sets) -> int:
 
 def roots_of(sets: Sets) -> np.ndarray:
     """Each set's component by similarity: the number of a set of its component."""
-    n = len(sets.items)
+    n = sets.sizes.size
     root = np.arange(n)
     sketch = sets.sketch(sketch_bits(sets)) if n > 1 else None
     for i in range(n - 1):
@@ -278,27 +308,26 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return found.join(nodes.hint("merge"), "node").dropDuplicates(["node"])
 
 
-def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, family, node, items) -> links (a, b) that connect each family's components within each key."""
+def _linked(sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    """(key, family, node, n_shingles, items) -> links (a, b) that connect each family's components within each key."""
 
     def link(group: pa.Table) -> pa.Table:
         family, node = group.column("family").to_numpy(), group.column("node").to_numpy()
-        items = [np.frombuffer(x, np.uint64) for x in group.column("items").to_pylist()]
         order = np.lexsort((node, family))
         edges = np.flatnonzero(np.r_[True, np.diff(family[order]) != 0, True])
         a, b = [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             mine = order[lo:hi]
-            root = roots_of(Sets([items[k] for k in mine.tolist()], num, den))
+            root = roots_of(load(group, mine, num, den, exact))
             off = root != np.arange(root.size)
             a.append(node[mine[off]])
             b.append(node[mine[root[off]]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return sets.select("key", "family", "node", "items").groupBy("key").applyInArrow(link, "a bigint, b bigint")
+    return sets.select("key", "family", "node", "n_shingles", "items").groupBy("key").applyInArrow(link, "a bigint, b bigint")
 
 
-def _across(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame | None:
+def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool) -> DataFrame | None:
     """Links between the blocks of families that fill several: None if none can be missing.
 
     Two nodes in different components are not both in their family's largest one, so the nodes outside of it (few, in a group
@@ -312,15 +341,15 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
     if mixed.isEmpty():
         return None
     members = named.join(mixed, "family")
-    rows = written(sets.where("blocks > 1").select("node", "items").join(members, "node"), "join-members")
+    rows = written(sets.where("blocks > 1").select("node", "n_shingles", "items").join(members, "node"), "join-members")
     lot = F.pmod(F.xxhash64("node"), F.col("lots")).cast("int")
-    outside = rows.where("label <> top").select("family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), lot.alias("lot"), "node", "label", "items")
-    inside = rows.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "node", "label", "items")
+    outside = rows.where("label <> top").select("family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), lot.alias("lot"), "node", "label", "n_shingles", "items")
+    inside = rows.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "node", "label", "n_shingles", "items")
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
-            x, y = (Sets([np.frombuffer(v, np.uint64) for v in t.column("items").to_pylist()], num, den) for t in (left, right))
+            x, y = (load(t, np.arange(t.num_rows), num, den, exact) for t in (left, right))
             bits = sketch_bits(x, y)
             own, theirs = x.sketch(bits), y.sketch(bits)
             label, node = right.column("label").to_numpy(), right.column("node").to_numpy()
@@ -337,6 +366,22 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame
     return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(cross, "a bigint, b bigint")
 
 
+def _placed(families: DataFrame, n_keys: int) -> DataFrame:
+    """(id, label) -> (node, family, blocks, block, key): small families share keys, large ones have a key per block."""
+    sizes = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = families.select(F.col("id").alias("node"), F.col("label").alias("family")).join(written(sizes, "join-sizes").hint("merge"), "family")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_keys)))
+    return written(placed.select("node", "family", "blocks", block.alias("block"), key.alias("key")), "join-placed")
+
+
+def _components_in(sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+    links = written(_linked(sets, num, den, exact), "join-links")
+    labels = components(links)
+    more = _across(sets, labels, num, den, exact)
+    return labels if more is None else components(links.union(written(more, "join-across")))
+
+
 def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_shingles, component_id).
 
@@ -352,10 +397,10 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             flat, sizes = shingle_sets(texts, width)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(set_ids(flat, sizes).view(np.int64))], names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(set_ids(flat, sizes).view(np.int64)), pa.array(sketches_of(flat, sizes), pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
 
     with Scratch(docs.sparkSession) as scratch:
-        table = written(rows.mapInArrow(narrow, f"doc_id {kind}, n_shingles bigint, node bigint"), "join-rows")
+        table = written(rows.mapInArrow(narrow, f"doc_id {kind}, n_shingles bigint, node bigint, sketch binary"), "join-rows")
         n_buckets = buckets or max(64, table.count() // BUCKET_DOCS)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,18 +434,11 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
         met = rows.mapInArrow(emit, "bucket bigint, nodes binary, times binary, sigs binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
         # families: all nodes that any signature, over however many steps, brings together
         families = components(written(met, "join-met"))
-        sizes = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        placed = families.select(F.col("id").alias("node"), F.col("label").alias("family")).join(written(sizes, "join-sizes").hint("merge"), "family")
-        block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        #: small families share keys, large ones have a key per block
-        key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_buckets)))
-        placed = written(placed.select("node", "family", "blocks", block.alias("block"), key.alias("key")), "join-placed")
-        sets = written(_sets_of(placed, rows, width), "join-sets")
-        links = written(_linked(sets, num, den), "join-links")
-        labels = components(links)
-        more = _across(sets, labels, num, den)
-        if more is not None:
-            labels = components(links.union(written(more, "join-across")))
+        # sketches first: they are short, and leave the families of nodes that may really be similar
+        sketches = table.select("node", "n_shingles", F.col("sketch").alias("items")).join(_placed(families, n_buckets).hint("merge"), "node").dropDuplicates(["node"])
+        close = _components_in(written(sketches, "join-sketches"), num, den, exact=False)
+        sets = _sets_of(_placed(close, n_buckets), rows, width).withColumn("n_shingles", (F.octet_length("items") / 8).cast("bigint"))
+        labels = _components_in(written(sets, "join-sets"), num, den, exact=True)
 
         named = written(table.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "join-labels")
         first = written(named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first")), "join-first")
