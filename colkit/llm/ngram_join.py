@@ -234,7 +234,7 @@ class Sets:
     def candidates(self, i: int, own: np.ndarray, other: Sets, theirs: np.ndarray, among: np.ndarray) -> np.ndarray:
         """Those of ``among`` that sizes and sketches allow."""
         total = self.sizes[i] + other.sizes[among]
-        differ = np.bitwise_count(theirs[among] ^ own[i]).sum(axis=1, dtype=np.int64)
+        differ = np.maximum(np.bitwise_count(theirs[among] ^ own[i]).sum(axis=1, dtype=np.int64), np.abs(self.sizes[i] - other.sizes[among]))
         return among[differ * (self.num + self.den) <= total * (self.den - self.num)]
 
 
