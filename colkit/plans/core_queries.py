@@ -154,6 +154,13 @@ def reduce_prod(spark, sf_dir):
     return few.groupBy("o_orderstatus").agg(reduce_expr("prod", (1 + F.col("o_orderkey") % 3).cast("double")).alias("p"))
 
 
+#: Over all orders: a customer's orders are few at every scale, so that the product of their factors stays finite, and exact up to 33.
+@query("SELECT o_custkey, product(CAST(1 + o_orderkey % 3 AS DOUBLE)) AS p FROM orders GROUP BY o_custkey")
+def reduce_prod_all_rows(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    return orders.groupBy("o_custkey").agg(reduce_expr("prod", (1 + F.col("o_orderkey") % 3).cast("double")).alias("p"))
+
+
 @query(f"SELECT l_returnflag, l_linestatus, round(coalesce(sum({_Q}), 0) / count(*), 6) AS m, round(avg({_Q}), 6) AS a {_FLAG}")
 def reduce_mean_all_rows(spark, sf_dir):
     return _reduced(spark, sf_dir, 6, m="mean_all_rows", a="mean")
