@@ -430,6 +430,14 @@ def merge_outer_dups(spark, sf_dir):
     return frame.merge(c, s, "c_nationkey", "s_nationkey", "full").select("c_custkey", "s_suppkey")
 
 
+#: Unmatched rows on either side without leaving a row out: one key becomes null, one moves out of the other side's range.
+@query("SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS a FROM customer) c FULL JOIN (SELECT s_suppkey, CASE WHEN s_nationkey = 5 THEN 105 ELSE s_nationkey END AS b FROM supplier) s ON a IS NOT DISTINCT FROM b")
+def merge_outer_dups_all_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").select("c_custkey", F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")).alias("a"))
+    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").select("s_suppkey", F.when(F.col("s_nationkey") == 5, 105).otherwise(F.col("s_nationkey")).alias("b"))
+    return frame.merge(c, s, "a", "b", "full").select("c_custkey", "s_suppkey")
+
+
 @query(f"SELECT event_id, {_X} AS x FROM events ORDER BY x ASC NULLS LAST, event_id")
 def sort_nulls_last(spark, sf_dir):
     return frame.sort_values(_events(spark, sf_dir).select("event_id", "x"), "x", tie="event_id")
@@ -480,6 +488,14 @@ def align(spark, sf_dir):
     return frame.align(a, b, "k", ("x", "y"))
 
 
+@query("SELECT coalesce(a, b) AS k, x, y FROM (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey ELSE n_nationkey + 100 END AS a, n_name AS x FROM nation) FULL JOIN (SELECT r_regionkey AS b, r_name AS y FROM region) ON a = b")
+def align_all_rows(spark, sf_dir):
+    shifted = F.when(F.col("n_nationkey") > 3, F.col("n_nationkey")).otherwise(F.col("n_nationkey") + 100)
+    a = table(spark, sf_dir, "nation", "n_nationkey", "n_name").select(shifted.alias("k"), "n_name")
+    b = table(spark, sf_dir, "region", "r_regionkey", "r_name").withColumnsRenamed({"r_regionkey": "k"})
+    return frame.align(a, b, "k", ("x", "y"))
+
+
 @query("SELECT event_id, 'user_id' AS \"column\", user_id AS value FROM events UNION ALL SELECT event_id, 'double', user_id * 2 FROM events")
 def stack(spark, sf_dir):
     df = table(spark, sf_dir, "events", "event_id", "user_id").withColumn("double", F.col("user_id") * 2)

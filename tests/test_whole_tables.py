@@ -24,3 +24,21 @@ def test_product_takes_all_orders(spark):
     assert got.keys() == want.keys()
     for customer, factors in want.items():
         assert math.isclose(got[customer], math.prod(factors), rel_tol=1e-12)
+
+
+def test_outer_join_takes_all_rows(spark):
+    customers, suppliers = [(k, k % 9) for k in range(40)], [(k, k % 11) for k in range(30)]
+    path = store(spark, customer=(customers, "c_custkey long, c_nationkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int"))
+    got = [tuple(r) for r in QUERIES["merge_outer_dups_all_rows"](spark, path).collect()]
+    want = [(c, s) for c, a in customers for s, b in suppliers if a == b and a not in (3, 5)]
+    want += [(c, None) for c, a in customers if a in (3, 5)] + [(None, s) for s, b in suppliers if b in (3, 5) or b > 8]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {c for c, _ in got} == {None, *range(40)} and {s for _, s in got} == {None, *range(30)}
+
+
+def test_alignment_takes_all_rows(spark):
+    nations, regions = [(k, f"n{k}") for k in range(25)], [(k, f"r{k}") for k in range(5)]
+    path = store(spark, nation=(nations, "n_nationkey int, n_name string"), region=(regions, "r_regionkey int, r_name string"))
+    got = [tuple(r) for r in QUERIES["align_all_rows"](spark, path).collect()]
+    want = [(k if k > 3 else k + 100, f"n{k}", "r4" if k == 4 else None) for k in range(25)] + [(k, None, f"r{k}") for k in range(4)]
+    assert sorted(got) == sorted(want)
