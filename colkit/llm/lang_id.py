@@ -1,6 +1,6 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter: each slot is a 64-bit mask with one bit per language, so the AND of an n-gram's
+A bit-sliced Bloom filter: each slot is a mask with one bit per language, in 64-bit words, so the AND of an n-gram's
 slots gives all languages that hold the n-gram at once.  A document's language is that with the most
 of its n-grams, after each language's count is corrected for its false positives.
 
@@ -72,19 +72,26 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         yield which, held
 
 
+def _bit(mask: np.ndarray, k: int) -> np.ndarray:
+    """Language k's bit in masks of its word."""
+    return (mask >> np.uint64(k % 64)) & np.uint64(1)
+
+
 @dataclass
 class Filter:
     languages: list[str]
-    slots: np.ndarray  # of 64-bit masks
+    slots: np.ndarray  # of 64-bit masks, a row for each 64 languages
     false_positive: np.ndarray  # by language
 
     @staticmethod
     def build(languages: list[str], hashes: np.ndarray, masks: np.ndarray) -> Filter:
-        most = max([1, *(int(((masks >> np.uint64(k)) & np.uint64(1)).sum()) for k in range(len(languages)))])
-        slots = np.zeros(1 << max(10, (8 * most - 1).bit_length()), dtype=np.uint64)
-        for at in Filter._at(hashes, slots.size):
-            np.bitwise_or.at(slots, at, masks)
-        fill = np.array([((slots >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(languages))])
+        masks = np.atleast_2d(masks)
+        most = max([1, *(int(_bit(masks[k // 64], k).sum()) for k in range(len(languages)))])
+        slots = np.zeros((masks.shape[0], 1 << max(10, (8 * most - 1).bit_length())), dtype=np.uint64)
+        for at in Filter._at(hashes, slots.shape[1]):
+            for word in range(masks.shape[0]):
+                np.bitwise_or.at(slots[word], at, masks[word])
+        fill = np.array([_bit(slots[k // 64], k).mean() for k in range(len(languages))])
         return Filter(languages, slots, fill**HASHES)
 
     @staticmethod
@@ -92,11 +99,11 @@ class Filter:
         bits = np.uint64(20)
         return [((h >> (bits * np.uint64(k))) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
 
-    def holders(self, h: np.ndarray) -> np.ndarray:
-        """The mask of languages that hold each n-gram."""
+    def holders(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """The mask of languages that hold each n-gram, of the 64 languages of ``word``."""
         mask = None
-        for at in self._at(h, self.slots.size):
-            mask = self.slots[at] if mask is None else mask & self.slots[at]
+        for at in self._at(h, self.slots.shape[1]):
+            mask = self.slots[word][at] if mask is None else mask & self.slots[word][at]
         return mask
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,28 +111,26 @@ class Filter:
         n, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
         for which, held in pieces(texts):
             h, counts = grams(held)
-            mask = self.holders(h)
             starts = np.cumsum(counts) - counts
             full = np.flatnonzero(counts)
             at = np.array(which)[full]
             np.add.at(n, at, counts[full])
             for k in range(len(self.languages)):
                 if full.size:
-                    bit = ((mask >> np.uint64(k)) & np.uint64(1)).astype(np.int64)
-                    np.add.at(hits[:, k], at, np.add.reduceat(bit, starts[full]))
+                    if k % 64 == 0:
+                        mask = self.holders(h, k // 64)
+                    np.add.at(hits[:, k], at, np.add.reduceat(_bit(mask, k).astype(np.int64), starts[full]))
         share = hits / np.maximum(n, 1)[:, None]
         return n, np.clip((share - self.false_positive) / (1 - self.false_positive), 0, 1)
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> Filter:
-    """Learns from the rows of ``docs``; null languages and texts teach nothing.  64 languages at most."""
+    """Learns from the rows of ``docs``; null languages and texts teach nothing."""
     rows = columns(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(65).collect()}
-    if len(counts) > 64:
-        raise ValueError("a mask holds 64 languages at most")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return Filter([], np.zeros(1024, dtype=np.uint64), np.zeros(0))
+        return Filter([], np.zeros((1, 1024), dtype=np.uint64), np.zeros(0))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_docs / counts[k]))]), F.col("lang"))
     sample = rows.where(draw < share).select("lang", "text")
@@ -146,8 +151,12 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     ranked = ranked.where((F.col("rank") <= max_grams) & (F.col("n") >= min_count))
     own = ranked.select("lang", "gram", "f", F.max("f").over(Window.partitionBy("gram")).alias("top")).where(F.col("f") >= F.lit(min_share) * F.col("top"))
     bit = F.element_at(F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)]), F.col("lang"))
-    got = own.groupBy("gram").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("mask")).toPandas()
-    return Filter.build(languages, got["gram"].to_numpy(np.int64).view(np.uint64), got["mask"].to_numpy(np.int64).view(np.uint64))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)
+    got = own.groupBy("gram", word.alias("word")).agg(F.bit_or(mask).alias("mask")).toPandas()
+    gram, at = np.unique(got["gram"].to_numpy(np.int64), return_inverse=True)
+    masks = np.zeros((-(-len(languages) // 64), gram.size), dtype=np.uint64)
+    masks[got["word"].to_numpy(np.int64), at] = got["mask"].to_numpy(np.int64).view(np.uint64)
+    return Filter.build(languages, gram.view(np.uint64), masks)
 
 
 def predict(docs: DataFrame, model: Filter, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

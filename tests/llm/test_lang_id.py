@@ -59,3 +59,17 @@ def test_grams_do_not_depend_on_neighbours():
         one, m = grams([t])
         assert m[0] == n[k] and one.tolist() == h[at[k] - n[k] : at[k]].tolist()
     assert [w for w, _ in pieces([None, "ABC"])] == [[0, 1]]
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    """Each of 130 languages has its own two letters."""
+    rows = []
+    for k in range(130):
+        x, y = chr(0x4E00 + 2 * k), chr(0x4E01 + 2 * k)
+        rows += [(3 * k + j, f"{x}{y} {y}{x} {x}{x}{y} " * (j + 4), f"l{k:03}") for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = fit(df)
+    assert len(model.languages) == 130 and model.slots.shape[0] == 3
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(df, model).collect()}
+    assert all(got[i][0] == lang and got[i][1] > 0.8 for i, _, lang in rows)
+    assert keep_determined(df, model).count() == len(rows)
