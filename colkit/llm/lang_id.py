@@ -25,6 +25,8 @@ UNDETERMINED = "und"
 MAX_DOCS, MAX_GRAMS = 2000, 30_000
 #: An n-gram belongs to a language if it is seen so often there, and at this share of its highest relative frequency.
 MIN_COUNT, MIN_SHARE = 3, 0.3
+#: Counts under MIN_COUNT are enough in a language in which too few n-grams would be known else: under this share of its sample.
+KNOWN_MASS = 0.9
 HASHES, PIECE_CHARS = 3, 500_000
 _LETTERS: list[np.ndarray] = []
 
@@ -82,9 +84,10 @@ class Filter:
     languages: list[str]
     slots: np.ndarray  # of 64-bit masks, a row for each 64 languages
     false_positive: np.ndarray  # by language
+    held: np.ndarray  # by language: the share of its own sample's n-grams that it holds
 
     @staticmethod
-    def build(languages: list[str], hashes: np.ndarray, masks: np.ndarray) -> Filter:
+    def build(languages: list[str], hashes: np.ndarray, masks: np.ndarray, held: np.ndarray | None = None) -> Filter:
         masks = np.atleast_2d(masks)
         most = max([1, *(int(_bit(masks[k // 64], k).sum()) for k in range(len(languages)))])
         slots = np.zeros((masks.shape[0], 1 << max(10, (8 * most - 1).bit_length())), dtype=np.uint64)
@@ -92,7 +95,7 @@ class Filter:
             for word in range(masks.shape[0]):
                 np.bitwise_or.at(slots[word], at, masks[word])
         fill = np.array([_bit(slots[k // 64], k).mean() for k in range(len(languages))])
-        return Filter(languages, slots, fill**HASHES)
+        return Filter(languages, slots, fill**HASHES, np.ones(len(languages)) if held is None else held)
 
     @staticmethod
     def _at(h: np.ndarray, size: int) -> list[np.ndarray]:
@@ -130,7 +133,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
-        return Filter([], np.zeros((1, 1024), dtype=np.uint64), np.zeros(0))
+        return Filter([], np.zeros((1, 1024), dtype=np.uint64), np.zeros(0), np.zeros(0))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, max_docs / counts[k]))]), F.col("lang"))
     sample = rows.where(draw < share).select("lang", "text")
@@ -147,16 +150,24 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
 
     counted = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_lang = Window.partitionBy("lang")
-    ranked = counted.select("*", (F.col("n") / F.sum("n").over(by_lang)).alias("f"), F.row_number().over(by_lang.orderBy(F.desc("n"), "gram")).alias("rank"))
-    ranked = ranked.where((F.col("rank") <= max_grams) & (F.col("n") >= min_count))
-    own = ranked.select("lang", "gram", "f", F.max("f").over(Window.partitionBy("gram")).alias("top")).where(F.col("f") >= F.lit(min_share) * F.col("top"))
+    total = F.sum("n").over(by_lang)
+    ranked = counted.select("*", total.alias("total"), (F.col("n") / total).alias("f"), F.row_number().over(by_lang.orderBy(F.desc("n"), "gram")).alias("rank"))
+    # the highest count, min_count at most, at which enough of the sample is known
+    needed = F.lit(1)
+    for m in range(2, min_count + 1):
+        mass = F.sum(F.when(F.col("n") >= m, F.col("n"))).over(by_lang) / F.col("total")
+        needed = F.when(mass >= KNOWN_MASS, F.lit(m)).otherwise(needed)
+    ranked = ranked.withColumn("needed", needed).where((F.col("rank") <= max_grams) & (F.col("n") >= F.col("needed")))
+    # what is seen less than min_count times takes nothing from other languages
+    sure = F.max(F.when(F.col("n") >= min_count, F.col("f"))).over(Window.partitionBy("gram"))
+    own = ranked.select("lang", "gram", "f", sure.alias("top")).where(F.col("f") >= F.lit(min_share) * F.coalesce("top", F.lit(0.0)))
     bit = F.element_at(F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)]), F.col("lang"))
-    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)
-    got = own.groupBy("gram", word.alias("word")).agg(F.bit_or(mask).alias("mask")).toPandas()
+    got = own.select(bit.alias("bit"), "gram", "f").toPandas()
+    k = got["bit"].to_numpy(np.int64)
     gram, at = np.unique(got["gram"].to_numpy(np.int64), return_inverse=True)
     masks = np.zeros((-(-len(languages) // 64), gram.size), dtype=np.uint64)
-    masks[got["word"].to_numpy(np.int64), at] = got["mask"].to_numpy(np.int64).view(np.uint64)
-    return Filter.build(languages, gram.view(np.uint64), masks)
+    np.bitwise_or.at(masks, (k // 64, at), np.uint64(1) << (k % 64).astype(np.uint64))
+    return Filter.build(languages, gram.view(np.uint64), masks, np.bincount(k, got["f"].to_numpy(np.float64), len(languages)))
 
 
 def predict(docs: DataFrame, model: Filter, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +202,11 @@ def predict(docs: DataFrame, model: Filter, *, id_col: str = "doc_id", text_col:
 
 
 def keep_determined(docs: DataFrame, model: Filter, *, text_col: str = "text", min_coverage: float = 0.2) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose text has letters and at least ``min_coverage`` of its n-grams in one language."""
+    """The rows of ``docs``, with all columns, whose text has letters and is in some language that ``model`` learned.
+
+    It is in a language that holds at least ``min_coverage`` as large a share of its n-grams as of those of the language's own
+    sample, so that bounds of the fit, which both meet, reject nothing.  If no n-gram was learned all texts with letters stay.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -200,7 +215,9 @@ def keep_determined(docs: DataFrame, model: Filter, *, text_col: str = "text", m
             keep = []
             for k in range(0, batch.num_rows, 500):
                 n, share = held.value.score(batch.column(at).slice(k, 500).to_pylist())
-                keep.append((n > 0) & (share.max(axis=1, initial=0.0) >= min_coverage))
+                known = held.value.held > 0
+                near = (share >= min_coverage * held.value.held)[:, known].any(axis=1) if known.any() else True
+                keep.append((n > 0) & near)
             yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)

@@ -73,3 +73,21 @@ def test_more_languages_than_a_word_has_bits(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(df, model).collect()}
     assert all(got[i][0] == lang and got[i][1] > 0.8 for i, _, lang in rows)
     assert keep_determined(df, model).count() == len(rows)
+
+
+def test_bounds_of_the_fit_reject_nothing(spark):
+    """Short documents alone in their language stay, documents in a language with more n-grams than are kept do, and all do if nothing was learned."""
+    rnd = random.Random(3)
+    rows = corpus()
+    for i in range(30):
+        letters = rnd.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñçåøæ", 20)
+        rows.append((1000 + i, " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(3, 8))) for _ in range(20)), f"rare{i:02}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = fit(df)
+    assert keep_determined(df, model).count() == len(rows)
+    assert keep_determined(df, fit(df, max_grams=4)).count() == len(rows)
+    none = spark.createDataFrame([(1, "abc", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in keep_determined(none, fit(none)).collect()] == [1]
+    # texts that no language knows still go
+    odd = spark.createDataFrame([(1, "一二三 四五六", "xx")], "doc_id long, text string, lang string")
+    assert keep_determined(odd, model).count() == 0
