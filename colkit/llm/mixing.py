@@ -68,8 +68,9 @@ def mix(
     budget_share: float = 1.5,
     max_repeats: int = 2,
     seed: str = "mix",
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, source, size, source_size, target, finish, taken).
+    """One row per row of ``docs``: (doc_id, source, size, source_size, target, finish, taken), and the columns ``also``.
 
     ``weights`` has (source, weight); by default sources weigh 5, 2, 1 in turn.  ``taken`` counts
     the words the mix takes of the document over all passes.  Null texts have size 0, take part
@@ -79,7 +80,7 @@ def mix(
     """
     with Scratch(docs.sparkSession) as scratch:
         size = word_count(F.col("text"))
-        rows = columns(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))).alias("turn"))
+        rows = columns(docs, doc_id=id_col, text=text_col, source=source_col, **{c: c for c in also}).select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))).alias("turn"), *also)
         rows = written(rows, "mix-sizes")
         blocks = max(1, -(-rows.count() // BLOCK_ROWS))
         bits = max(0, (blocks - 1).bit_length())
@@ -100,10 +101,10 @@ def mix(
         targets = targets.select(F.col("source").alias("named"), "source_size", "target")
         per = offsets.join(targets, F.col("source").eqNullSafe(F.col("named"))).select(F.col("source").alias("named"), F.col("block").alias("at"), "offset", "source_size", "target")
         per = written(per, "mix-offsets")
-        inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, 0)
         queued = rows.select("*", F.sum("size").over(inside).alias("sent"))
         queued = queued.join(per, F.col("source").eqNullSafe(F.col("named")) & (F.col("block") == F.col("at"))).select(
-            "doc_id", "source", "size", "turn", "source_size", "target", (F.col("offset") + F.col("sent")).alias("sent")
+            "doc_id", "source", "size", "turn", "source_size", "target", (F.col("offset") + F.col("sent")).alias("sent"), *also
         )
         queued = written(queued, "mix-queue")
 
@@ -120,7 +121,7 @@ def mix(
             last = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["turn"]).alias("turn"), F.lit(cut["doc_id"]).cast(queued.schema["doc_id"].dataType).alias("doc_id"))
             ins = [F.coalesce(((finish(k) <= 1) & (F.struct(finish(k).alias("finish"), "turn", "doc_id") <= last)).cast("long"), F.lit(0)) for k in range(max_repeats)]
             taken = sum(ins[1:], ins[0]) * F.col("size")
-        result = queued.select("doc_id", "source", "size", "source_size", "target", finish(0).alias("finish"), taken.alias("taken"))
+        result = queued.select("doc_id", "source", "size", "source_size", "target", finish(0).alias("finish"), taken.alias("taken"), *also)
         return scratch.keep(result, queued)
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colkit.llm import bpe, dedup_exact, lang_id, mixing, ngram_join
@@ -19,27 +19,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lang_id.keep_determined(docs, lang_id.fit(docs))
 
 
+def digest() -> Column:
+    """Names a row within its doc_id, which may be null or repeat: after the exact stage no two rows share both."""
+    return F.unhex(dedup_exact.sha256(F.coalesce(F.col("text"), F.lit(""))))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal up to white space: that with the smallest doc_id."""
     kept = dedup_exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    digest = dedup_exact.sha256(dedup_exact.normalise(F.col("text")))
-    rows = docs.withColumn("__own", digest)
+    rows = docs.withColumn("__own", dedup_exact.sha256(dedup_exact.normalise(F.col("text"))))
     same = rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
     return rows.join(written(kept, "pipeline-exact"), same, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (five words, similarity 0.8): that with the smallest doc_id."""
-    found = ngram_join.similar_components(docs, width=5, threshold=(80, 100))
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(written(kept, "pipeline-near"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    # null ids come last, as in the exact stage
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), digest().alias("digest"))
+    rows = docs.withColumn("__key", key)
+    found = ngram_join.similar_components(rows, width=5, threshold=(80, 100), id_col="__key")
+    kept = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"))
+    same = rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["__key"]["digest"] == F.col("__digest"))
+    return rows.join(written(kept, "pipeline-near"), same, "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a document that the mix takes twice is two rows, one that it does not take is none."""
-    taken = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = written(taken.groupBy("__id").agg(F.max("__times").alias("__times")), "pipeline-mix")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id")))
+    rows = docs.withColumn("__own", digest())
+    taken = mixing.mix(rows, also=("__own",)).where("taken > 0")
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("__own").alias("__digest"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    taken = written(taken.groupBy("__id", "__digest").agg(F.max("__times").alias("__times")), "pipeline-mix")
+    rows = rows.join(taken, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")))
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass")
 
 

@@ -9,6 +9,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
+from colkit.llm import mixing
 from colkit.llm.common import new_path
 from tests.llm.test_ngram_join import brute
 
@@ -59,3 +60,29 @@ def test_stages_do_what_they_say(spark):
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() and len(r["ids"]) == 4 * r["n_tokens"]
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r["doc_id"], r["n_tokens"]) for r in whole) == sorted((r["doc_id"], r["n_tokens"]) for r in tokens.collect())
+
+
+def test_rows_without_an_id_and_with_a_shared_one(spark):
+    """Decisions of the near-duplicate and mix stages hold for one row, not for all that share its id."""
+    rnd = random.Random(4)
+    prose = lambda: " ".join("".join(rnd.choice("kalomitures") for _ in range(rnd.randint(2, 8))) for _ in range(80))
+    alone, base, other, shared, third = prose(), prose(), prose(), prose(), prose()
+    rows = [(None, alone), (None, base), (None, base + " tail"), (7, other), (None, other + " tail"), (8, shared), (8, third), (9, shared + " tail"), (6, third + " tail")]
+    docs = spark.createDataFrame([(*r, "xx", f"src{k % 2}") for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    docs = spark.read.parquet(_stored(spark, docs))
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    sure = [(None, alone), (7, other), (8, shared), (6, third + " tail")]
+    assert len(got) == 5 and set(sure) < set(got) and len({(None, base), (None, base + " tail")} & set(got)) == 1
+
+    many = [(None, prose() if k % 3 else "short text " + str(k), "xx", f"src{k % 3}") for k in range(60)]
+    docs = spark.read.parquet(_stored(spark, spark.createDataFrame(many, "doc_id long, text string, lang string, source string").repartition(3)))
+    named = docs.withColumn("name", corpus_pipeline.digest())
+    taken = {bytes(r["name"]): r["taken"] // r["size"] for r in mixing.mix(named, also=("name",)).collect()}
+    assert len(set(taken.values())) > 1
+    got = [r["text"] for r in corpus_pipeline.mixed(spark, docs, "").collect()]
+    assert {hashlib.sha256(t.encode()).digest(): got.count(t) for _, t, *_ in many} == taken
+
+
+def _stored(spark, df):
+    df.write.parquet(path := new_path(spark, "pipeline-rows"))
+    return path
