@@ -6,7 +6,8 @@ path; the longest wins.  The verdicts of the rules are the labels from which the
 * per host, paths are split in segments; segments that look like numbers or identifiers are
   variable and become ``*``;
 * level by level, literal siblings under one template are compared with their pooled siblings by a
-  two-proportion test; those that do not differ, or are too rare to tell, are merged into ``*``;
+  two-proportion test; those that do not differ, or are too rare to tell, are merged into ``*``; this
+  ends where no branch has children that could be kept;
 * a template's purity is its share of blocked labels, smoothed with its host's, which is
   smoothed with that of all hosts; templates at or over ``reject`` are blocked.
 
@@ -25,7 +26,7 @@ from .common import Scratch, columns, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments that vary from page to page: digits with an optional extension, hexadecimal identifiers.
 VARIABLE = r"^([0-9]+(\.[A-Za-z0-9]+)?|[0-9a-fA-F-]{16,})\z"
-#: Levels of the tree; what lies deeper in a path is one last segment.
+#: Levels that the SQL in oracles.py writes out; the tree here goes to the end of each path, so deeper paths may differ from it.
 LEVELS = 4
 MIN_SUPPORT, Z_LIMIT, SMOOTHING, REJECT = 5, 2.58, 2.0, 0.8
 
@@ -54,9 +55,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def segments(path: Column, levels: int = LEVELS) -> Column:
-    """Segments of a path, variable ones as ``*``; the last of ``levels`` holds all that is left."""
-    parts = F.filter(F.split(path, "/", levels + 1), lambda s: s != "")
+def segments(path: Column) -> Column:
+    """All segments of a path, variable ones as ``*``."""
+    parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
     return F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
 
 
@@ -64,25 +65,31 @@ def _share(block: Column, n: Column) -> Column:
     return block / F.nullif(n.cast("double"), F.lit(0.0))
 
 
-def build_templates(shapes: DataFrame, *, levels: int = LEVELS, min_support: int = MIN_SUPPORT, z_limit: float = Z_LIMIT) -> DataFrame:
-    """(host, segs, n, labelled, blocked) -> the same and template."""
-    tree = shapes.select("*", F.lit("").alias("template"))
-    for level in range(levels + 1):
+def build_templates(shapes: DataFrame, *, min_support: int = MIN_SUPPORT, z_limit: float = Z_LIMIT) -> DataFrame:
+    """(host, segs, n, labelled, blocked) -> the same and template.
+
+    A literal child needs ``min_support`` pages, so a branch with fewer gets ``*`` for all that is left of its paths at once.
+    """
+    tree, level = shapes.select("*", F.lit("").alias("template"), (F.size("segs") > 0).alias("open")), 0
+    done, tree = tree.where("not open"), tree.where("open")
+    while not tree.isEmpty():
         here = F.get("segs", F.lit(level))
         kids = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
         pool = Window.partitionBy("host", "template")
         rest_n, rest_b = F.sum("labelled").over(pool) - F.col("labelled"), F.sum("blocked").over(pool) - F.col("blocked")
-        kids = kids.select("*", rest_n.alias("rest_n"), rest_b.alias("rest_b"))
+        kids = kids.select("*", rest_n.alias("rest_n"), rest_b.alias("rest_b"), (F.sum("n").over(pool) < min_support).alias("few"))
         p = (F.col("blocked") + F.col("rest_b")) / F.nullif((F.col("labelled") + F.col("rest_n")).cast("double"), F.lit(0.0))
         spread = p * (1.0 - p) * (1.0 / F.nullif(F.col("labelled").cast("double"), F.lit(0.0)) + 1.0 / F.nullif(F.col("rest_n").cast("double"), F.lit(0.0)))
         gap = _share(F.col("blocked"), F.col("labelled")) - _share(F.col("rest_b"), F.col("rest_n"))
         differs = F.coalesce((spread > 0) & (gap * gap > F.lit(z_limit * z_limit) * spread), F.lit(False))
-        literal = kids.where((F.col("seg") != "*") & ((differs & (F.col("labelled") >= min_support)) | ((F.col("labelled") == 0) & (F.col("n") >= min_support))))
-        literal = written(literal.select("host", "template", "seg", F.lit(True).alias("own")), "url-literals")
-        tree = tree.withColumn("seg", here).join(literal, ["host", "template", "seg"], "left")
-        grown = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit("*"))))
-        tree = written(tree.select("host", "segs", "n", "labelled", "blocked", grown.alias("template")), "url-tree")
-    return tree
+        own = (F.col("seg") != "*") & ((differs & (F.col("labelled") >= min_support)) | ((F.col("labelled") == 0) & (F.col("n") >= min_support)))
+        known = written(kids.select("host", "template", "seg", "few", own.alias("own")).where("few or own"), "url-literals")
+        tree = tree.withColumn("seg", here).join(known, ["host", "template", "seg"], "left")
+        left, few = F.size("segs") - level, F.coalesce("few", F.lit(False))
+        step = F.when(few, F.repeat(F.lit("/*"), left)).otherwise(F.concat(F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit("*"))))
+        tree = written(tree.select("host", "segs", "n", "labelled", "blocked", F.concat("template", step).alias("template"), (~few & (left > 1)).alias("open")), "url-tree")
+        done, tree, level = done.union(tree.where("not open")), tree.where("open"), level + 1
+    return done.drop("open")
 
 
 def filter_urls(
@@ -91,7 +98,6 @@ def filter_urls(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
-    levels: int = LEVELS,
     min_support: int = MIN_SUPPORT,
     z_limit: float = Z_LIMIT,
     smoothing: float = SMOOTHING,
@@ -106,11 +112,11 @@ def filter_urls(
     host, path = host_and_path(F.col("url"))
     rows = columns(pages, page_id=id_col, url=url_col).select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path"), levels).alias("segs"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path")).alias("segs"))
     is_blocked = (F.col("ruled") == "block").cast("long")
     shapes = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.coalesce(F.sum(is_blocked), F.lit(0)).alias("blocked"))
     with Scratch(pages.sparkSession) as scratch:
-        tree = build_templates(written(shapes, "url-shapes"), levels=levels, min_support=min_support, z_limit=z_limit)
+        tree = build_templates(written(shapes, "url-shapes"), min_support=min_support, z_limit=z_limit)
 
         sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
         overall = tree.agg(*sums).first()

@@ -56,3 +56,17 @@ def test_empty_table_repeats_and_deep_paths(spark):
     deep = "http://d.example/" + "/".join(f"p{k}" for k in range(2000))
     got = filter_urls(spark.createDataFrame([(1, deep), (1, deep), (None, deep)], "page_id long, url string"), URL_RULES).collect()
     assert len(got) == 3 and len({r["verdict"] for r in got}) == 1
+
+
+def test_branches_below_the_fourth_segment_are_told_apart(spark):
+    rules = [("block", "h.example/a/b/c/spam/1"), ("allow", "h.example/a/b/c/ok/1")]
+    urls = [f"http://h.example/a/b/c/{kind}/1{k}" for kind in ("spam", "ok") for k in range(40)]
+    urls += ["http://h.example/a/b/c/spam/999", "http://h.example/a/b/c/ok/999"]
+    urls += [f"http://i.example/a/b/{x}/c/d/e/f/{k}" for x in "pq" for k in range(9)] + ["http://i.example/a/z/1", "http://i.example/"]
+    got = {r["url"]: r for r in filter_urls(frame(spark, urls), rules).join(frame(spark, urls).select("page_id", "url"), "page_id").collect()}
+    assert len(got) == len(urls)
+    spam, ok = got["http://h.example/a/b/c/spam/999"], got["http://h.example/a/b/c/ok/999"]
+    assert spam["rule"] is None and (spam["template"], spam["verdict"]) == ("/*/*/*/spam/*", "block")
+    assert ok["rule"] is None and (ok["template"], ok["verdict"]) == ("/*/*/*/ok/*", "allow")
+    assert got["http://i.example/a/b/q/c/d/e/f/3"]["template"] == "/a/b/q/c/d/e/f/*"
+    assert got["http://i.example/a/z/1"]["template"] == "/a/*/*" and got["http://i.example/"]["template"] == ""
