@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import contextvars
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
@@ -18,17 +17,10 @@ WORD = rf"[^{WS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session does not name one (tests on one machine) a temporary
-    folder is made and set.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which the session has to name."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = getattr(spark, "_colkit_shared_dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="colkit-")
-        spark._colkit_shared_dir = path
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return path.rstrip("/")
 
 
@@ -93,6 +85,51 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return register(spark, spark.read.schema(df.schema).parquet(path), path)
 
 
+#: Rows that one bitmap stands for (of 4 KB, as Spark's bitmap functions make them); bitmaps that are broadcast at once: 32 MB.
+BLOCK_BITS, MOST_BITMAPS = 15, 8192
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table with a number for each row, ``__row``: the part of the table in the upper bits, the place in it in the lower 33."""
+    return written(df.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
+def bit_at(bits: Column, at: Column) -> Column:
+    """Whether bit ``at`` of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+
+
+def picked(table: DataFrame, picks: DataFrame) -> DataFrame:
+    """The rows of a ``numbered`` table that ``picks`` (__row, __copy int) name, once for each copy; without ``__row``.
+
+    Picks travel as a bitmap for each 32768 rows, to where the rows are: no row of the table is shuffled.  ``MOST_BITMAPS`` of them are broadcast
+    at once; a table with more is worked through slice by slice, each a range of its parts, which the scan prunes by ``__row``.
+    """
+    keep = [c for c in table.columns if c != "__row"]
+    low = F.col("__row").bitwiseAND((1 << BLOCK_BITS) - 1)
+    block = F.shiftright("__row", BLOCK_BITS)
+    bitmaps = written(picks.groupBy(block.alias("__block"), "__copy").agg(F.bitmap_construct_agg(low).alias("__bits")), "picks")
+
+    def some(rows: DataFrame, maps: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(maps), block == maps["__block"]).where(bit_at(maps["__bits"], low)).select(*[rows[f"`{c}`"] for c in keep])
+
+    if bitmaps.count() <= MOST_BITMAPS:
+        result = some(table, bitmaps)
+        result._colkit_reads = [bitmaps]
+        return result
+    part = F.shiftright("__block", 33 - BLOCK_BITS)
+    upto = F.sum("n").over(Window.orderBy("part"))  # a row for each part of the table
+    slices = bitmaps.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.floor((upto - F.col("n")) / MOST_BITMAPS).alias("slice"))
+    path = new_path(table.sparkSession, "picked")
+    for r in slices.groupBy("slice").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).orderBy("slice").toLocalIterator():
+        inside = (F.col("__row") >= r["lo"] << 33) & (F.col("__row") < (r["hi"] + 1) << 33)
+        some(table.where(inside), bitmaps.where(part.between(r["lo"], r["hi"]))).write.mode("append").parquet(path)
+    result = register(table.sparkSession, table.sparkSession.read.schema(table.select(*keep).schema).parquet(path), path)
+    result._colkit_reads = [result]
+    return result
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
