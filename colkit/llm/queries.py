@@ -49,7 +49,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup_exact import exact_dedup
 
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
