@@ -1,25 +1,28 @@
 """Jaccard join of word-shingle sets by PartEnum signatures, and its connected components.
 
-Equal sets are one node, named by a 64-bit digest of the set.  Nodes are put in size bands whose bounds grow by
-1 / threshold, so that two similar sets lie in one band or in neighbouring ones, and in a band the threshold is a bound ``k``
+Equal sets are one node, named by a 64-bit digest of the set and, where two sets share that, by a second one.  Nodes are put in size bands whose
+bounds grow by 1 / threshold, so that two similar sets lie in one band or in neighbouring ones, and in a band the threshold is a bound ``k``
 on the number of shingles in which two sets differ.  The domain of shingles is hashed into ``n1`` partitions of three cells; in a
 partition each subset of two cells gives a signature, the hash of the set's shingles in them.  If sets differ
 in ``k`` shingles at most, some partition holds one difference at most, and a subset without it gives both the same signature.
 Some more partitions than that needs make signatures of empty subsets unnecessary, but for sets that
 have more partitions with an empty subset than there are spare ones.
 
-Nodes that share a signature are connected inside their bucket, and a pair per node and bucket leaves it.  The components of these pairs are
-families: all similar pairs are inside of them.  First a family's sketches come together in blocks, and leave smaller families of nodes that
-sketches, which cannot lose a similar pair, allow to be similar; then these families' sets, which are compared by their real intersection.  Where a family fills several blocks, nodes outside of its largest component are compared with
-all its blocks.  So no link between components is lost, no pairs are written, and a group of near copies costs as many rows as it has members.
+Nodes that share a signature are a group; groups of the same nodes are one.  Candidates are judged inside their groups, before any components are
+formed, by sketches that cannot lose a similar pair: first each node with the smallest of its group, which decides groups of two and groups of near
+copies; then, in groups in which that failed and which are not connected otherwise, all nodes that are not connected yet, block by block.  The
+components of what the sketches allow are families.  Only their sets travel, and are compared by their real intersection.  Where a
+group or family fills several blocks, nodes outside of its largest component are compared with all its blocks.  So no link between components is
+lost, no pairs are written, and a group of near copies costs as many rows as it has members.
 
-At scale: signatures are packed in a row per batch and bucket, deduplicated before the shuffle; copies of a set in one batch travel once.
-The number of buckets grows with the input.  Sets travel only for nodes in families, found by a bit filter of bounded size.
+At scale: signatures are packed in a row per batch and bucket, copies of a set in one batch travel once, and a signature that several sets of one
+batch share sends the smallest of them to its bucket and the rest past it, so a signature that a third of all sets share does not fill a
+task.  The number of buckets grows with the input.  Sets travel only for nodes in families, found by a bit filter of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import exp
 
@@ -33,12 +36,14 @@ from .hashing import BASE, digests, mix, powers
 
 #: Cells of a partition.
 CELLS = 3
-#: Bits of the sketches that travel before sets do.
-SKETCH = 1024
-#: Documents a bucket of signatures stands for; nodes of a family that are compared in one task.
-BUCKET_DOCS, BLOCK = 3000, 4000
-#: Bits of the filter for candidate nodes: 4 MB.
-FILTER_BITS = 1 << 25
+#: Least and most bits of the sketches that travel before sets do; between them about a bit for each shingle.
+SKETCH = 128, 16384
+#: Documents a bucket of signatures stands for; sets that share a signature in one batch from which on only one goes to the bucket; their lanes.
+BUCKET_DOCS, LOCAL, LANES = 3000, 4, 16
+#: Nodes, and shingles, that are compared in one task.
+BLOCK, BLOCK_SHINGLES = 4000, 2_000_000
+#: Most bits of a filter of nodes or of candidates: 32 MB.
+FILTER_BITS = 1 << 28
 _U = np.uint64
 
 
@@ -83,19 +88,51 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     return (np.concatenate(sets) if sets else s[:0]), np.array([x.size for x in sets], dtype=np.int64)
 
 
-def set_ids(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def set_ids(flat: np.ndarray, sizes: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit digest of each set; 0 for empty ones."""
-    total = np.r_[_U(0), np.cumsum(mix(flat, 0x5E7), dtype=np.uint64)]
+    total = np.r_[_U(0), np.cumsum(mix(flat, 0x5E7 + salt), dtype=np.uint64)]
     ends = np.cumsum(sizes)
     return np.where(sizes > 0, mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64), 0x1D), _U(0))
 
 
+def named(flat: np.ndarray, sizes: np.ndarray, clashes: np.ndarray, ids_of: Callable = set_ids) -> np.ndarray:
+    """Each set's node: its digest, and where sets share that (``clashes``) a second one."""
+    ids = ids_of(flat, sizes).view(np.int64)
+    twice = np.isin(ids, clashes)
+    if twice.any():
+        ids = np.where(twice, ids_of(flat, sizes, 1).view(np.int64), ids)
+    return ids
+
+
+def sketch_bits(sizes: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64), *SKETCH)
+
+
 def sketches_of(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A parity sketch of ``SKETCH`` bits of each set."""
+    """A parity sketch of each set: a bit per hash value, flipped by each shingle that has it."""
+    bits = sketch_bits(sizes)
+    ends = np.cumsum(bits)
     of = np.repeat(np.arange(sizes.size), sizes)
-    at = (mix(flat, 0x5CE7) % _U(SKETCH)).astype(np.int64)
-    odd = (np.bincount(of * SKETCH + at, minlength=sizes.size * SKETCH) & 1).astype(np.uint8)
-    return [row.tobytes() for row in np.packbits(odd.reshape(sizes.size, SKETCH), axis=1)]
+    at = (ends - bits)[of] + (mix(flat, 0x5CE7) & (bits - 1).astype(np.uint64)[of]).astype(np.int64)
+    total = int(ends[-1]) if sizes.size else 0
+    data = np.packbits((np.bincount(at, minlength=total) & 1).astype(np.uint8)).tobytes()
+    return [data[(e - n) // 8 : e // 8] for e, n in zip(ends.tolist(), bits.tolist(), strict=True)]
+
+
+def folded(rows: list[bytes], bits: int) -> np.ndarray:
+    """Sketches as a matrix of 64-bit words, all brought to ``bits``: the fewest that one has, or fewer."""
+    out = np.zeros((len(rows), bits // 64), dtype=np.uint64)
+    lengths = np.array([len(r) for r in rows], dtype=np.int64)
+    for n in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == n)
+        words = np.frombuffer(b"".join([rows[k] for k in at.tolist()]), dtype=np.uint64)
+        out[at] = np.bitwise_xor.reduce(words.reshape(at.size, -1, bits // 64), axis=1)
+    return out
+
+
+def allowed(differ: np.ndarray, size: np.ndarray, other: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in at least so many shingles can be similar."""
+    return np.maximum(differ, np.abs(size - other)) * (num + den) <= (size + other) * (den - num)
 
 
 def bands(most: int, num: int, den: int) -> np.ndarray:
@@ -171,46 +208,76 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple
     return np.concatenate(sigs), np.concatenate(sets)
 
 
-def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For nodes 0 to n - 1 and edges (a, b): the smallest node that each reaches."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _pairs_of_bucket(sig: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Pairs of a node and the smallest node that the bucket's signatures connect it with."""
+def name_of(starts: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each group of nodes."""
+    sizes = np.diff(np.r_[starts, node.size])
+    return mix(np.add.reduceat(mix(node.view(np.uint64), 0xFA), starts) + sizes.astype(np.uint64), 0xF0).view(np.int64)
+
+
+def grouped(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (signature, node) in order, as (signature, node, start of each signature)."""
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])] if sig.size else np.zeros(0, dtype=bool)
-    sig, node = sig[new], node[new]
+    if sig.size:
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
+        sig, node = sig[new], node[new]
     starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if sig.size else np.zeros(0, dtype=np.int64)
+    return sig, node, starts
+
+
+#: Kinds of rows on their way to a bucket: entries, entries that stand for a group of their batch, such a group.
+ENTRY, HUB, GROUP = 0, 1, 2
+
+
+def _packed(sig: np.ndarray, node: np.ndarray, n_buckets: int, lane: int, local: int) -> list[tuple]:
+    """Rows (bucket, lane, kind, nodes, times, sigs) of a batch's signatures.
+
+    Nodes of a batch that share a signature, if they are ``local`` or more, are a group that goes into a lane of its own; the smallest stands
+    for them in the bucket.
+    """
+    sig, node, starts = grouped(sig, node)
+    sizes = np.diff(np.r_[starts, sig.size])
+    large = sizes >= local
+    kind = np.repeat(np.where(large, GROUP, ENTRY), sizes)
+    sig, node, kind = np.r_[sig, sig[starts[large]]], np.r_[node, node[starts[large]]], np.r_[kind, np.full(large.sum(), HUB)]
+    bucket = (sig % _U(n_buckets)).astype(np.int64)
+    order = np.lexsort((node, kind, bucket))
+    bucket, kind, node, short = bucket[order], kind[order], node[order], (sig[order] >> _U(32)).astype(np.uint32)
+    edges = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])]) if bucket.size else np.zeros(0, dtype=np.int64)
+    out = []
+    for a, e in zip(edges.tolist(), [*edges[1:].tolist(), bucket.size], strict=False):
+        who, times = np.unique(node[a:e], return_counts=True)
+        out.append((int(bucket[a]), lane if kind[a] == GROUP else 0, int(kind[a]), who.tobytes(), times.astype(np.uint32).tobytes(), short[a:e].tobytes()))
+    return out
+
+
+def _groups_of_bucket(bucket: int, kinds: list[int], nodes: list[bytes], times: list[bytes], sigs: list[bytes]) -> tuple[list[int], list[bool], list[bytes]]:
+    """(family, whether other rows may belong to it, nodes) of the groups in one lane of a bucket.
+
+    A signature of which a batch held a group names a family of several rows; other groups are named by their nodes, and equal ones are one.
+    """
+    who = np.concatenate([np.repeat(np.frombuffer(n, np.int64), np.frombuffer(t, np.uint32)) for n, t in zip(nodes, times, strict=True)])
+    sig = np.concatenate([np.frombuffer(x, np.uint32) for x in sigs])
+    kind = np.repeat(kinds, [len(x) // 4 for x in sigs])
+    marked = np.unique(sig[kind != ENTRY])
+    sig, who, starts = grouped(sig, who)
     sizes = np.diff(np.r_[starts, sig.size])
-    many = sizes > 1
-    inside = np.repeat(many, sizes)
-    node, sizes = node[inside], sizes[many]
-    starts = np.cumsum(sizes) - sizes
-    if not node.size:
-        return np.zeros((0, 2), dtype=np.int64)
-    values, at = np.unique(node, return_inverse=True)
-    # nodes are sorted in a group: its first one is the hub; the smallest of all is the same in most buckets
-    hub = np.repeat(at[starts], sizes)
-    root = values[least_reachable(values.size, at, hub)]
-    off = values != root
-    return np.stack([values[off], root[off]], axis=1)
+    open_ = np.isin(sig[starts], marked)
+    name = mix(sig[starts].astype(np.uint64) + (_U(bucket) << _U(32)), 0x516).view(np.int64)
+    if starts.size:
+        name = np.where(open_, name, name_of(starts, who))
+    first = np.zeros(starts.size, dtype=bool)
+    first[np.unique(name, return_index=True)[1]] = True
+    take = np.flatnonzero((sizes > 1) & (open_ | first))
+    return name[take].tolist(), open_[take].tolist(), [who[starts[k] : starts[k] + sizes[k]].tobytes() for k in take.tolist()]
+
+
+def edge_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.view(np.uint64), 3) + mix(b.view(np.uint64), 4))
 
 
 class Sets:
-    """Some nodes' sets, with parity sketches: a bit per hash value, flipped by each shingle that has it.
+    """Some nodes' sets, with parity sketches.
 
     Two sketches differ in at most as many bits as the sets differ in shingles, so a pair whose sketches differ in more
     than its bound cannot be similar; what passes is decided by the real intersection.
@@ -220,12 +287,12 @@ class Sets:
         self.items, self.num, self.den = items, num, den
         self.sizes = np.array([x.size for x in items], dtype=np.int64)
 
+    def bits(self) -> int:
+        return int(sketch_bits(self.sizes).min()) if self.sizes.size else SKETCH[1]
+
     def sketch(self, bits: int) -> np.ndarray:
-        of = np.repeat(np.arange(self.sizes.size), self.sizes)
-        at = (mix(np.concatenate(self.items), 0x5CE7) % _U(bits)).astype(np.int64) if self.sizes.size else of
-        odd = np.zeros((self.sizes.size, bits), dtype=np.uint8)
-        np.bitwise_xor.at(odd, (of, at), np.uint8(1))
-        return np.packbits(odd, axis=1).view(np.uint64)
+        flat = np.concatenate(self.items) if self.items else np.zeros(0, dtype=np.uint64)
+        return folded(sketches_of(flat, self.sizes), bits)
 
     def similar(self, i: int, other: Sets, j: int) -> bool:
         both = np.intersect1d(self.items[i], other.items[j], assume_unique=True).size
@@ -233,20 +300,18 @@ class Sets:
 
     def candidates(self, i: int, own: np.ndarray, other: Sets, theirs: np.ndarray, among: np.ndarray) -> np.ndarray:
         """Those of ``among`` that sizes and sketches allow."""
-        total = self.sizes[i] + other.sizes[among]
-        differ = np.maximum(np.bitwise_count(theirs[among] ^ own[i]).sum(axis=1, dtype=np.int64), np.abs(self.sizes[i] - other.sizes[among]))
-        return among[differ * (self.num + self.den) <= total * (self.den - self.num)]
+        differ = np.bitwise_count(theirs[among] ^ own[i]).sum(axis=1, dtype=np.int64)
+        return among[allowed(differ, self.sizes[i], other.sizes[among], self.num, self.den)]
 
 
 class Sketches(Sets):
-    """Sketches of fixed length instead of sets: what they allow counts as similar."""
+    """Sketches instead of sets: what they allow counts as similar."""
 
     def __init__(self, sizes: np.ndarray, rows: list[bytes], num: int, den: int):
-        self.sizes, self.num, self.den = sizes, num, den
-        self.rows = np.frombuffer(b"".join(rows), dtype=np.uint64).reshape(sizes.size, SKETCH // 64)
+        self.sizes, self.rows, self.num, self.den = sizes, rows, num, den
 
     def sketch(self, bits: int) -> np.ndarray:
-        return self.rows
+        return folded(self.rows, bits)
 
     def similar(self, i: int, other: Sets, j: int) -> bool:
         return True
@@ -259,16 +324,12 @@ def load(group: pa.Table, at: np.ndarray, num: int, den: int, exact: bool) -> Se
     return Sketches(group.column("n_shingles").to_numpy()[at], items, num, den)
 
 
-def sketch_bits(*sets: Sets) -> int:
-    most = max((int(s.sizes.max()) for s in sets if s.sizes.size), default=64)
-    return min(8192, max(256, 1 << (most - 1).bit_length()))
-
-
-def roots_of(sets: Sets) -> np.ndarray:
-    """Each set's component by similarity: the number of a set of its component."""
+def roots_of(sets: Sets, label: np.ndarray) -> np.ndarray:
+    """Each set's component by similarity and by ``label``, which sets that are connected already share: the number of a set of its component."""
     n = sets.sizes.size
-    root = np.arange(n)
-    sketch = sets.sketch(sketch_bits(sets)) if n > 1 else None
+    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+    root = first[inverse]
+    sketch = sets.sketch(sets.bits()) if n > 1 else None
     for i in range(n - 1):
         rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1  # what is connected already need not be compared
         for j in sets.candidates(i, sketch, sets, sketch, rest).tolist():
@@ -277,54 +338,63 @@ def roots_of(sets: Sets) -> np.ndarray:
     return root
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A bit for each of ``nodes`` (column node) in a filter of fixed size, which the driver gets as 4 KB rows, 4 MB at most."""
-    at = F.pmod(F.col("node"), F.lit(FILTER_BITS)) + 1
-    got = nodes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in got:
+def filter_bits(count: int) -> int:
+    return min(FILTER_BITS, max(1 << 15, 1 << (16 * count - 1).bit_length())) if count else 1 << 15
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each of ``keys`` (column key) in a filter that the driver gets as 4 KB rows, 32 MB at most."""
+    bits = filter_bits(keys.count())
+    at = F.pmod(F.col("key"), F.lit(bits)) + 1
+    got = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in got.toLocalIterator():
         out[(row["bucket"] - 1) * 4096 : row["bucket"] * 4096] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out
 
 
-def _sets_of(nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = np.mod(keys, table.size * 8)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sets_of(nodes: DataFrame, docs: DataFrame, width: int, name: Callable) -> DataFrame:
     """(node, ...) -> the same and items: the sets of ``nodes``, from one more pass over the texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(nodes.select(F.col("node").alias("key"))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
         for _, texts in chunks(batches):
             flat, sizes = shingle_sets(texts, width)
-            ids = set_ids(flat, sizes).view(np.int64)
-            at = np.mod(ids, FILTER_BITS)
-            keep = (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            ids = name(flat, sizes)
             ends = np.cumsum(sizes)
             first = np.zeros(ids.size, dtype=bool)
             first[np.unique(ids, return_index=True)[1]] = True
-            take = np.flatnonzero((keep == 1) & (sizes > 0) & first)
+            take = np.flatnonzero(in_filter(table, ids) & (sizes > 0) & first)
             yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array([flat[ends[k] - sizes[k] : ends[k]].tobytes() for k in take.tolist()], pa.binary())], names=["node", "items"])
 
-    found = docs.mapInArrow(sets, "node bigint, items binary")
-    return found.join(nodes.hint("merge"), "node").dropDuplicates(["node"])
+    # copies go before the join: a set that very many rows share is one row of it
+    found = docs.mapInArrow(sets, "node bigint, items binary").dropDuplicates(["node"])
+    return found.join(nodes.hint("merge"), "node")
 
 
 def _linked(sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
-    """(key, family, node, n_shingles, items) -> links (a, b) that connect each family's components within each key."""
+    """(key, family, node, label, n_shingles, items) -> links (a, b) that connect each family's components within each key."""
 
     def link(group: pa.Table) -> pa.Table:
-        family, node = group.column("family").to_numpy(), group.column("node").to_numpy()
+        family, node, label = (group.column(c).to_numpy() for c in ("family", "node", "label"))
         order = np.lexsort((node, family))
         edges = np.flatnonzero(np.r_[True, np.diff(family[order]) != 0, True])
         a, b = [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             mine = order[lo:hi]
-            root = roots_of(load(group, mine, num, den, exact))
+            root = roots_of(load(group, mine, num, den, exact), label[mine])
             off = root != np.arange(root.size)
             a.append(node[mine[off]])
             b.append(node[mine[root[off]]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return sets.select("key", "family", "node", "n_shingles", "items").groupBy("key").applyInArrow(link, "a bigint, b bigint")
+    return sets.select("key", "family", "node", "label", "n_shingles", "items").groupBy("key").applyInArrow(link, "a bigint, b bigint")
 
 
 def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool) -> DataFrame | None:
@@ -333,15 +403,15 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool)
     Two nodes in different components are not both in their family's largest one, so the nodes outside of it (few, in a group
     of near copies) meet all blocks of their family.
     """
-    named = sets.where("blocks > 1").select("family", "node", "block", "blocks").join(labels.hint("merge"), F.col("node") == F.col("id"), "left")
-    named = written(named.select("family", "node", "block", "blocks", F.coalesce("label", "node").alias("label")), "join-named")
-    parts = named.groupBy("family", "label").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
+    wide = sets.where("blocks > 1").select("family", "node", "block", "blocks").join(labels.select(F.col("id").alias("node"), F.col("label").alias("found")).hint("merge"), "node", "left")
+    wide = written(wide.select("family", "node", "block", "blocks", F.coalesce("found", "node").alias("label")), "join-named")
+    parts = wide.groupBy("family", "label").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
     largest = parts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.first("blocks").alias("blocks"))
-    mixed = written(largest.where("top.n < all").select("family", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("lots"), F.col("blocks").alias("n_blocks")), "join-mixed")
+    mixed = written(largest.where("top.n < all").select("family", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) * F.col("blocks") / F.col("all")).cast("int").alias("lots"), F.col("blocks").alias("n_blocks")), "join-mixed")
     if mixed.isEmpty():
         return None
-    members = named.join(mixed, "family")
-    rows = written(sets.where("blocks > 1").select("node", "n_shingles", "items").join(members, "node"), "join-members")
+    members = wide.join(mixed, "family")
+    rows = written(sets.where("blocks > 1").select("family", "node", "n_shingles", "items").join(members, ["family", "node"]), "join-members")
     lot = F.pmod(F.xxhash64("node"), F.col("lots")).cast("int")
     outside = rows.where("label <> top").select("family", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), lot.alias("lot"), "node", "label", "n_shingles", "items")
     inside = rows.select("family", "block", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "node", "label", "n_shingles", "items")
@@ -350,7 +420,7 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool)
         a, b = [], []
         if left.num_rows and right.num_rows:
             x, y = (load(t, np.arange(t.num_rows), num, den, exact) for t in (left, right))
-            bits = sketch_bits(x, y)
+            bits = min(x.bits(), y.bits())
             own, theirs = x.sketch(bits), y.sketch(bits)
             label, node = right.column("label").to_numpy(), right.column("node").to_numpy()
             for i, (name, mine) in enumerate(zip(left.column("node").to_pylist(), left.column("label").to_pylist(), strict=True)):
@@ -366,20 +436,86 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool)
     return outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(cross, "a bigint, b bigint")
 
 
-def _placed(families: DataFrame, n_keys: int) -> DataFrame:
-    """(id, label) -> (node, family, blocks, block, key): small families share keys, large ones have a key per block."""
-    sizes = families.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = families.select(F.col("id").alias("node"), F.col("label").alias("family")).join(written(sizes, "join-sizes").hint("merge"), "family")
+def _placed(members: DataFrame, n_keys: int) -> DataFrame:
+    """(family, node, label, n_shingles) -> the same, blocks, block and key: small families share keys, large ones have a key per block."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(members.groupBy("family").agg(blocks.alias("blocks")), "join-sizes")
+    placed = members.join(sizes.hint("merge"), "family")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_keys)))
-    return written(placed.select("node", "family", "blocks", block.alias("block"), key.alias("key")), "join-placed")
+    return written(placed.select("family", "node", "label", "n_shingles", "blocks", block.alias("block"), key.alias("key")), "join-placed")
 
 
-def _components_in(sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
+def _connected(sets: DataFrame, known: DataFrame | None, num: int, den: int, exact: bool) -> DataFrame:
+    """All links: ``known`` ones, those within blocks and those between them."""
     links = written(_linked(sets, num, den, exact), "join-links")
-    labels = components(links)
-    more = _across(sets, labels, num, den, exact)
-    return labels if more is None else components(links.union(written(more, "join-across")))
+    links = links if known is None else links.union(known)
+    more = _across(sets, components(links), num, den, exact)
+    return links if more is None else links.union(written(more, "join-across"))
+
+
+def _candidates(groups: DataFrame, nodes: DataFrame, n_keys: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect all nodes of each group which their sketches allow to be similar, over other nodes or directly.
+
+    groups: (family, open, members), nodes: (node, n_shingles, sketch), both written.
+    """
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [np.frombuffer(m, np.int64) for m in batch.column(0).to_pylist()]
+            if pairs:
+                a = np.concatenate([p[1:] for p in pairs])
+                b = np.repeat([p[0] for p in pairs], [p.size - 1 for p in pairs])
+                one = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(one[:, 0]), pa.array(one[:, 1])], names=["a", "b"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            least = np.minimum(*([len(x) for x in side] for side in (left, right))) if left else np.zeros(0, dtype=np.int64)
+            differ = np.zeros(a.size, dtype=np.int64)
+            for n in np.unique(least).tolist():
+                at = np.flatnonzero(least == n)
+                x, y = (folded([side[k] for k in at.tolist()], 8 * n) for side in (left, right))
+                differ[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed(differ, na, nb, num, den)), pa.array(edge_names(a, b).view(np.int64))], names=["a", "b", "close", "key"])
+
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")).hint("merge")
+    edges = groups.select("members").mapInArrow(stars, "a bigint, b bigint").distinct()
+    judged = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(judge, "a bigint, b bigint, close boolean, key bigint")
+    judged = written(judged, "join-judged")
+    close = judged.where("close").select("a", "b")
+    labels = components(close)
+    failed = groups.sparkSession.sparkContext.broadcast(_filter(judged.where("not close").select("key")))
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Families in which a node and the smallest one are not close; two nodes that are not are done with."""
+        for batch in batches:
+            found = []
+            for family, open_, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                m = np.frombuffer(m, np.int64)
+                if (open_ or m.size > 2) and in_filter(failed.value, edge_names(m[1:], np.repeat(m[:1], m.size - 1)).view(np.int64)).any():
+                    found.append(family)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["family"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100)
+                members = [np.frombuffer(m, np.int64) for m in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(members)), [m.size for m in members]))), pa.array(np.concatenate(members))], names=["family", "node"])
+
+    families = written(groups.select("family", "open", "members").mapInArrow(doubtful, "family bigint").distinct(), "join-doubtful")
+    if families.isEmpty():
+        return close
+    members = groups.select("family", "members").join(families.hint("merge"), "family").mapInArrow(each, "family bigint, node bigint").distinct()
+    members = members.join(labels.select(F.col("id").alias("node"), "label").hint("merge"), "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
+    members = written(members, "join-doubts")
+    split = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family")
+    members = members.join(written(split, "join-split").hint("merge"), "family").join(nodes.select("node", "n_shingles").hint("merge"), "node")
+    sets = _placed(written(members, "join-doubts"), n_keys).join(nodes.select("node", F.col("sketch").alias("items")).hint("merge"), "node")
+    return _connected(written(sets, "join-sketches"), close, num, den, exact=False)
 
 
 def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -391,56 +527,56 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     but get their component's id.  Repeated rows are equal sets.  An empty table gives an empty result.
     """
     num, den = threshold
+    local, ids_of = LOCAL, set_ids
     rows = columns(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in chunks(batches):
             flat, sizes = shingle_sets(texts, width)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(set_ids(flat, sizes).view(np.int64)), pa.array(sketches_of(flat, sizes), pa.binary())], names=["doc_id", "n_shingles", "node", "sketch"])
+            two = [pa.array(ids_of(flat, sizes, salt).view(np.int64)) for salt in (0, 1)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), *two, pa.array(sketches_of(flat, sizes), pa.binary())], names=["doc_id", "n_shingles", "node", "second", "sketch"])
 
     with Scratch(docs.sparkSession) as scratch:
-        table = written(rows.mapInArrow(narrow, f"doc_id {kind}, n_shingles bigint, node bigint, sketch binary"), "join-rows")
+        table = written(rows.mapInArrow(narrow, f"doc_id {kind}, n_shingles bigint, node bigint, second bigint, sketch binary"), "join-rows")
         n_buckets = buckets or max(64, table.count() // BUCKET_DOCS)
+        # different sets with one 64-bit digest: of 10**10 sets a few
+        twice = table.groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high")
+        clashes = np.array([r["node"] for r in twice.select("node").toLocalIterator()], dtype=np.int64)
+        if clashes.size:
+            table = table.withColumn("node", F.when(F.col("node").isin(clashes.tolist()), F.col("second")).otherwise(F.col("node")))
+
+        def name(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+            return named(flat, sizes, clashes, ids_of)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, texts in chunks(batches):
                 flat, sizes = shingle_sets(texts, width)
-                ids = set_ids(flat, sizes)
+                ids = name(flat, sizes)
                 # copies in the batch travel once
                 once = np.zeros(ids.size, dtype=bool)
                 once[np.unique(ids, return_index=True)[1]] = True
                 sig, of = signatures(flat[np.repeat(once, sizes)], sizes[once], num, den)
-                ids = ids[once].view(np.int64)
-                bucket = (sig % _U(n_buckets)).astype(np.int64)
-                order = np.lexsort((of, bucket))
-                sig, of, bucket = (sig[order] >> _U(32)).astype(np.uint32), of[order], bucket[order]
-                edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if bucket.size else np.zeros(0, dtype=np.int64)
-                out = []
-                for a, e in zip(edges.tolist(), [*edges[1:].tolist(), bucket.size], strict=False):
-                    who, times = np.unique(of[a:e], return_counts=True)
-                    out.append((int(bucket[a]), ids[who].tobytes(), times.astype(np.uint32).tobytes(), sig[a:e].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], names=["bucket", "nodes", "times", "sigs"])
+                ids = ids[once]
+                lane = 1 + int(mix(ids[:1].view(np.uint64))[0] % _U(LANES)) if ids.size else 1
+                if out := _packed(sig, ids[of], n_buckets, lane, local):
+                    yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), *(pa.array([r[k] for r in out], pa.binary()) for k in (3, 4, 5))], names=["bucket", "lane", "kind", "nodes", "times", "sigs"])
 
         def meet(group: pa.Table) -> pa.Table:
-            nodes, sigs = [], []
-            for who, times, sig in zip(*(group.column(c).to_pylist() for c in ("nodes", "times", "sigs")), strict=True):
-                nodes.append(np.repeat(np.frombuffer(who, np.int64), np.frombuffer(times, np.uint32)))
-                sigs.append(np.frombuffer(sig, np.uint32))
-            pairs = _pairs_of_bucket(np.concatenate(sigs), np.concatenate(nodes))
-            return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-        met = rows.mapInArrow(emit, "bucket bigint, nodes binary, times binary, sigs binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
-        # families: all nodes that any signature, over however many steps, brings together
-        families = components(written(met, "join-met"))
-        # sketches first: they are short, and leave the families of nodes that may really be similar
-        sketches = table.select("node", "n_shingles", F.col("sketch").alias("items")).join(_placed(families, n_buckets).hint("merge"), "node").dropDuplicates(["node"])
-        close = _components_in(written(sketches, "join-sketches"), num, den, exact=False)
-        sets = _sets_of(_placed(close, n_buckets), rows, width).withColumn("n_shingles", (F.octet_length("items") / 8).cast("bigint"))
-        labels = _components_in(written(sets, "join-sets"), num, den, exact=True)
-
-        named = written(table.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "join-labels")
-        first = written(named.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first")), "join-first")
-        result = named.join(first, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
-        return scratch.keep(result, named, first)
+            family, open_, members = _groups_of_bucket(group.column("bucket")[0].as_py(), *(group.column(c).to_pylist() for c in ("kind", "nodes", "times", "sigs")))
+            return pa.table({"family": pa.array(family, pa.int64()), "open": pa.array(open_, pa.bool_()), "members": pa.array(members, pa.binary())})
+
+        met = rows.mapInArrow(emit, "bucket bigint, lane bigint, kind bigint, nodes binary, times binary, sigs binary").groupBy("bucket", "lane").applyInArrow(meet, "family bigint, open boolean, members binary")
+        groups = written(met, "join-met")
+        once = groups.where("not open").dropDuplicates(["family"]).unionByName(groups.where("open"))
+        # without copies: all columns depend on the node
+        nodes = written(table.select("node", "n_shingles", "sketch").where("n_shingles > 0").distinct(), "join-nodes")
+        close = components(written(_candidates(written(once, "join-groups"), nodes, n_buckets, num, den), "join-close"))
+        members = close.select(F.col("label").alias("family"), F.col("id").alias("node"), F.col("id").alias("label")).join(nodes.select("node", "n_shingles").hint("merge"), "node")
+        sets = _sets_of(_placed(members, n_buckets), rows, width, name)
+        labels = components(_connected(written(sets, "join-sets"), None, num, den, exact=True))
+
+        found = written(table.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "join-labels")
+        first = written(found.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first")), "join-first")
+        result = found.join(first, "label", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+        return scratch.keep(result, found, first)

@@ -63,3 +63,37 @@ def test_empty_table_and_clashing_columns(spark):
     assert similar_components(df).count() == 0
     df = spark.createDataFrame([(None, "a b c d e f", "x"), (4, "a b c d e f", "y"), (4, "a b c d e f", "y")], "doc_id long, text string, node string")
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in similar_components(df).collect()) == [(-1, 4), (4, 4), (4, 4)]
+
+
+def test_sketches_fold_and_lose_no_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (3, 100, 1000, 5000)]
+    sets += [np.unique(np.r_[s[: -len(s) // 20], rng.integers(0, 1 << 62, len(s) // 20, dtype=np.uint64)]) for s in sets]
+    sizes = np.array([s.size for s in sets])
+    rows = ngram_join.sketches_of(np.concatenate(sets), sizes)
+    for i in range(8):
+        for j in range(8):
+            bits = 8 * min(len(rows[i]), len(rows[j]))
+            x, y = ngram_join.folded([rows[i]], bits), ngram_join.folded([rows[j]], bits)
+            assert np.bitwise_count(x ^ y).sum() <= np.setxor1d(sets[i], sets[j]).size
+
+
+@pytest.mark.parametrize("local", [2, 1000])
+def test_groups_that_fill_batches_equal_brute_force(spark, monkeypatch, local):
+    """Groups of near copies in one batch, whose rows pass their bucket; digests that clash; many of them with one text."""
+    monkeypatch.setattr(ngram_join, "LOCAL", local)
+    real = ngram_join.set_ids
+    monkeypatch.setattr(ngram_join, "set_ids", lambda flat, sizes, salt=0: real(flat, sizes, salt) if salt else real(flat, sizes) % 40)
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(80):
+        copy = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 6, 12])):
+            copy[rnd.randrange(120)] = f"x{rnd.randrange(500)}"
+        rows.append((i, " ".join(copy if i % 4 else base[:70] + [f"y{rnd.randrange(900)}" for _ in range(40)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_components(df, buckets=3).collect()}
+    assert got == brute(rows, 5, 80, 100)
