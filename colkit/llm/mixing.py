@@ -9,8 +9,8 @@ served its target (a source whose next document is too long for what is left doe
 
 At scale: a hot source is never gathered.  The shuffled order is a uniform hash, so a
 source's queue is cut by the leading bits of the hash into blocks; a block's sum is
-pre-aggregated, blocks get offsets from a prefix sum over block sums, and only
-within a block are rows ordered in one task.  The global order is a range
+pre-aggregated, blocks get offsets from prefix sums over block sums, in two levels (a task orders ``SPAN``
+blocks, and one sum for each ``SPAN`` blocks of a source), and only within a block are rows ordered in one task.  The global order is a range
 partitioning of narrow rows; the driver sees one row, the cut.
 """
 
@@ -23,6 +23,8 @@ from .common import WORD, Scratch, columns, partitions, written
 
 #: Rows that one block of a queue should hold.
 BLOCK_ROWS = 2_000
+#: Bits of the number of blocks whose sums are one sum of the upper level.
+SPAN = 10
 
 
 def word_count(text) -> F.Column:
@@ -80,13 +82,17 @@ def mix(
     """
     with Scratch(docs.sparkSession) as scratch:
         size = word_count(F.col("text"))
-        rows = columns(docs, doc_id=id_col, text=text_col, source=source_col, **{c: c for c in also}).select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))).alias("turn"), *also)
+        rows = columns(docs, doc_id=id_col, text=text_col, source=source_col, **{c: c for c in also}).select("doc_id", "source", size.alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))).alias("turn"), F.xxhash64("text").alias("tie"), *also)
         rows = written(rows, "mix-sizes")
         blocks = max(1, -(-rows.count() // BLOCK_ROWS))
         bits = max(0, (blocks - 1).bit_length())
         #: leading bits of the hash, from its first eight hexadecimal digits
         block = F.shiftright(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), 32 - bits).alias("block")
         rows = rows.select("*", block)
+        # an id that very many rows share has one turn, so a block far too large is dealt out by the texts
+        full = written(rows.groupBy("source", "block").agg(F.count("*").alias("n")).where(F.col("n") > 8 * BLOCK_ROWS).select(F.col("source").alias("of"), F.col("block").alias("hot"), F.ceil(F.col("n") / BLOCK_ROWS).alias("lots")), "mix-hot")
+        low = F.coalesce(F.pmod("tie", "lots"), F.lit(0)).bitwiseAND((1 << 24) - 1)
+        rows = rows.join(full, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("hot")), "left").withColumn("block", F.shiftleft("block", 24) + low).drop("of", "hot", "lots")
         sums = written(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
         sources = sums.groupBy("source").agg(F.sum("block_size").alias("source_size"))
         if weights is None:
@@ -96,12 +102,16 @@ def mix(
         weights = weights.select(F.col("source").alias("named"), F.col("weight").cast("double").alias("weight"))
         sources = sources.join(weights, F.col("source").eqNullSafe(F.col("named")), "left").select("source", F.coalesce("weight", F.lit(0.0)).alias("weight"), "source_size")
         targets = fill_targets(sources, budget_share, max_repeats)
-        queue = Window.partitionBy("source").orderBy("block")
-        offsets = sums.select("source", "block", (F.sum("block_size").over(queue) - F.col("block_size")).alias("offset"))
+        spans = sums.withColumn("span", F.shiftright("block", SPAN + 24))
+        upper = spans.groupBy(F.col("source").alias("named"), F.col("span").alias("of")).agg(F.sum("block_size").alias("n"))
+        upper = upper.select("named", "of", (F.sum("n").over(Window.partitionBy("named").orderBy("of")) - F.col("n")).alias("before"))
+        inner = F.sum("block_size").over(Window.partitionBy("source", "span").orderBy("block")) - F.col("block_size")
+        offsets = spans.select("source", "block", "span", inner.alias("inner")).join(upper, F.col("source").eqNullSafe(F.col("named")) & (F.col("span") == F.col("of")))
+        offsets = offsets.select("source", "block", (F.col("before") + F.col("inner")).alias("offset"))
         targets = targets.select(F.col("source").alias("named"), "source_size", "target")
         per = offsets.join(targets, F.col("source").eqNullSafe(F.col("named"))).select(F.col("source").alias("named"), F.col("block").alias("at"), "offset", "source_size", "target")
         per = written(per, "mix-offsets")
-        inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, 0)
+        inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size", "tie", *also).rowsBetween(Window.unboundedPreceding, 0)
         queued = rows.select("*", F.sum("size").over(inside).alias("sent"))
         queued = queued.join(per, F.col("source").eqNullSafe(F.col("named")) & (F.col("block") == F.col("at"))).select(
             "doc_id", "source", "size", "turn", "source_size", "target", (F.col("offset") + F.col("sent")).alias("sent"), *also

@@ -27,8 +27,9 @@ def corpus():
 
 
 def test_targets_and_taken_words(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
-    rows = corpus()
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(mixing, "SPAN", 1)
+    rows = corpus() + [(None, f"same id {k}" + " x" * (k % 7), "hot") for k in range(300)]
     size, total, target = brute(rows)
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, target double")
     got = mix(df.repartition(4)).collect()
