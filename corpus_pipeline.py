@@ -11,50 +11,65 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colkit.llm import bpe, dedup_exact, lang_id, mixing, ngram_join
-from colkit.llm.common import Scratch, written
+from colkit.llm.common import Scratch, numbered, picked, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus's own labels teach; texts without letters and of unknown language go."""
+    """Documents in a language that the corpus's own labels teach; texts without letters and of unknown language go.
+
+    Null and empty texts go with those without letters.  Repeated rows share one decision; an empty table stays empty.
+    """
     return lang_id.keep_determined(docs, lang_id.fit(docs))
 
 
-def digest() -> Column:
-    """Names a row within its doc_id, which may be null or repeat: after the exact stage no two rows share both."""
-    return F.unhex(dedup_exact.sha256(F.coalesce(F.col("text"), F.lit(""))))
+def _only(table: DataFrame, rows: DataFrame, copies: Column | None = None) -> DataFrame:
+    """The rows of a numbered table whose number is in ``rows`` (__row), ``copies`` times each."""
+    copy = F.lit(0) if copies is None else F.explode(F.sequence(F.lit(0), copies - 1))
+    return picked(table, rows.select("__row", copy.alias("__copy")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal up to white space: that with the smallest doc_id."""
-    kept = dedup_exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
-    rows = docs.withColumn("__own", dedup_exact.sha256(dedup_exact.normalise(F.col("text"))))
-    same = rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    return rows.join(written(kept, "pipeline-exact"), same, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    """One document of each group of texts that are equal up to white space: that with the smallest doc_id.
+
+    Null ids come last; of rows that share text and id one stays; null and empty texts are one group.
+    """
+    with Scratch(spark) as scratch:
+        table = numbered(docs, "pipeline-exact")
+        result = _only(table, dedup_exact.exact_dedup(table, row_col="__row").where("kept").select(F.col("rid").alias("__row")))
+        return scratch.keep(result, table, *result._colkit_reads)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates (five words, similarity 0.8): that with the smallest doc_id."""
-    # null ids come last, as in the exact stage
-    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), digest().alias("digest"))
-    rows = docs.withColumn("__key", key)
-    found = ngram_join.similar_components(rows, width=5, threshold=(80, 100), id_col="__key")
-    kept = found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.digest").alias("__digest"))
-    same = rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["__key"]["digest"] == F.col("__digest"))
-    return rows.join(written(kept, "pipeline-near"), same, "left_semi").select(*docs.columns)
+    """One document of each component of near duplicates (five words, similarity 0.8): that with the smallest doc_id.
+
+    Null ids come last; rows are told apart by their number, so rows that share an id, or have none, are judged one by one.  Texts without
+    words stay.
+    """
+    with Scratch(spark) as scratch:
+        table = numbered(docs, "pipeline-near")
+        key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+        found = ngram_join.similar_components(table.withColumn("__key", key), width=5, threshold=(80, 100), id_col="__key")
+        result = _only(table, found.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id.row").alias("__row")))
+        return scratch.keep(result, table, *result._colkit_reads)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document that the mix takes twice is two rows, one that it does not take is none."""
-    rows = docs.withColumn("__own", digest())
-    taken = mixing.mix(rows, also=("__own",)).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("__own").alias("__digest"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    taken = written(taken.groupBy("__id", "__digest").agg(F.max("__times").alias("__times")), "pipeline-mix")
-    rows = rows.join(taken, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__pass")).drop("__pass")
+    """The mix of sources: a document that the mix takes twice is two rows, one that it does not take is none.
+
+    Rows are told apart by their number, whatever their ids; texts without words are never taken.
+    """
+    with Scratch(spark) as scratch:
+        table = numbered(docs, "pipeline-mix")
+        taken = mixing.mix(table, also=("__row",)).where("taken > 0")
+        result = _only(table, taken, (F.col("taken") / F.col("size")).cast("int"))
+        return scratch.keep(result, table, *result._colkit_reads)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256): the token ids, and the digest of the text that they decode to."""
+    """(doc_id, n_tokens, ids, decoded_sha256): the token ids, and the digest of the text that they decode to.
+
+    Null and empty texts have no tokens and decode to the empty text.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
