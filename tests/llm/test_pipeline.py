@@ -9,8 +9,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
-from colkit.llm import mixing
-from colkit.llm.common import new_path
+from colkit.llm import common, mixing
+from colkit.llm.common import new_path, numbered
 from tests.llm.test_ngram_join import brute
 
 
@@ -76,11 +76,37 @@ def test_rows_without_an_id_and_with_a_shared_one(spark):
 
     many = [(None, prose() if k % 3 else "short text " + str(k), "xx", f"src{k % 3}") for k in range(60)]
     docs = spark.read.parquet(_stored(spark, spark.createDataFrame(many, "doc_id long, text string, lang string, source string").repartition(3)))
-    named = docs.withColumn("name", corpus_pipeline.digest())
-    taken = {bytes(r["name"]): r["taken"] // r["size"] for r in mixing.mix(named, also=("name",)).collect()}
+    table = numbered(docs, "mix-test")
+    text = {r["__row"]: r["text"] for r in table.collect()}
+    taken = {text[r["__row"]]: r["taken"] // r["size"] for r in mixing.mix(table, also=("__row",)).collect()}
     assert len(set(taken.values())) > 1
     got = [r["text"] for r in corpus_pipeline.mixed(spark, docs, "").collect()]
-    assert {hashlib.sha256(t.encode()).digest(): got.count(t) for _, t, *_ in many} == taken
+    assert {t: got.count(t) for _, t, *_ in many} == taken
+
+
+@pytest.mark.parametrize("most", [8192, 2])
+def test_picked_rows(spark, monkeypatch, most):
+    """Rows by number, once for each copy, in one go and slice by slice."""
+    monkeypatch.setattr(common, "MOST_BITMAPS", most)
+    table = numbered(spark.range(100, numPartitions=7).selectExpr("id", "'x' as __block"), "picked-test")
+    rows = {r["id"]: r["__row"] for r in table.collect()}
+    want = sorted([i for i in range(100) if i % 3] + [i for i in range(100) if i % 5 == 1])
+    picks = spark.createDataFrame([(rows[i], 0) for i in range(100) if i % 3] + [(rows[i], 1) for i in range(100) if i % 5 == 1], "__row long, __copy int")
+    got = common.picked(table, picks)
+    assert got.columns == ["id", "__block"] and sorted(r["id"] for r in got.collect()) == want
+    assert common.picked(table, picks.where("__row < 0")).count() == 0
+
+
+def test_stages_on_empty_tables_and_repeated_rows(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.read.schema(kind).parquet(_stored(spark, spark.createDataFrame([], kind)))
+    twice = [(1, "same words here", "xx", "a", 1)] * 3 + [(2, None, None, None, None)] * 2 + [(None, "", "xx", "a", 0)]
+    some = spark.read.schema(kind).parquet(_stored(spark, spark.createDataFrame(twice, kind)))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+    assert sorted((r["doc_id"] for r in corpus_pipeline.exact(spark, some, "").collect()), key=str) == [1, 2]
+    assert corpus_pipeline.near(spark, some, "").where("doc_id = 1").count() == 1
+    assert corpus_pipeline.mixed(spark, some, "").where("doc_id <> 1 or doc_id is null").count() == 0
 
 
 def _stored(spark, df):
