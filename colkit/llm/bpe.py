@@ -5,6 +5,10 @@ array; each round looks all neighbouring pairs up by binary search over the sort
 each word's lowest rank, merges its occurrences from left to right and drops finished words.  Results
 for words are kept in a bounded cache in each worker.
 
+In a long word a round merges all pairs that are lowest within a window as long as the longest token, not only those that are
+lowest in the word: before such a pair's turn nothing can reach it, as a merge from beyond the window would make a longer token than there is.
+So the number of rounds depends on the vocabulary, not on the word's length.
+
 At scale: a map over Arrow batches, no shuffle.  The merge tables are as large as the vocabulary, whatever
 the input, and are broadcast; texts are worked on in pieces of bounded size.
 """
@@ -25,6 +29,8 @@ from .common import columns
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps; characters that are cut into words at a time.
 CACHE_WORDS, PIECE_CHARS = 100_000, 1_000_000
+#: Bytes from which on a word is long.
+LONG = 600
 _NONE = np.iinfo(np.int64).max
 
 
@@ -60,9 +66,16 @@ class Tables:
         self.tokens: list[bytes] = [b""] * size
         for token, i in vocab.items():
             self.tokens[i] = bytes(back[c] for c in token)
+        self.longest = max(map(len, self.tokens))
         for token, i in self.special.items():
             self.tokens[i] = token.encode()
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; ``_NONE`` if they do not merge."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+
 
 def encode_words(words: list[bytes], t: Tables) -> list[bytes]:
     """The ids of each word, as little-endian unsigned 32-bit integers."""
@@ -73,10 +86,8 @@ def encode_words(words: list[bytes], t: Tables) -> list[bytes]:
     word = np.repeat(np.arange(len(words)), lengths)
     while keep.size:
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        key = (sym[:-1] << 32) | sym[1:]
-        at = np.minimum(np.searchsorted(t.keys, key), len(t.keys) - 1)
         rank = np.full(sym.size, _NONE)
-        rank[:-1] = np.where((t.keys[at] == key) & (word[1:] == word[:-1]), t.ranks[at], _NONE)
+        rank[:-1] = np.where(word[1:] == word[:-1], t.rank(sym[:-1], sym[1:]), _NONE)
         best = np.minimum.reduceat(rank, starts)
         sizes = np.diff(np.r_[starts, sym.size])
         done = best == _NONE
@@ -90,11 +101,8 @@ def encode_words(words: list[bytes], t: Tables) -> list[bytes]:
             if not keep.size:
                 break
         hit = rank == np.repeat(best, sizes)
-        # of overlapping occurrences (a run of equal symbols) every other one is merged
         where = np.flatnonzero(hit)
-        new = np.r_[True, where[1:] != where[:-1] + 1]
-        run = where[np.maximum.accumulate(np.where(new, np.arange(where.size), 0))]
-        where = where[(where - run) % 2 == 0]
+        where = where[(where - run_starts(where)) % 2 == 0]  # of overlapping occurrences (a run of equal symbols) every other one
         sym[where] = t.made[rank[where]]
         stay = np.ones(sym.size, dtype=bool)
         stay[where + 1] = False
@@ -102,6 +110,47 @@ def encode_words(words: list[bytes], t: Tables) -> list[bytes]:
     return out
 
 
+def run_starts(where: np.ndarray) -> np.ndarray:
+    """For each of these positions, ascending, the first of its run of neighbouring ones."""
+    new = np.r_[True, where[1:] != where[:-1] + 1]
+    return where[np.maximum.accumulate(np.where(new, np.arange(where.size), 0))]
+
+
+def lowest_within(rank: np.ndarray, reach: int) -> np.ndarray:
+    """The lowest of ``rank`` within ``reach`` places on either side of each."""
+    edge = np.full(reach, _NONE)
+    low, span = np.concatenate([edge, rank, edge]), 1
+    while 2 * span <= 2 * reach + 1:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    rest = 2 * reach + 1 - span
+    return np.minimum(low[: rank.size], low[rest : rest + rank.size])
+
+
+def encode_long(word: bytes, t: Tables) -> bytes:
+    """The ids of one long word: each round merges the pairs that are lowest in their window."""
+    sym = t.first[np.frombuffer(word, dtype=np.uint8)]
+    rank = np.r_[t.rank(sym[:-1], sym[1:]), _NONE]
+    while (rank != _NONE).any():
+        where = np.flatnonzero((rank != _NONE) & (rank == lowest_within(rank, t.longest)))
+        run = run_starts(where)
+        # a run of overlapping occurrences is merged from its first one on, so that one must be among them
+        whole = np.where(run > 0, rank[run - 1] != rank[run], True)
+        where = where[whole & ((where - run) % 2 == 0)]
+        sym[where] = t.made[rank[where]]
+        stay = np.ones(sym.size, dtype=bool)
+        stay[where + 1] = False
+        changed = np.zeros(sym.size, dtype=bool)
+        changed[where] = True
+        sym, rank, changed = sym[stay], rank[stay], np.flatnonzero(changed[stay])
+        # only pairs with a new symbol have a new rank
+        pair = np.unique(np.r_[changed[changed > 0] - 1, changed])
+        rank[pair] = _NONE
+        pair = pair[pair < sym.size - 1]
+        rank[pair] = t.rank(sym[pair], sym[pair + 1])
+    return sym.astype("<u4").tobytes()
+
+
 class Encoder:
     def __init__(self, tables: Tables):
         import regex
@@ -116,7 +165,10 @@ class Encoder:
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {}
             new = list(words)
-        self.cache.update(zip(new, encode_words([w.encode() for w in new], self.t), strict=True))
+        coded = [w.encode() for w in new]
+        short = [k for k, w in enumerate(coded) if len(w) < LONG]
+        self.cache.update(zip([new[k] for k in short], encode_words([coded[k] for k in short], self.t), strict=True))
+        self.cache.update((new[k], encode_long(w, self.t)) for k, w in enumerate(coded) if len(w) >= LONG)
         return self.cache
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -147,8 +199,13 @@ def _encoder(tables: Tables) -> Encoder:
     return _ENCODERS[id(tables)]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: (doc_id, ids binary, n_tokens long).
+def text_of(ids: bytes, tables: Tables) -> str:
+    """What ids decode to; bytes that are not UTF-8 become U+FFFD."""
+    return b"".join(map(tables.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, ids binary, n_tokens long), and with ``decoded`` the text that ids decode to, in the same pass.
 
     ``ids`` holds little-endian unsigned 32-bit integers.  Special tokens that stand in a text get
     their own ids.  Null and empty texts have no tokens; doc_id may be null and may repeat.
@@ -163,10 +220,13 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids = encoder(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+                cols = {"doc_id": part.column(0), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
+                if decoded:
+                    cols["text"] = pa.array([text_of(x, tables.value) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens bigint" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -176,11 +236,10 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", i
     tables = spark.sparkContext.broadcast(Tables(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = tables.value.tokens.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [b"".join(map(token, np.frombuffer(x or b"", dtype="<u4").tolist())).decode("utf-8", "replace") for x in part.column(1).to_pylist()]
+                texts = [text_of(x or b"", tables.value) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

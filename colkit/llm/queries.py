@@ -89,15 +89,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
-    from .bpe import decode, encode
+    from .bpe import encode
 
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), tokenizer_path), tokenizer_path)
-    n_tokens = (F.octet_length("ids") / 4).cast("long")
-    return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    both = encode(table(spark, sf_dir, "documents"), tokenizer_path, decoded=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

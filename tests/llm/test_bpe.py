@@ -41,6 +41,9 @@ def test_encode_and_decode_frames(spark):
     assert {(r["doc_id"], tuple(np.frombuffer(bytes(r["ids"]), "<u4").tolist()), r["text"]) for r in got} == want
     assert all(r["array"] == np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in got)
     assert encode(df.where("doc_id > 99"), path).count() == 0
+    once = encode(df, path, decoded=True).select("doc_id", "ids", "text", "n_tokens").collect()
+    key = lambda r: (str(r["doc_id"]), bytes(r["ids"]), r["text"])
+    assert sorted(map(key, once)) == sorted(map(key, got)) and all(r["n_tokens"] == len(r["ids"]) // 4 for r in once)
 
 
 def test_bytes_that_are_not_text_are_replaced(spark):
@@ -61,3 +64,28 @@ def test_small_caches_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 7)
     monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
     assert Encoder(Tables(path))(texts()) == whole
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "éüa", "-="])
+def test_long_words_take_a_bounded_number_of_rounds(letters):
+    import time
+
+    path = P.path("byte_bpe_50k.json")
+    own, lib = Encoder(Tables(path)), tokenizers.Tokenizer.from_file(path)
+    rnd = random.Random(6)
+    word = "".join(rnd.choice(letters) for _ in range(200_000))
+    began = time.perf_counter()
+    ids = own([word])[0]
+    assert time.perf_counter() - began < 2
+    assert np.frombuffer(ids, "<u4").tolist() == lib.encode(word, add_special_tokens=False).ids
+
+
+def test_windows_change_nothing():
+    """Long words' rounds give what the rounds of short words give, runs of equal symbols and repeated pieces included."""
+    from colkit.llm.bpe import encode_long, encode_words
+
+    t, rnd = Tables(P.path("byte_bpe_50k.json")), random.Random(7)
+    pieces = ["a", "aa", "the", "ing", "e", "x", "tion", "aaa", "-", "--", "=", "é", "zq"]
+    for _ in range(150):
+        word = "".join(rnd.choice(pieces[: rnd.randint(1, len(pieces))]) for _ in range(rnd.randint(1, 900))).encode()
+        assert encode_long(word, t) == encode_words([word], t)[0]
