@@ -6,8 +6,9 @@ reached by moving single hash values up or down, in order of estimated success (
 to the borders that are crossed).  Candidates of all tables are merged and ranked by the exact cosine in double precision.
 
 At scale: equal vectors are one class, with its ``k + 1`` smallest ids, so a vector that a third of
-all rows share is one entry of the index.  Buckets meet queries in a grid of blocks of ``BLOCK`` rows, so no task gets
-an unbounded bucket.  Queries that find fewer than ``k`` are answered exactly from all blocks.
+all rows share is one entry of the index.  Buckets are dealt into groups of about ``BLOCK`` entries; a query goes to a group once, with the keys that
+it visits there.  Groups meet queries in a grid of blocks of ``BLOCK`` rows, so no task gets
+an unbounded bucket, and a block returns ``k`` rows a query.  Queries that find fewer than ``k`` are answered exactly from all blocks.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, columns, partitions, written
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 4, 6, 2.0, 80, 7
-BLOCK = 2000
+#: Rows of a block; pairs whose exact scores are computed at a time.
+BLOCK, PAIRS = 4000, 200_000
 
 
 def projections(dim: int, tables: int, hashes: int, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +105,8 @@ def search(
 
     Score is the cosine; ties go to the smaller id; a row is not its own neighbour.  Rows with a null id, and vectors
     that are null, empty, zero or hold null or non-finite components take no part.  Vectors of different lengths
-    never meet.  Repeated rows count once.  With fewer than ``k`` candidates all are returned; an empty table gives an
-    empty result.
+    never meet.  Repeated rows count once.  An id with several vectors is one query and one candidate, and as near as the nearest of
+    them.  With fewer than ``k`` candidates all are returned; an empty table gives an empty result.
     """
     rows = columns(vectors, vec_id=id_col, vec=vec_col).where(F.col("vec_id").isNotNull())
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")).where(_usable(F.col("vec")))
@@ -120,8 +122,12 @@ def search(
         rows = written(rows.mapInArrow(packed, "vec_id bigint, vec binary"), "ann-rows")
         # classes of equal vectors, each with its smallest ids; the limit on ranks is applied before the shuffle, too
         ranked = rows.select("vec_id", "vec", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id")).alias("n")).where(F.col("n") <= k + 1)
-        classes = written(ranked.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("cls"), "ids", "vec"), "ann-classes")
+        classes = ranked.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("cls"), "ids", "vec")
+        classes = written(classes, "ann-classes")
         asked = written(rows.where(F.col("vec_id") % every == 0).dropDuplicates(), "ann-queries")
+        # vectors of one id, at most: so many classes can have no more than one id
+        most = rows.groupBy("vec_id").agg(F.count_distinct(F.xxhash64("vec")).alias("n")).agg(F.max("n")).first()[0] or 1
+        size = max(1, -(-tables * classes.count() // BLOCK))  # groups of buckets
 
         def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -130,7 +136,7 @@ def search(
                     part, u = batch.take(pa.array(at)), unit(x)
                     for t in range(tables):
                         key = _key(t, x.shape[1], np.floor((u @ a[t] + b[t]) / width))
-                        yield pa.RecordBatch.from_arrays([pa.array(key), part.column("cls"), part.column("vec")], names=["key", "cls", "vec"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key % size), pa.array(key), part.column("cls"), part.column("ids"), part.column("vec")], names=["part", "key", "cls", "ids", "vec"])
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -150,66 +156,110 @@ def search(
                                     moved[r, j] += d
                             keys.append(_key(t, x.shape[1], moved))
                             who.append(np.full(len(steps), at[i]))
-                    part = batch.take(pa.array(np.concatenate(who)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column("vec_id"), part.column("vec")], names=["key", "query_id", "vec"])
-
-        entries = written(classes.select("cls", "vec").mapInArrow(index, "key bigint, cls bigint, vec binary"), "ann-index")
-        visits = written(asked.repartition(partitions(vectors.sparkSession), "vec_id").mapInArrow(probe, "key bigint, query_id bigint, vec binary"), "ann-visits")
-        found = written(_meet(entries, visits, k), "ann-found")
-        best = _ranked(found, classes, k)
-        best = written(best, "ann-best")
-        # too few found: exact search over all blocks
-        short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k).select(F.lit(0).cast("long").alias("key"), F.col("vec_id").alias("query_id"), "vec")
-        short = written(short, "ann-short")
+                    key, who = np.concatenate(keys), np.concatenate(who)
+                    order = np.lexsort((key, key % size, who))
+                    key, who = key[order], who[order]
+                    edges = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(key % size) != 0), True])
+                    part = batch.take(pa.array(who[edges[:-1]]))
+                    own = [key[lo:hi].tobytes() for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[edges[:-1]] % size), pa.array(own, pa.binary()), part.column("vec_id"), part.column("vec")], names=["part", "keys", "query_id", "vec"])
+
+        entries = written(classes.select("cls", "ids", "vec").mapInArrow(index, "part bigint, key bigint, cls bigint, ids array<bigint>, vec binary"), "ann-index")
+        visits = asked.repartition(partitions(vectors.sparkSession), "vec_id").mapInArrow(probe, "part bigint, keys binary, query_id bigint, vec binary")
+        best = written(_ranked(_meet(entries, written(visits, "ann-visits"), k, most), k), "ann-best")
+        # too few found: exact search over all blocks, as if all were one bucket
+        short = asked.join(best.groupBy("query_id").agg(F.count("*").alias("n")), F.col("vec_id") == F.col("query_id"), "left").where(F.coalesce("n", F.lit(0)) < k)
+        zero = F.lit(0).cast("long")
+        short = written(short.select(zero.alias("part"), F.unhex(F.lit("00" * 8)).alias("keys"), F.col("vec_id").alias("query_id"), "vec"), "ann-short")
         if short.isEmpty():
             return scratch.keep(best, best)
-        every_class = classes.select(F.lit(0).cast("long").alias("key"), "cls", "vec")
-        exact = written(_ranked(written(_meet(every_class, short, k), "ann-exact-met"), classes, k), "ann-exact")
+        every_class = classes.select(zero.alias("part"), zero.alias("key"), "cls", "ids", "vec")
+        exact = written(_ranked(_meet(every_class, short, k, most), k), "ann-exact")
         return scratch.keep(best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(exact), best, short, exact)
 
 
-def _meet(entries: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """(query_id, cls, score): the best ``k + 1`` classes of each query in each block of its buckets."""
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's ``k`` nearest ids, an id once."""
+    order = np.lexsort((-score, ids, query))
+    q, i = query[order], ids[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])] if q.size else np.zeros(0, dtype=bool)]
+    order = order[np.lexsort((ids[order], -score[order], query[order]))]
+    q = query[order]
+    return order[np.arange(q.size) - np.searchsorted(q, q) < k]
+
+
+def _near(a: pa.Table, b: pa.Table, k: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score): of entries ``a`` those in buckets that the queries ``b`` visit, the ``k`` nearest ids of each."""
+    n = (k + 1) * most
+    a_key, b_id = a.column("key").to_numpy(), b.column("query_id").to_numpy()
+    ids, b_keys = a.column("ids").to_pylist(), b.column("keys").to_pylist()
+    of = {x.shape[1]: (at, x) for at, x in _matrices(a)}
+    for q_at, q in _matrices(b):
+        if q.shape[1] not in of:
+            continue
+        x_at, x = of[q.shape[1]]
+        ux, uq, x_key = unit(x), unit(q), a_key[x_at]
+        by_key = np.argsort(x_key, kind="stable")
+        keys, starts = np.unique(x_key[by_key], return_index=True)
+        ends = np.r_[starts[1:], x_key.size]
+        visited = [np.frombuffer(b_keys[r], np.int64) for r in q_at.tolist()]
+        who, key = np.repeat(np.arange(q_at.size), [v.size for v in visited]), np.concatenate(visited)
+        at = np.minimum(np.searchsorted(keys, key), keys.size - 1)
+        known = keys[at] == key
+        who, at = who[known], at[known]
+        order = np.argsort(at, kind="stable")
+        who, at = who[order], at[order]
+        edges = np.flatnonzero(np.r_[True, np.diff(at) != 0, True]) if at.size else np.zeros(1, dtype=np.int64)
+        i, j = [], []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mine, rows = who[lo:hi], by_key[starts[at[lo]] : ends[at[lo]]]
+            if rows.size <= n:
+                i.append(np.repeat(mine, rows.size))
+                j.append(np.tile(rows, mine.size))
+            else:
+                s = uq[mine] @ ux[rows].T
+                least = np.partition(s, rows.size - n, axis=1)[:, rows.size - n]
+                r, c = np.nonzero(s >= least[:, None] - 1e-9)  # ties stay until the exact score decides
+                i.append(mine[r])
+                j.append(rows[c])
+        if not i:
+            continue
+        i, j = np.concatenate(i), np.concatenate(j)
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for lo in range(0, i.size, PAIRS):  # a query whose pairs are cut has its nearest in either part
+            p, r = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+            score = cosines(q[p], x[r])
+            own = [ids[m] for m in x_at[r].tolist()]
+            each = np.array([len(v) for v in own])
+            query, vec, score = np.repeat(b_id[q_at[p]], each), np.concatenate(own).astype(np.int64), np.repeat(score, each)
+            other = np.flatnonzero(query != vec)
+            keep = other[_best(query[other], vec[other], score[other], k)]
+            yield query[keep], vec[keep], score[keep]
+
+
+def _meet(entries: DataFrame, visits: DataFrame, k: int, most: int) -> DataFrame:
+    """(query_id, vec_id, score): the ``k`` nearest ids of each query in each block of the buckets that it visits."""
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias(name))
+        return df.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias(name))
 
-    grid = written(blocks(entries, "e_blocks").join(blocks(visits, "v_blocks"), "key"), "ann-grid")
+    grid = written(blocks(entries, "e_blocks").join(blocks(visits, "v_blocks"), "part"), "ann-grid")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = entries.join(grid, "key").select("key", own("cls", "e_blocks").alias("e"), every("v_blocks").alias("v"), "cls", "vec")
-    right = visits.join(grid, "key").select("key", every("e_blocks").alias("e"), own("query_id", "v_blocks").alias("v"), "query_id", "vec")
+    left = entries.join(grid, "part").select("part", own("cls", "e_blocks").alias("e"), every("v_blocks").alias("v"), "key", "ids", "vec")
+    right = visits.join(grid, "part").select("part", every("e_blocks").alias("e"), own("query_id", "v_blocks").alias("v"), "keys", "query_id", "vec")
 
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if a.num_rows and b.num_rows:
-            cls, ids = a.column("cls").to_numpy(), b.column("query_id").to_numpy()
-            of = {x.shape[1]: (at, x) for at, x in _matrices(a)}
-            for q_at, q in _matrices(b):
-                if q.shape[1] not in of:
-                    continue
-                x_at, x = of[q.shape[1]]
-                s = unit(q) @ unit(x).T
-                n = min(k + 1, x.shape[0])
-                least = np.partition(s, x.shape[0] - n, axis=1)[:, x.shape[0] - n]
-                i, j = np.nonzero(s >= least[:, None] - 1e-9)  # ties stay until the exact score decides
-                exact = cosines(q[i], x[j])
-                c = cls[x_at[j]]
-                order = np.lexsort((c, -exact, i))
-                i, c, exact = i[order], c[order], exact[order]
-                starts = np.searchsorted(i, np.arange(q.shape[0]))
-                keep = np.arange(i.size) - starts[i] < n
-                out.append((ids[q_at[i[keep]]], c[keep], exact[keep]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "cls", "score"), cols, strict=True)))
-
-    return left.groupBy("key", "e", "v").cogroup(right.groupBy("key", "e", "v")).applyInArrow(block, "query_id bigint, cls bigint, score double")
-
-
-def _ranked(found: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Classes become ids, each query's own id goes, the first ``k`` stay."""
-    one = found.groupBy("query_id", "cls").agg(F.max("score").alias("score"))
-    top = one.select("*", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cls")).alias("n")).where(F.col("n") <= k + 1)
-    ids = top.join(classes.select("cls", "ids"), "cls").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"])
+        found = list(_near(a, b, k, most)) if a.num_rows and b.num_rows else []
+        cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+
+    return left.groupBy("part", "e", "v").cogroup(right.groupBy("part", "e", "v")).applyInArrow(block, "query_id bigint, vec_id bigint, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """Each query's first ``k`` ids."""
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return ids.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return one.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -65,3 +65,27 @@ def test_a_vector_that_most_rows_share(spark):
     got = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=4).collect()
     assert len(got) == 6 * 4
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 50] == [1, 2, 4, 5]
+
+
+def test_ids_with_several_vectors(spark, monkeypatch):
+    """An id is as near as the nearest of its vectors; many vectors of one id crowd out no other id."""
+    monkeypatch.setattr(ann, "BLOCK", 6)
+    rng = np.random.default_rng(2)
+    rows = [(7, [1.0, 0.1, 0.0]), (7, [-1.0, 0.0, 0.1]), (8, [-1.0, 0.0, 0.1])] + [(9, [1.0, 0.1, 1e-3 * k]) for k in range(12)]
+    rows += [(i, rng.normal(size=3).tolist()) for i in range(10, 31)] + [(20, rng.normal(size=3).tolist()), (20, rng.normal(size=3).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want: dict = {}
+    for q, x in rows:
+        for i, y in rows:
+            if i != q and (q % 10 == 0 or q == 7):
+                x, y = np.array(x), np.array(y)
+                s = float(x @ y / np.sqrt((x @ x) * (y @ y)))
+                want.setdefault(q, {})[i] = max(s, want.get(q, {}).get(i, -2))
+    for every, asked in ((7, {7}), (10, {10, 20, 30})):
+        got: dict = {}
+        for r in search(df, every=every, k=4, width=100.0).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        for q in asked:
+            best = sorted(want[q].items(), key=lambda x: (-x[1], x[0]))[:4]
+            assert [i for i, _ in got[q]] == [i for i, _ in best]
+            assert [s for _, s in got[q]] == pytest.approx([s for _, s in best], abs=1e-12)
