@@ -4,8 +4,15 @@ Each line is good or bad.  Its features and those of both neighbouring lines giv
 tie neighbours together.  Forward-backward gives each line's marginal of being good; the document's quality is their mean,
 weighted by the lines' lengths, mapped to a probability by a logistic curve.
 
-At scale: scoring is a map over Arrow batches, vectorised over the documents of a batch.  The model is fitted on the driver
-on a sample of ``max_docs`` labelled documents of ``max_lines`` lines at most; only line features of these reach it.
+Labels are of documents, lines have none.  So the lines of labelled documents are hidden: they are first fitted one by one, by their own features
+only, as if each had its document's label (a kind of line that good documents have, too, comes out as good), then as chains in rounds of expectation and maximisation, in which a document's lines take the marginals that are nearest to the model's among those
+with a mean, weighted by length, of ``GOOD`` or more in a good document and of ``BAD`` or less in a bad one.  So a bad document can have good lines,
+and a good one some bad ones.
+
+At scale: scoring is a map over Arrow batches, vectorised over the documents of a batch; a chain of many lines is cut into pieces that are worked
+on side by side.  The model is fitted on the driver
+on a sample of ``max_docs`` labelled documents, of a longer one on ``max_lines`` lines in a row from a place that depends on its id; only line features of
+these reach it.
 """
 
 from __future__ import annotations
@@ -23,7 +30,12 @@ from .hashing import digests, mix
 
 #: Bounds of the sample that the model is fitted on.
 MAX_DOCS, MAX_LINES = 4000, 200
-STEPS, RATE, PENALTY = 300, 0.05, 1e-3
+#: Steps of the first fit; rounds after it, and steps of each.
+STEPS, ROUNDS, ROUND_STEPS, RATE, PENALTY = 150, 5, 30, 0.05, 1e-3
+#: Least share of good lines in a good document, most in a bad one: half.
+GOOD, BAD = 0.9, 0.5
+#: Lines of a piece of a chain.
+PIECE = 128
 
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 blank, 2 upper, 3 lower, 4 digit, 5 other ASCII, 6 beyond ASCII
 _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 1
@@ -125,6 +137,54 @@ def forward_backward(scores: np.ndarray, lines: np.ndarray, trans: np.ndarray) -
     return good, pairs, logz
 
 
+def _forward(emit: np.ndarray, lines: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Forward messages of chains laid end to end, each scaled to 1.
+
+    Chains are cut into pieces of ``PIECE`` lines; the products of steps within all pieces go on side by side, then messages go from piece to piece.
+    """
+    first = np.cumsum(lines) - lines
+    per = -(-lines // PIECE)
+    chain = np.repeat(np.arange(lines.size), per)
+    nth = np.arange(chain.size) - np.repeat(np.cumsum(per) - per, per)
+    start = first[chain] + nth * PIECE
+    size = np.minimum(PIECE, first[chain] + lines[chain] - start)
+    order = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[order], -np.arange(1, PIECE + 1), side="right")
+    step = move[None, :, :] * emit[:, None, :]
+    step[first] = emit[first][:, None, :]  # nothing stands before a chain's first line
+    product = np.empty_like(step)
+    for t in range(int(size.max()) if size.size else 0):
+        at = start[order[: live[t]]] + t
+        product[at] = step[at] if t == 0 else product[at - 1] @ step[at]
+        product[at] /= product[at].sum(axis=(1, 2), keepdims=True)
+    into = np.full((chain.size, 2), 0.5)
+    for k in range(1, int(per.max()) if per.size else 0):
+        here = np.flatnonzero(nth == k)
+        v = (into[here - 1][:, None, :] @ product[start[here] - 1])[:, 0, :]
+        into[here] = v / v.sum(axis=1, keepdims=True)
+    out = (np.repeat(into, size, axis=0)[:, None, :] @ product)[:, 0, :]
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def marginals(scores: np.ndarray, lines: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Each line's marginal of good, as ``forward_backward`` gives it, for chains of any length."""
+    top = np.maximum(scores, 0)
+    emit, move = np.stack([np.exp(-top), np.exp(scores - top)], axis=1), np.exp(trans)
+    ends = np.cumsum(lines)
+    back = np.repeat(2 * ends - lines - 1, lines) - np.arange(scores.size)  # each chain in reverse
+    both = _forward(emit, lines, move) * _forward(emit[back], lines, move.T)[back] / emit
+    return both[:, 1] / both.sum(axis=1)
+
+
+def weighted_mean(good: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The mean of each chain's lines, weighted by length (all alike where no line has any)."""
+    if not lines.size:
+        return good
+    starts = np.cumsum(lines) - lines
+    weight = size + (np.add.reduceat(size, starts) == 0).repeat(lines)
+    return np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)
+
+
 @dataclass
 class Crf:
     mean: np.ndarray
@@ -137,13 +197,13 @@ class Crf:
     def observe(self, f: np.ndarray, lines: np.ndarray) -> np.ndarray:
         return with_neighbours((f - self.mean) / self.scale, lines)
 
+    def lines(self, f: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Each line's marginal of being good."""
+        return marginals(np.clip(self.observe(f, lines) @ self.weights, -30, 30), lines, self.trans)
+
     def quality(self, f: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
         """Length-weighted mean marginal of each document, as log odds."""
-        scores = np.clip(self.observe(f, lines) @ self.weights, -30, 30)
-        good, _, _ = forward_backward(scores, lines, self.trans)
-        starts = np.cumsum(lines) - lines
-        weight = size + (np.add.reduceat(size, starts) == 0).repeat(lines) if lines.size else size
-        q = np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts) if lines.size else good
+        q = weighted_mean(self.lines(f, lines), size, lines)
         q = np.clip(q, 1e-9, 1 - 1e-9)
         return np.log(q) - np.log1p(-q)
 
@@ -151,8 +211,25 @@ class Crf:
         return 1 / (1 + np.exp(-(self.slope * self.quality(*line_features(texts)) + self.shift)))
 
 
+def expected_lines(scores: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals, expected transitions) of the hidden lines: the model's, moved as little as the labels of the documents ask for.
+
+    The nearest distribution that meets a bound on the mean adds a term for each line of the document, found by bisection.
+    """
+    bound = np.where(label == 1, GOOD, BAD)
+    wrong = lambda mean: np.where(label == 1, mean < bound, mean > bound)
+    low, high = np.where(label == 1, 0.0, -40.0), np.where(label == 1, 40.0, 0.0)
+    move = wrong(weighted_mean(forward_backward(scores, lines, trans)[0], size, lines))
+    for _ in range(12 if move.any() else 0):
+        middle = (low + high) / 2
+        mean = weighted_mean(forward_backward(scores + (middle * move).repeat(lines), lines, trans)[0], size, lines)
+        low, high = np.where(mean < bound, middle, low), np.where(mean < bound, high, middle)
+    good, pairs, _ = forward_backward(scores + ((low + high) / 2 * move).repeat(lines), lines, trans)
+    return good, pairs
+
+
 def fit_crf(f: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray) -> Crf:
-    """Maximum likelihood with an L2 penalty, by Adam on all documents; every line has its document's label."""
+    """Maximum likelihood with an L2 penalty, by Adam on all documents; the lines are hidden after the first fit."""
     if not label.size or label.min() == label.max():  # nothing to tell apart
         p = float(label.mean()) if label.size else 0.5
         p = min(max(p, 1e-3), 1 - 1e-3)
@@ -160,19 +237,25 @@ def fit_crf(f: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarra
         return Crf(np.zeros(f.shape[1]), np.ones(f.shape[1]), zero, np.zeros((2, 2)), 0.0, float(np.log(p / (1 - p))))
     model = Crf(f.mean(axis=0), f.std(axis=0) + 1e-6, np.zeros(3 * f.shape[1] + 3), np.zeros((2, 2)))
     x = model.observe(f, lines)
-    y = label.astype(np.float64).repeat(lines)
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = (lines[label == k] - 1).sum()
-    n = lines.sum()
     params = np.zeros(x.shape[1] + 4)
-    m, v = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, STEPS + 1):
-        w, trans = params[:-4], params[-4:].reshape(2, 2)
-        good, pairs, _ = forward_backward(np.clip(x @ w, -30, 30), lines, trans)
-        grad = np.r_[x.T @ (good - y), (pairs - seen).ravel()] / n + PENALTY * params
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        params = params - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+
+    own = np.r_[np.ones(f.shape[1]), np.zeros(2 * f.shape[1] + 2), 1, np.zeros(4)]
+
+    def climb(params: np.ndarray, y: np.ndarray, seen: np.ndarray, steps: int, free: np.ndarray | float = 1.0) -> np.ndarray:
+        """Towards the parameters, of those that are ``free``, under which the lines are ``y`` and their transitions ``seen``."""
+        m, v = np.zeros_like(params), np.zeros_like(params)
+        for step in range(1, steps + 1):
+            w, trans = params[:-4], params[-4:].reshape(2, 2)
+            good, pairs, _ = forward_backward(np.clip(x @ w, -30, 30), lines, trans)
+            grad = free * (np.r_[x.T @ (good - y), (pairs - seen).ravel()] / lines.sum() + PENALTY * params)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            params = params - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return params
+
+    params = climb(params, label.astype(np.float64).repeat(lines), np.zeros((2, 2)), STEPS, own)
+    for _ in range(ROUNDS):
+        good, pairs = expected_lines(np.clip(x @ params[:-4], -30, 30), size, lines, label, params[-4:].reshape(2, 2))
+        params = climb(params, good, pairs, ROUND_STEPS)
     model.weights, model.trans = params[:-4], params[-4:].reshape(2, 2)
     # the logistic curve from log odds to probability, by Newton's method
     q = model.quality(f, size, lines)
@@ -194,15 +277,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     sample = known.where(draw < min(1.0, max_docs / max(n, 1))).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = columns(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
     # the sample's bound makes it safe to broadcast
-    chosen = rows.join(F.broadcast(sample), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
+    begin = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = rows.join(F.broadcast(sample), "doc_id").select(F.struct(F.col("label").cast("int").alias("label"), begin.alias("begin")).alias("known"), "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for label, texts in chunks(batches):
+        for known, texts in chunks(batches):
             f, size, lines = line_features(texts)
-            ends = np.cumsum(lines)
-            take = np.flatnonzero(lines <= max_lines)
-            cut = lambda x: pa.array([x[ends[k] - lines[k] : ends[k]].tobytes() for k in take], pa.binary())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([label.take(pa.array(take)), pa.array(lines[take]), cut(f), cut(size)], names=["label", "lines", "f", "size"])
+            label, begin = known.field("label"), known.field("begin").to_numpy(zero_copy_only=False)
+            n = np.minimum(lines, max_lines)
+            at = np.cumsum(lines) - lines + begin % (lines - n + 1)
+            cut = lambda x: pa.array([x[a : a + m].tobytes() for a, m in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([label, pa.array(n), cut(f), cut(size)], names=["label", "lines", "f", "size"])
 
     got = chosen.mapInArrow(features, "label int, lines bigint, f binary, size binary").collect()
     got = sorted(got, key=lambda r: (bytes(r["f"]), r["label"]))  # the fit must not depend on the rows' order
