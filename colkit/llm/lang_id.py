@@ -4,8 +4,9 @@ A bit-sliced Bloom filter: each slot is a mask with one bit per language, in 64-
 slots gives all languages that hold the n-gram at once.  A document's language is that with the most
 of its n-grams, after each language's count is corrected for its false positives.
 
-At scale: scoring is a map over Arrow batches.  N-grams are counted on a sample of ``max_docs`` documents a
-language at most, aggregated on the executors, and the driver gets ``max_grams`` n-grams a language at most.
+At scale: scoring is a map over Arrow batches; a long text is worked on in pieces that overlap by a character, so it has the n-grams of the whole.
+N-grams are counted on a sample of ``max_docs`` documents a language at most and aggregated on the executors; the driver gets those
+that belong to a language, which the sample bounds.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import columns
 
 UNDETERMINED = "und"
-#: Bounds of the fit, a language: documents counted, n-grams kept.
-MAX_DOCS, MAX_GRAMS = 2000, 30_000
+#: Documents that the fit counts in a language.
+MAX_DOCS = 2000
 #: An n-gram belongs to a language if it is seen so often there, and at this share of its highest relative frequency.
 MIN_COUNT, MIN_SHARE = 3, 0.3
 #: Counts under MIN_COUNT are enough in a language in which too few n-grams would be known else: under this share of its sample.
@@ -42,13 +43,19 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(c.isalpha() for c in text)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the letter trigrams (around each letter; word edges count as a character) of all texts, and how many each has."""
+def grams(texts: list[str], before: list[bool] | None = None, after: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the letter trigrams (around each letter; word edges count as a character) of all texts, and how many each has.
+
+    ``before`` and ``after`` mark texts whose first or last character only stands beside others.
+    """
     flat = np.frombuffer(("\0" + "\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4")
     c = letters()[flat].astype(np.uint64)
     mid = c[1:-1] != 0
-    lengths = np.array([len(t) + 1 for t in texts])
+    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
     ends = np.cumsum(lengths)
+    if before is not None:
+        mid[(ends - lengths)[np.array(before, dtype=bool)]] = False
+        mid[(ends - 2)[np.array(after, dtype=bool)]] = False
     seen = np.r_[0, np.cumsum(mid)]
     counts = np.diff(np.r_[0, seen[np.minimum(ends, seen.size - 1)]])
     at = np.flatnonzero(mid)
@@ -58,20 +65,22 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h ^ (h >> np.uint64(32)), counts
 
 
-def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Lower-cased texts in pieces of bounded length; a long text goes into several (a cut counts as a word's edge)."""
-    which, held, chars = [], [], 0
+def pieces(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers of texts, n-grams, how many of each) of lower-cased texts, a bounded number of characters at a time; a long text goes into several."""
+    which, held, before, after, chars = [], [], [], [], 0
     for k, text in enumerate(texts):
         low = (text or "").lower()
         for at in range(0, max(1, len(low)), PIECE_CHARS):
             which.append(k)
-            held.append(low[at : at + PIECE_CHARS])
+            held.append(low[max(0, at - 1) : at + PIECE_CHARS + 1])
+            before.append(at > 0)
+            after.append(at + PIECE_CHARS < len(low))
             chars += len(held[-1])
             if chars >= PIECE_CHARS:
-                yield which, held
-                which, held, chars = [], [], 0
+                yield which, *grams(held, before, after)
+                which, held, before, after, chars = [], [], [], [], 0
     if held:
-        yield which, held
+        yield which, *grams(held, before, after)
 
 
 def _bit(mask: np.ndarray, k: int) -> np.ndarray:
@@ -112,8 +121,7 @@ class Filter:
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, corrected share of them in each language)."""
         n, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
-        for which, held in pieces(texts):
-            h, counts = grams(held)
+        for which, h, counts in pieces(texts):
             starts = np.cumsum(counts) - counts
             full = np.flatnonzero(counts)
             at = np.array(which)[full]
@@ -127,7 +135,7 @@ class Filter:
         return n, np.clip((share - self.false_positive) / (1 - self.false_positive), 0, 1)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_grams: int = MAX_GRAMS, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> Filter:
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> Filter:
     """Learns from the rows of ``docs``; null languages and texts teach nothing."""
     rows = columns(docs, doc_id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -143,21 +151,18 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
             langs = np.array(batch.column(0).to_pylist(), dtype=object)
             for lang in sorted(set(langs)):
                 mine = batch.column(1).take(pa.array(np.flatnonzero(langs == lang))).to_pylist()
-                for _, held in pieces(mine):
-                    h, _ = grams(held)
+                for _, h, _ in pieces(mine):
                     found, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * found.size, pa.string()), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_lang = Window.partitionBy("lang")
-    total = F.sum("n").over(by_lang)
-    ranked = counted.select("*", total.alias("total"), (F.col("n") / total).alias("f"), F.row_number().over(by_lang.orderBy(F.desc("n"), "gram")).alias("rank"))
     # the highest count, min_count at most, at which enough of the sample is known
+    sums = [F.sum("n").alias("total"), *[F.sum(F.when(F.col("n") >= m, F.col("n"))).alias(f"mass{m}") for m in range(2, min_count + 1)]]
     needed = F.lit(1)
     for m in range(2, min_count + 1):
-        mass = F.sum(F.when(F.col("n") >= m, F.col("n"))).over(by_lang) / F.col("total")
-        needed = F.when(mass >= KNOWN_MASS, F.lit(m)).otherwise(needed)
-    ranked = ranked.withColumn("needed", needed).where((F.col("rank") <= max_grams) & (F.col("n") >= F.col("needed")))
+        needed = F.when(F.col(f"mass{m}") / F.col("total") >= KNOWN_MASS, F.lit(m)).otherwise(needed)
+    per_lang = counted.groupBy("lang").agg(*sums).select("lang", "total", needed.alias("needed"))
+    ranked = counted.join(per_lang, "lang").where(F.col("n") >= F.col("needed")).select("lang", "gram", "n", (F.col("n") / F.col("total")).alias("f"))
     # what is seen less than min_count times takes nothing from other languages
     sure = F.max(F.when(F.col("n") >= min_count, F.col("f"))).over(Window.partitionBy("gram"))
     own = ranked.select("lang", "gram", "f", sure.alias("top")).where(F.col("f") >= F.lit(min_share) * F.coalesce("top", F.lit(0.0)))

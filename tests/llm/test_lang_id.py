@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 
 import numpy as np
 
+from colkit.llm import lang_id
 from colkit.llm.lang_id import Filter, fit, grams, keep_determined, pieces, predict
 
 SYLLABLES = {"xx": "ka lo mi tu re sa".split(), "yy": "sch ein ung ver keit zu".split(), "zz": "ée eau oui ç ên tre".split()}
@@ -58,7 +60,7 @@ def test_grams_do_not_depend_on_neighbours():
     for k, t in enumerate(texts):
         one, m = grams([t])
         assert m[0] == n[k] and one.tolist() == h[at[k] - n[k] : at[k]].tolist()
-    assert [w for w, _ in pieces([None, "ABC"])] == [[0, 1]]
+    assert [w for w, _, _ in pieces([None, "ABC"])] == [[0, 1]]
 
 
 def test_more_languages_than_a_word_has_bits(spark):
@@ -76,7 +78,7 @@ def test_more_languages_than_a_word_has_bits(spark):
 
 
 def test_bounds_of_the_fit_reject_nothing(spark):
-    """Short documents alone in their language stay, documents in a language with more n-grams than are kept do, and all do if nothing was learned."""
+    """Short documents alone in their language stay, and all do if nothing was learned."""
     rnd = random.Random(3)
     rows = corpus()
     for i in range(30):
@@ -85,9 +87,57 @@ def test_bounds_of_the_fit_reject_nothing(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     model = fit(df)
     assert keep_determined(df, model).count() == len(rows)
-    assert keep_determined(df, fit(df, max_grams=4)).count() == len(rows)
     none = spark.createDataFrame([(1, "abc", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in keep_determined(none, fit(none)).collect()] == [1]
     # texts that no language knows still go
     odd = spark.createDataFrame([(1, "一二三 四五六", "xx")], "doc_id long, text string, lang string")
     assert keep_determined(odd, model).count() == 0
+
+
+def plain_grams(text):
+    """Each letter with its neighbours, None for what is not a letter."""
+    c = [None, *(x if x.isalpha() else None for x in text.lower()), None]
+    return [tuple(c[k - 1 : k + 2]) for k in range(1, len(c) - 1) if c[k]]
+
+
+def test_predictions_equal_brute_force(spark):
+    """Sets of n-grams instead of filters: the same language, and nearly the same coverage."""
+    rnd = random.Random(11)
+    rows = [(i, t if i % 5 else t + " " + " ".join(rnd.choice(SYLLABLES["zz"]) for _ in range(rnd.randint(1, 60))), lang) for i, t, lang in corpus()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = {lang: Counter(g for _, t, x in rows if x == lang for g in plain_grams(t)) for lang in SYLLABLES}
+    share, needed = {}, {}
+    for lang, c in counts.items():
+        total = sum(c.values())
+        enough = [m for m in range(2, lang_id.MIN_COUNT + 1) if sum(n for n in c.values() if n >= m) / total >= lang_id.KNOWN_MASS]
+        needed[lang] = max([1, *enough])
+        share[lang] = {g: n / total for g, n in c.items() if n >= needed[lang]}
+    top = Counter()
+    for lang, f in share.items():
+        for g, x in f.items():
+            if counts[lang][g] >= lang_id.MIN_COUNT:
+                top[g] = max(top[g], x)
+    own = {lang: {g for g, x in f.items() if x >= lang_id.MIN_SHARE * top[g]} for lang, f in share.items()}
+    got = {r["doc_id"]: r for r in predict(df, fit(df)).collect()}
+    for i, t, _ in rows:
+        g = plain_grams(t)
+        cover = {lang: sum(x in own[lang] for x in g) / len(g) for lang in own}
+        best = max(sorted(cover), key=lambda x: cover[x])
+        second = sorted(cover.values())[-2]
+        if cover[best] - second > 0.03:
+            assert got[i]["lang_pred"] == best and abs(got[i]["coverage"] - cover[best]) < 0.03, i
+
+
+def test_long_texts_have_the_ngrams_of_the_whole(monkeypatch):
+    rnd = random.Random(12)
+    text = "".join(rnd.choice("abc déß.\n") for _ in range(1_200_000))
+    whole, n = grams([text])
+    parts = list(pieces([text]))
+    assert len(parts) > 2 and np.array_equal(np.concatenate([h for _, h, _ in parts]), whole) and sum(int(c.sum()) for _, _, c in parts) == n[0]
+    for size in (1, 2, 7):
+        monkeypatch.setattr(lang_id, "PIECE_CHARS", size)
+        texts = ["ab", "", "x", "abc def", None, "éa1b"]
+        found = list(pieces(texts))
+        h, n = grams([t or "" for t in texts])
+        assert np.array_equal(np.concatenate([x for _, x, _ in found]), h)
+        assert [sum(int(c[k]) for w, _, c in found for k in range(len(w)) if w[k] == i) for i in range(len(texts))] == n.tolist()
