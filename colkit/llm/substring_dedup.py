@@ -1,13 +1,15 @@
 """Substring dedup: content-defined chunks, deduplicated by digest.
 
-Texts are cut into chunks of variable length where a gear rolling hash of the last 32 bytes says so, so
+Texts, with runs of white space as one space, are cut into chunks of variable length where a gear rolling hash of the last 16 bytes says so, so
 that an insertion moves only the boundaries next to it.  A chunk whose digest occurs in several documents
-is a duplicate, and a run of such chunks is a repeated passage.  A passage starts and ends inside
-chunks that differ, so its run is shorter than itself: a run is reported if it has ``min_run_words`` words, and, with its
-two neighbouring chunks, ``min_words``.
-
-At scale: digests are pre-aggregated to their smallest and largest document; occurrences are joined with the written
-table of duplicates, where the skew join splits a chunk that very many documents share.  Runs are put together per document.
+is a duplicate, and a run of such chunks is part of a repeated passage.  A passage starts and ends inside
+chunks that differ, so its run is shorter than itself: each run that has ``min_words`` words together with two chunks on either side is a
+candidate, however short the run.  Candidates are decided exactly: each stretch of ``min_words`` words in them is hashed, and those that two
+documents share, put together, are the passages.
+
+At scale: digests are pre-aggregated to their smallest and largest document.  Occurrences are read again and pass a bit filter of bounded size before
+they are joined with the duplicates, where the skew join splits a chunk that very many documents share; texts travel only for documents with
+candidates, which a second filter finds.  Runs are put together per document.
 """
 
 from __future__ import annotations
@@ -21,65 +23,117 @@ from pyspark.sql import functions as F
 
 from .cdc import chunk_texts
 from .common import Scratch, chunks, columns, written
+from .dedup_exact import filter_of, with_hits
+from .hashing import BASE, INVERSE, digests, mix, powers
 
-MIN_WORDS, MIN_RUN_WORDS = 50, 20
+MIN_WORDS = 50
+#: Chunks on either side of a run that a passage can reach into.
+BESIDE = 2
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_starts(parts: list[bytes], of: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Words that start in each chunk."""
-    b = np.frombuffer(b" ".join([b"", *parts]), dtype=np.uint8)
+def encoded(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def word_starts(parts: list[bytes], of: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Words of text ``of`` that start before byte ``at``, for each pair of these."""
+    b = np.frombuffer(b" ".join([b"", *parts, b""]), dtype=np.uint8)
     blank = _SPACE[b]
     total = np.r_[0, 0, np.cumsum(~blank[1:] & blank[:-1])]
     begins = np.cumsum([1, *(len(p) + 1 for p in parts)])[of] if of.size else of
-    return total[begins + end] - total[begins + start]
+    return total[begins + at] - total[begins]
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> (doc_id, no, digest, start, end, words, before, after): a row per chunk; before and after are the neighbours' words."""
+    """(doc_id, doc, text) -> (doc_id, doc, no, digest, low, high): a row per chunk.
+
+    low and high are the numbers of the first word of the chunk ``BESIDE`` places before and of the first one after that as many places behind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
-            parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            of, start, end, digest = chunk_texts(parts)
-            if not of.size:
-                continue
-            words = word_starts(parts, of, start, end)
-            same = np.r_[False, of[1:] == of[:-1], False]
-            before = np.where(same[:-1], np.r_[0, words[:-1]], 0)
-            after = np.where(same[1:], np.r_[words[1:], 0], 0)
-            first = np.searchsorted(of, np.arange(len(parts)))
-            no = np.arange(of.size) - first[of]
-            small = lambda x: pa.array(x.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), small(no), pa.array(digest.view(np.int64)), pa.array(start), pa.array(end), small(words), small(before), small(after)], names=["doc_id", "no", "digest", "start", "end", "words", "before", "after"])
+        for batch in batches:
+            for known, texts in chunks(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["known", "text"])])):
+                parts = [b" ".join(p.split()) for p in encoded(texts)]  # words are numbered, so white space needs no places
+                of, start, end, digest = chunk_texts(parts)
+                if not of.size:
+                    continue
+                first = np.searchsorted(of, np.arange(len(parts)))
+                last = np.searchsorted(of, np.arange(len(parts)), side="right") - 1
+                own = np.arange(of.size)
+                low = word_starts(parts, of, start)[np.maximum(own - BESIDE, first[of])]
+                high = word_starts(parts, of, end)[np.minimum(own + BESIDE, last[of])]
+                ids = known.take(pa.array(of))
+                small = lambda x: pa.array(x.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids.field("doc_id"), ids.field("doc"), small(own - first[of]), pa.array(digest.view(np.int64)), small(low), small(high)], names=["doc_id", "doc", "no", "digest", "low", "high"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, no int, digest bigint, start bigint, end bigint, words int, before int, after int")
-
-
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_run_words: int = MIN_RUN_WORDS) -> DataFrame:
-    """One row per passage that other documents share: (doc_id, start_byte, end_byte, n_words, first_doc_id, kept).
-
-    Offsets are in the UTF-8 text.  ``first_doc_id`` is the smallest doc_id that holds the passage's first chunk;
-    ``kept`` is true in that document.  Documents without such a passage have no row.  Rows with a null doc_id, null and
-    empty texts take no part; rows that share a doc_id are one document, and repeats within a document do not count.
+    return docs.select(F.struct("doc_id", "doc").alias("known"), "text").mapInArrow(run, f"doc_id {kind}, doc bigint, no int, digest bigint, low int, high int")
+
+
+def stretches(part: bytes, regions: list[tuple[int, int]], n: int) -> tuple[np.ndarray, ...]:
+    """(number of the first word, start byte, end byte, two hashes) of each stretch of ``n`` words in the regions of words of a text."""
+    b = np.frombuffer(part + b" ", dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[b]].astype(np.int8)))
+    start, end = edge[0::2], edge[1::2]
+    take = np.zeros(start.size + 1, dtype=np.int64)
+    for lo, hi in regions:
+        if min(hi, start.size) - lo >= n:
+            take[lo] += 1
+            take[min(hi, start.size) - n + 1] -= 1
+    at = np.flatnonzero(np.cumsum(take[:-1]) > 0)
+    h = digests(b, start, end)
+    up, down = powers(BASE, h.size + 1), powers(INVERSE, h.size + 1)
+    hashes = []
+    for salt in (1, 2):
+        total = np.r_[np.uint64(0), np.cumsum(mix(h, salt) * up[: h.size], dtype=np.uint64)]
+        hashes.append(mix((total[at + n] - total[at]) * down[at], salt).view(np.int64))
+    return at, start[at], end[at + n - 1], *hashes
+
+
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per passage of ``min_words`` words or more that other documents share: (doc_id, start_byte, end_byte, n_words, first_doc_id, kept).
+
+    Words are compared as they are, white space between them is not.  Offsets are in the UTF-8 text.  ``first_doc_id`` is the smallest doc_id that
+    holds the passage's first ``min_words`` words; ``kept`` is true in that document.  Documents without such a passage have no row.  Rows with a null
+    doc_id, null and empty texts take no part.  Rows that share doc_id and text are one document, rows that share only the doc_id are several;
+    repeats within a document do not count.  An empty table gives an empty result.
     """
     rows = columns(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(docs.sparkSession) as scratch:
-        table = written(chunk_table(rows), "cdc-chunks")
-        groups = table.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
-        shared = written(groups.where("first_doc_id <> last_doc_id").select("digest", "first_doc_id"), "cdc-shared")
-        hits = written(table.join(shared, "digest").select("doc_id", "no", "start", "end", "words", "before", "after", "first_doc_id"), "cdc-hits")
-        kept, hits = hits, hits.dropDuplicates(["doc_id", "no"])
-        run = F.col("no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("no"))
-        runs = hits.withColumn("run", run).groupBy("doc_id", "run").agg(
+        groups = chunk_table(rows).groupBy("digest").agg(F.min("doc").alias("one"), F.max("doc").alias("other"))
+        shared = written(groups.where("one <> other").select("digest"), "cdc-shared")
+        hits = with_hits(chunk_table(rows), *filter_of(shared)).where("hit").drop("hit").join(shared, "digest").select("doc", "no", "low", "high")
+        run = F.col("no") - F.row_number().over(Window.partitionBy("doc").orderBy("no"))
+        runs = hits.distinct().withColumn("run", run).groupBy("doc", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        regions = runs.where(F.col("high") - F.col("low") >= min_words).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("regions"))
+        regions = written(regions, "cdc-regions")
+        named = regions.select(F.col("doc").alias("digest"))
+        texts = with_hits(rows.withColumn("digest", F.col("doc")), *filter_of(named)).where("hit").select("doc_id", "doc", "text")
+
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    text, spans = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
+                    at, start, end, one, other = stretches(encoded([text])[0], [(s["low"], s["high"]) for s in spans], min_words)
+                    if at.size:
+                        same = pa.array(np.zeros(at.size, dtype=np.int64))
+                        part = batch.slice(k, 1)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(same), part.column(1).take(same), pa.array(at), pa.array(start), pa.array(end), pa.array(one), pa.array(other)], names=["doc_id", "doc", "at", "start", "end", "one", "other"])
+
+        spans = texts.join(regions, "doc").select("doc_id", "doc", "text", "regions").mapInArrow(verify, f"doc_id {kind}, doc bigint, at bigint, start bigint, end bigint, one bigint, other bigint")
+        spans = written(spans, "cdc-stretches")
+        found = spans.groupBy("one", "other").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("doc_id").alias("first_doc_id")).where("low <> high")
+        found = written(found.select("one", "other", "first_doc_id"), "cdc-found")
+        met = written(spans.join(found, ["one", "other"]).select("doc_id", "doc", "at", "start", "end", "first_doc_id"), "cdc-met")
+        place = F.col("at") - F.row_number().over(Window.partitionBy("doc").orderBy("at"))
+        whole = met.dropDuplicates(["doc", "at"]).withColumn("place", place).groupBy("doc_id", "doc", "place").agg(
             F.min("start").alias("start_byte"),
             F.max("end").alias("end_byte"),
-            F.sum("words").alias("n_words"),
-            F.min_by("before", "no").alias("before"),
-            F.max_by("after", "no").alias("after"),
-            F.min_by("first_doc_id", "no").alias("first_doc_id"),
+            (F.max("at") - F.min("at") + min_words).alias("n_words"),
+            F.min_by("first_doc_id", "at").alias("first_doc_id"),
         )
-        runs = runs.where((F.col("n_words") >= min_run_words) & (F.col("n_words") + F.col("before") + F.col("after") >= min_words))
-        return scratch.keep(runs.select("doc_id", "start_byte", "end_byte", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept")), kept)
+        return scratch.keep(whole.select("doc_id", "start_byte", "end_byte", "n_words", "first_doc_id", (F.col("first_doc_id") == F.col("doc_id")).alias("kept")), met)
