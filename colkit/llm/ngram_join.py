@@ -256,13 +256,27 @@ def _groups_of_bucket(bucket: int, kinds: list[int], nodes: list[bytes], times:
 
     A signature of which a batch held a group names a family of several rows; other groups are named by their nodes, and equal ones are one.
     """
-    who = np.concatenate([np.repeat(np.frombuffer(n, np.int64), np.frombuffer(t, np.uint32)) for n, t in zip(nodes, times, strict=True)])
-    sig = np.concatenate([np.frombuffer(x, np.uint32) for x in sigs])
-    kind = np.repeat(kinds, [len(x) // 4 for x in sigs])
-    marked = np.unique(sig[kind != ENTRY])
-    sig, who, starts = grouped(sig, who)
+    ids = np.unique(np.concatenate([np.frombuffer(n, np.int64) for n in nodes]))
+    both = np.empty(sum(map(len, sigs)) // 4, dtype=np.uint64)  # signature, place of the node in ids: few arrays as long as the bucket
+    marked, at = [], 0
+    for kind, n, t, x in zip(kinds, nodes, times, sigs, strict=True):
+        sig = np.frombuffer(x, np.uint32)
+        both[at : at + sig.size] = np.repeat(np.searchsorted(ids, np.frombuffer(n, np.int64)).astype(np.uint64), np.frombuffer(t, np.uint32))
+        both[at : at + sig.size] |= sig.astype(np.uint64) << _U(32)
+        at += sig.size
+        if kind != ENTRY:
+            marked.append(np.unique(sig))
+    both.sort()
+    # what is alone in its signature goes at once
+    sig = (both >> _U(32)).astype(np.uint32)
+    beside = sig[1:] == sig[:-1]
+    keep = np.r_[False, beside] | np.r_[beside, False] if sig.size else np.zeros(0, dtype=bool)
+    both = both[keep]
+    both = both[np.r_[True, both[1:] != both[:-1]]] if both.size else both
+    sig, who = (both >> _U(32)).astype(np.uint32), ids[(both & _U(0xFFFFFFFF)).astype(np.int64)]
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if sig.size else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.r_[starts, sig.size])
-    open_ = np.isin(sig[starts], marked)
+    open_ = np.isin(sig[starts], np.concatenate(marked)) if marked else np.zeros(starts.size, dtype=bool)
     name = mix(sig[starts].astype(np.uint64) + (_U(bucket) << _U(32)), 0x516).view(np.int64)
     if starts.size:
         name = np.where(open_, name, name_of(starts, who))
@@ -324,18 +338,20 @@ def load(group: pa.Table, at: np.ndarray, num: int, den: int, exact: bool) -> Se
     return Sketches(group.column("n_shingles").to_numpy()[at], items, num, den)
 
 
-def roots_of(sets: Sets, label: np.ndarray) -> np.ndarray:
-    """Each set's component by similarity and by ``label``, which sets that are connected already share: the number of a set of its component."""
+def links_of(sets: Sets, label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of similar sets that connect all there are, beyond what equal ``label`` connects already."""
     n = sets.sizes.size
-    _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
-    root = first[inverse]
-    sketch = sets.sketch(sets.bits()) if n > 1 else None
+    root, found = np.unique(label, return_inverse=True)[1], []
+    if n < 2 or not root.any():
+        return found
+    sketch = sets.sketch(sets.bits())
     for i in range(n - 1):
         rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1  # what is connected already need not be compared
         for j in sets.candidates(i, sketch, sets, sketch, rest).tolist():
             if root[j] != root[i] and sets.similar(i, sets, j):
                 root[root == root[j]] = root[i]
-    return root
+                found.append((i, j))
+    return found
 
 
 def filter_bits(count: int) -> int:
@@ -388,11 +404,10 @@ def _linked(sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
         a, b = [], []
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             mine = order[lo:hi]
-            root = roots_of(load(group, mine, num, den, exact), label[mine])
-            off = root != np.arange(root.size)
-            a.append(node[mine[off]])
-            b.append(node[mine[root[off]]])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            for i, j in links_of(load(group, mine, num, den, exact), label[mine]):
+                a.append(node[mine[i]])
+                b.append(node[mine[j]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return sets.select("key", "family", "node", "label", "n_shingles", "items").groupBy("key").applyInArrow(link, "a bigint, b bigint")
 
