@@ -12,13 +12,13 @@ path; the longest wins.  The verdicts of the rules are the labels from which the
   smoothed with that of all hosts; templates at or over ``reject`` are blocked.
 
 At scale: pages are pre-aggregated to distinct (host, generalised segments) before the tree
-is built, so a host with a third of all pages is a few rows by then.  The last join has the written
-template table on one side, so the skew join splits a hot template.
+is built.  Siblings are pooled by aggregates, which combine before the shuffle, and joined from written tables, so the skew
+join splits a host, branch or template with very many rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, columns, written
@@ -74,10 +74,13 @@ def build_templates(shapes: DataFrame, *, min_support: int = MIN_SUPPORT, z_limi
     done, tree = tree.where("not open"), tree.where("open")
     while not tree.isEmpty():
         here = F.get("segs", F.lit(level))
-        kids = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        pool = Window.partitionBy("host", "template")
-        rest_n, rest_b = F.sum("labelled").over(pool) - F.col("labelled"), F.sum("blocked").over(pool) - F.col("blocked")
-        kids = kids.select("*", rest_n.alias("rest_n"), rest_b.alias("rest_b"), (F.sum("n").over(pool) < min_support).alias("few"))
+        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+        kids = written(tree.where(here.isNotNull()).groupBy("host", "template", here.alias("seg")).agg(*sums), "url-kids")
+        # siblings are pooled by an aggregate and a join: a branch with very many children is not one task
+        pool = kids.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
+        kids = kids.join(written(pool, "url-pools"), ["host", "template"])
+        rest = (F.col("all_labelled") - F.col("labelled")).alias("rest_n"), (F.col("all_blocked") - F.col("blocked")).alias("rest_b")
+        kids = kids.select("host", "template", "seg", "n", "labelled", "blocked", *rest, (F.col("all_n") < min_support).alias("few"))
         p = (F.col("blocked") + F.col("rest_b")) / F.nullif((F.col("labelled") + F.col("rest_n")).cast("double"), F.lit(0.0))
         spread = p * (1.0 - p) * (1.0 / F.nullif(F.col("labelled").cast("double"), F.lit(0.0)) + 1.0 / F.nullif(F.col("rest_n").cast("double"), F.lit(0.0)))
         gap = _share(F.col("blocked"), F.col("labelled")) - _share(F.col("rest_b"), F.col("rest_n"))
