@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, release
 
 #: The pattern of the byte-level pre-tokenizer (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -224,6 +224,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                 if decoded:
                     cols["text"] = pa.array([text_of(x, tables.value) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        release()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens bigint" + ", text string" * decoded)

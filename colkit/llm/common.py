@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextvars
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -150,6 +151,16 @@ def chunks(batches: Iterator[pa.RecordBatch], most_rows: int = 2000, most_bytes:
             if size >= most_bytes or k + 1 - at >= most_rows or k + 1 == len(lengths):
                 yield batch.column(0).slice(at, k + 1 - at), texts.slice(at, k + 1 - at).to_pylist()
                 at, size = k + 1, 0
+    release()
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: idle workers hold on to it, in several processes beside one executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def contracted(edges: DataFrame, rounds: int = 3) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, columns, partitions, written
 
 #: Rows that one block of a queue should hold.
-BLOCK_ROWS = 2_000
+BLOCK_ROWS = 250
 #: Bits of the number of blocks whose sums are one sum of the upper level.
 SPAN = 10
 

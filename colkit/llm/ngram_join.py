@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, columns, components, written
+from .common import Scratch, chunks, columns, components, release, written
 from .hashing import BASE, digests, mix, powers
 
 #: Cells of a partition.
@@ -41,7 +41,7 @@ SKETCH = 128, 16384
 #: Documents a bucket of signatures stands for; sets that share a signature in one batch from which on only one goes to the bucket; their lanes.
 BUCKET_DOCS, LOCAL, LANES = 3000, 4, 16
 #: Nodes, and shingles, that are compared in one task.
-BLOCK, BLOCK_SHINGLES = 4000, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 #: Most bits of a filter of nodes or of candidates: 32 MB.
 FILTER_BITS = 1 << 28
 _U = np.uint64
@@ -579,6 +579,7 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
 
         def meet(group: pa.Table) -> pa.Table:
             family, open_, members = _groups_of_bucket(group.column("bucket")[0].as_py(), *(group.column(c).to_pylist() for c in ("kind", "nodes", "times", "sigs")))
+            release()
             return pa.table({"family": pa.array(family, pa.int64()), "open": pa.array(open_, pa.bool_()), "members": pa.array(members, pa.binary())})
 
         met = rows.mapInArrow(emit, "bucket bigint, lane bigint, kind bigint, nodes binary, times binary, sigs binary").groupBy("bucket", "lane").applyInArrow(meet, "family bigint, open boolean, members binary")
