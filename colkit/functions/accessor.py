@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 
 from .text import NATIVE
-from .text_fallback import FALLBACK, replace_regex, translate
+from .text_fallback import CLASSES, FALLBACK, is_exact, replace_regex, translate
 
 
 class TextStrict:
@@ -27,9 +27,15 @@ class TextStrict:
 
 
 class Text(TextStrict):
-    """As ``TextStrict``; where Spark has no expression, Arrow-batched Python is used."""
+    """As ``TextStrict``; where Spark has no expression, Arrow-batched Python is used.
+
+    Character classes (``isalpha`` and its kin) are expressions, which follow Python within Latin-1; with ``exact=True`` they follow
+    Python's tables for all of Unicode.
+    """
 
     def _find(self, name: str):
+        if name in CLASSES:
+            return lambda s, exact=False: is_exact(s, name) if exact else (NATIVE.get(name) or FALLBACK[name])(s)
         return NATIVE.get(name) or FALLBACK.get(name)
 
     def replace(self, pat: str, repl: str, n: int = -1, case: bool = True, regex: bool = False) -> Column:

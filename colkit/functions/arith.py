@@ -1,8 +1,9 @@
 """Arithmetic and comparison with NumPy's rules, as Column expressions.
 
-Null propagates.  Integers below 64 bits are widened to bigint; a bigint overflow is an error (ANSI) where
-NumPy would wrap.  Division of integers is floor division with the divisor's sign in the remainder, and a zero
-divisor gives 0; floating-point division by zero gives an infinity or NaN.
+Null propagates.  ``add``, ``subtract`` and ``multiply`` have the wider of their inputs' types, as in NumPy; an integer overflow is an
+error (ANSI) where NumPy would wrap, so narrow columns whose results may not fit are cast to bigint first (``wide``).  Floor division and
+remainder work in bigint, or with ``floating`` in double precision; the remainder has the divisor's sign.  A zero
+divisor gives 0 for integers, an infinity or NaN in floating point.
 """
 
 from __future__ import annotations
@@ -17,10 +18,18 @@ def _col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def _wide(x) -> Column:
+def wide(x) -> Column:
+    """An integer column as bigint."""
     return _col(x).cast("bigint")
 
 
+def _whole(x) -> Column:
+    """As bigint; values of a floating-point type are an error, as their fractions would be lost."""
+    c = _col(x)
+    told = F.raise_error(F.lit("floor division of floating-point values needs floating=True")).cast("bigint")
+    return F.when(F.typeof(c).isin("float", "double") & c.isNotNull(), told).otherwise(c.cast("bigint"))
+
+
 def add(a, b) -> Column:
     return _col(a) + _col(b)
 
@@ -33,29 +42,47 @@ def multiply(a, b) -> Column:
     return _col(a) * _col(b)
 
 
-def floordiv(a, b) -> Column:
-    """Integers: towards minus infinity, 0 for a zero divisor."""
-    a, b = _wide(a), _wide(b)
+def _float_divmod(a, b) -> tuple[Column, Column]:
+    """Quotient and remainder in double precision, both from the exact remainder of the division."""
+    a, b = _col(a).cast("double"), _col(b).cast("double")
+    safe = F.nullif(b, F.lit(0.0))
+    rest = a % safe
+    off = (rest != 0) & ((safe < 0) != (rest < 0)) & ~F.isnan(rest)
+    quotient = (a - rest) / safe - off.cast("double")
+    down = F.when(F.abs(quotient) < 2.0**53, F.floor(quotient).cast("double")).otherwise(quotient)
+    down = down + F.when(quotient - down > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
+    remainder = F.when(b == 0, F.when(a.isNotNull(), F.lit(NAN))).otherwise(F.when(off, rest + safe).otherwise(rest))
+    return F.when(b == 0, truediv(a, b)).otherwise(down), remainder
+
+
+def floordiv(a, b, floating: bool = False) -> Column:
+    """Towards minus infinity.  Integers: 0 for a zero divisor; ``floating``: as ``truediv`` there."""
+    if floating:
+        return _float_divmod(a, b)[0]
+    a, b = _whole(a), _whole(b)
     safe = F.nullif(b, F.lit(0).cast("bigint"))
     quotient = F.call_function("div", a, safe)
     down = ((a % safe != 0) & ((a < 0) != (safe < 0))).cast("bigint")
     return F.when(b == 0, F.when(a.isNotNull(), F.lit(0).cast("bigint"))).otherwise(quotient - down)
 
 
-def mod(a, b) -> Column:
-    """Integers: the remainder has the divisor's sign, 0 for a zero divisor."""
-    a, b = _wide(a), _wide(b)
+def mod(a, b, floating: bool = False) -> Column:
+    """The remainder has the divisor's sign.  Integers: 0 for a zero divisor; ``floating``: NaN there."""
+    if floating:
+        return _float_divmod(a, b)[1]
+    a, b = _whole(a), _whole(b)
     return F.when(b == 0, F.when(a.isNotNull(), F.lit(0).cast("bigint"))).otherwise(a - b * floordiv(a, b))
 
 
-def divmod_(a, b) -> tuple[Column, Column]:
-    return floordiv(a, b), mod(a, b)
+def divmod_(a, b, floating: bool = False) -> tuple[Column, Column]:
+    return floordiv(a, b, floating), mod(a, b, floating)
 
 
 def truediv(a, b) -> Column:
-    """In double precision; x / 0 is an infinity of x's sign, 0 / 0 is NaN."""
+    """In double precision; x / 0 is an infinity of x's sign (the other one for -0.0), 0 / 0 is NaN."""
     a, b = _col(a).cast("double"), _col(b).cast("double")
-    zero = F.when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF)).when(a == 0, F.lit(NAN)).when(F.isnan(a), F.lit(NAN))
+    infinity = F.when((b == 0) & b.cast("string").startswith("-"), F.lit(-INF)).otherwise(F.lit(INF))
+    zero = F.when(F.isnan(a), F.lit(NAN)).when(a > 0, infinity).when(a < 0, -infinity).when(a == 0, F.lit(NAN))
     return F.when(b == 0, zero).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
@@ -63,7 +90,7 @@ def power(a, b, integral: bool = False) -> Column:
     """Integers stay integers where ``integral`` says so; a negative exponent is then an error."""
     if not integral:
         return F.pow(_col(a), _col(b))
-    e = F.when(_col(b) < 0, F.raise_error(F.lit("Integers to negative integer powers are not allowed.")).cast("bigint")).otherwise(_wide(b))
+    e = F.when(_col(b) < 0, F.raise_error(F.lit("Integers to negative integer powers are not allowed.")).cast("bigint")).otherwise(wide(b))
     return F.pow(_col(a), e).cast("bigint")
 
 
@@ -109,11 +136,14 @@ _UFUNCS = {
 
 
 def ufunc(name: str, *inputs, out=None, **kwargs) -> Column:
-    """The binary ufuncs by name, and ``isnan``; anything else is not implemented."""
+    """The binary ufuncs by name, and ``isnan``; anything else is not implemented.  ``floating`` is for the divisions."""
+    floating = kwargs.pop("floating", False)
     if out is not None or kwargs:
         raise NotImplementedError("columns are immutable and take no ufunc options")
     if name == "isnan" and len(inputs) == 1:
         return isnan(inputs[0])
     if len(inputs) != 2 or name not in _UFUNCS:
         raise NotImplementedError(f"ufunc {name} with {len(inputs)} inputs")
+    if floating and _UFUNCS[name] in (floordiv, mod):
+        return _UFUNCS[name](*inputs, floating=True)
     return _UFUNCS[name](*inputs)

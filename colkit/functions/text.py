@@ -7,9 +7,7 @@ streams.  Null gives null unless a function says otherwise.  Positions count cod
 from __future__ import annotations
 
 import re
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The characters that Python's ``str.isspace`` accepts (fixed values).
@@ -344,6 +342,13 @@ def expand(parts: Column, size: int) -> list[Column]:
     return [F.get(parts, F.lit(i)).alias(str(i)) for i in range(size)]
 
 
+def expand_rows(df: DataFrame, parts: Column, *keep: str) -> DataFrame:
+    """``keep`` and all elements of a list as columns 0, 1, ...: as many as the longest list has, found by one aggregation."""
+    held = df.select(*keep, parts.alias("__parts"))
+    most = held.agg(F.max(F.when(F.col("__parts").isNotNull(), F.size("__parts")))).first()[0] or 0
+    return held.select(*keep, *expand(F.col("__parts"), most))
+
+
 def partition(s: Column, sep: str = " ") -> list[Column]:
     """(before, separator, after) of the first occurrence; (s, '', '') if there is none."""
     at = F.instr(s, sep)
@@ -432,10 +437,6 @@ def isupper(s: Column) -> Column:
     return s.rlike(r"\p{Lu}") & ~s.rlike(r"[\p{Ll}\p{Lt}\x{aa}\x{ba}]")
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 NATIVE = {
     "cat": cat, "contains": contains, "count": count, "startswith": startswith, "endswith": endswith, "match": match, "fullmatch": fullmatch,
     "find": find, "rfind": rfind, "index": index, "rindex": rindex, "findall": findall, "extract": extract, "extractall": extractall,

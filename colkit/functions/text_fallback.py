@@ -56,9 +56,12 @@ def replace_regex(s: Column, pat: str, repl: str, n: int = -1, case: bool = True
     return elementwise(lambda x: compiled.sub(repl, x, count=max(n, 0)), "string")(s) if n else s
 
 
+CLASSES = ("isalnum", "isalpha", "isdecimal", "isdigit", "islower", "isnumeric", "isspace", "istitle", "isupper")
+
+
 def is_exact(s: Column, name: str) -> Column:
     """``str.isalpha`` and its kin by Python's own tables, for all of Unicode."""
-    if not re.fullmatch("is(alnum|alpha|decimal|digit|lower|numeric|space|title|upper)", name):
+    if name not in CLASSES:
         raise AttributeError(name)
     return elementwise(getattr(str, name), "boolean")(s)
 

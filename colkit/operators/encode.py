@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import literal
@@ -34,7 +34,7 @@ def factorize(df: DataFrame, column: str, order_by: str, *, na_sentinel: int = -
 def get_dummies(df: DataFrame, column: str, *keep: str, sep: str = "|", most: int = 2000) -> DataFrame:
     """A 0/1 column per token of the split text; a null row has only zeros.
 
-    Two passes: the tokens become columns, so there must be at most ``most``.
+    Two passes: the tokens become columns, so there must be at most ``most``, a parameter; more are a ``ValueError``, none is left out.
     """
     parts = F.split(F.col(f"`{column}`"), literal(sep))
     tokens = [r[0] for r in df.select(F.explode(parts).alias("t")).where("t <> ''").distinct().orderBy("t").limit(most + 1).collect()]
@@ -45,9 +45,12 @@ def get_dummies(df: DataFrame, column: str, *keep: str, sep: str = "|", most: in
 
 
 def duplicated(df: DataFrame, column: str, order_by: str, name: str = "duplicated") -> DataFrame:
-    """True for all but the first row of each value."""
-    window = Window.partitionBy(F.col(f"`{column}`")).orderBy(f"`{order_by}`")
-    return df.withColumn(name, F.row_number().over(window) > 1)
+    """True for all but the first row of each value; ``order_by`` tells rows apart.  A value's first row is aggregated and joined, so a value
+    that very many rows have is split by the skew join.
+    """
+    firsts = df.groupBy(F.col(f"`{column}`").alias("__value")).agg(F.min(f"`{order_by}`").alias("__first"))
+    joined = df.join(firsts, F.col(f"`{column}`").eqNullSafe(F.col("__value")))
+    return joined.withColumn(name, F.col(f"`{order_by}`") != F.col("__first")).drop("__value", "__first")
 
 
 def contains_value(df: DataFrame, column: str, value) -> bool:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -42,14 +42,31 @@ def sort_values(df: DataFrame, by: str, ascending: bool = True, tie: str | None
     return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), *([tie] if tie else []))
 
 
-def argsort(df: DataFrame, by: str, order_by: Sequence[str], name: str = "rank") -> DataFrame:
-    """Each row with its position in the sorted order, nulls last, ties in row order."""
+def argsort(df: DataFrame, by: str, order_by: Sequence[str], name: str = "rank", na_position: str = "last") -> DataFrame:
+    """Each row with its position in the sorted order, nulls last or first, ties in row order."""
     from .rows import with_row_id
 
-    flagged = df.withColumn("__null", F.col(f"`{by}`").isNull())
+    if na_position not in ("first", "last"):
+        raise ValueError("na_position is first or last")
+    flagged = df.withColumn("__null", F.col(f"`{by}`").isNull() == F.lit(na_position == "last"))
     return with_row_id(flagged, ["__null", by, *order_by], name).drop("__null")
 
 
+def to_list(df: DataFrame, column: str, order_by: Sequence[str]) -> list:
+    """All values in order, on the driver: for results, not for tables at scale."""
+    return [r[0] for r in df.orderBy(*order_by).select(F.col(f"`{column}`")).toLocalIterator()]
+
+
+def concat_columns(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """Frames side by side, aligned by ``key``: all keys of all, null where a frame has none; other columns need names of their own."""
+    out = frames[0]
+    for df in frames[1:]:
+        right = df.withColumnRenamed(key, "__right")
+        joined = out.join(right, F.col(key).eqNullSafe(F.col("__right")), "full")
+        out = joined.select(F.coalesce(key, "__right").alias(key), *[c for c in [*out.columns, *df.columns] if c != key])
+    return out
+
+
 def argmin(by: Column, at: Column) -> Column:
     """Aggregate: the smallest ``at`` among the smallest values."""
     return F.min(F.when(by.isNotNull(), F.struct(by.alias("v"), at.alias("at"))))["at"]
@@ -128,10 +145,6 @@ def hash_rows(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
-def running(partition: Sequence[str], order: Sequence[str]) -> Window:
-    return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-
 def insert(df: DataFrame, position: int, values: dict, order_by: Sequence[str], name: str = "rid") -> DataFrame:
     """One more row before a position; ``name`` numbers the rows of the result."""
     from .rows import with_row_id

@@ -6,7 +6,6 @@ partition, and row numbers inside each partition: no window over all rows.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,11 +17,13 @@ BLOCK = 1 << 16
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """The session's ``spark.checkpoint.dir``, a folder that driver and executors share."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="colkit-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path)
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "rid") -> DataFrame:
@@ -63,6 +64,35 @@ def slice_rows(df: DataFrame, start: int | None, stop: int | None, step: int | N
     return kept.withColumn(name, new.cast("bigint"))
 
 
+def index(df: DataFrame, key, order_by: Sequence[str], column: str | None = None, name: str = "rid"):
+    """What ``key`` stands for: an int a value of ``column``, a slice rows, a boolean column a mask, a list or array of ints or of booleans
+    the rows at these positions (``name`` numbers them).  Anything else is an ``IndexError``.
+    """
+    import numpy as np
+
+    if isinstance(key, Column):
+        return filter_mask(df, key)
+    if isinstance(key, slice):
+        if any(not isinstance(x, (int, np.integer, type(None))) for x in (key.start, key.stop, key.step)):
+            raise IndexError("slices take whole numbers")
+        return slice_rows(df, key.start, key.stop, key.step, order_by, name)
+    if isinstance(key, (int, np.integer)) and not isinstance(key, (bool, np.bool_)):
+        if column is None:
+            raise IndexError("a single position needs a column")
+        return getitem(df, column, int(key), order_by)
+    if not isinstance(key, (list, np.ndarray)):
+        raise IndexError(f"positions, slices and masks are indexers, {type(key).__name__} is not")
+    values = np.asarray(key)
+    if values.ndim != 1 or (values.size and values.dtype.kind not in "iub"):
+        raise IndexError("an indexer is one row of whole numbers or booleans")
+    if values.dtype.kind == "b":
+        if values.size != df.count():
+            raise IndexError("a mask has as many values as there are rows")
+        values = np.flatnonzero(values)
+    wanted = df.sparkSession.createDataFrame([(k, int(v)) for k, v in enumerate(values)], f"`{name}` bigint, idx bigint")
+    return take(df, wanted, order_by, pos=name)
+
+
 def filter_mask(df: DataFrame, mask: Column) -> DataFrame:
     """Rows where the mask is true; null is false."""
     return df.where(F.coalesce(mask, F.lit(False)))
@@ -105,13 +135,23 @@ def setitem(df: DataFrame, column: str, key, value, order_by: Sequence[str]) ->
     if isinstance(key, Column):
         return df.withColumn(column, set_where(F.col(f"`{column}`"), key, value))
     n = df.count()
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.ArrayType):
+        raise ValueError("cells of a list column cannot be assigned by position")
+    if isinstance(key, slice) and not isinstance(value, (list, tuple)):  # a range of any length, by arithmetic
+        picked = range(*key.indices(n))
+        if not len(picked):
+            return df
+        low, high, stride, at = min(picked[0], picked[-1]), max(picked[0], picked[-1]), abs(picked.step), F.col("__rid")
+        hit = (at >= low) & (at <= high) & ((at - low) % stride == 0)
+        new = F.lit(None if isinstance(value, float) and value != value else value).cast(kind)
+        return with_row_id(df, order_by, "__rid").withColumn(column, F.when(hit, new).otherwise(F.col(f"`{column}`"))).select(*[f"`{c}`" for c in df.columns])
+    if isinstance(key, slice) and len(value) != len(range(*key.indices(n))):
+        raise ValueError("as many values as positions are needed")
     positions = [key] if isinstance(key, int) else list(range(*key.indices(n))) if isinstance(key, slice) else list(key)
     positions = [p + n if p < 0 else p for p in positions]
     if any(p < 0 or p >= n for p in positions):
         raise IndexError("position out of bounds")
-    kind = df.schema[column].dataType
-    if isinstance(kind, T.ArrayType):
-        raise ValueError("cells of a list column cannot be assigned by position")
     values = list(value) if isinstance(value, (list, tuple)) else [value] * len(positions)
     if len(values) != len(positions):
         raise ValueError("as many values as positions are needed")

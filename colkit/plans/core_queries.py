@@ -64,6 +64,19 @@ def floordiv_mod_signs(spark, sf_dir):
     return table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", q.alias("q"), r.alias("r"))
 
 
+#: Powers of two, so that SQL's quotient is exact, too.
+_HALVES = "CASE l_linenumber % 4 WHEN 0 THEN 0.5 WHEN 1 THEN -0.25 WHEN 2 THEN 8.0 ELSE -2.0 END"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, floor(l_extendedprice / {_HALVES}) AS q, l_extendedprice - {_HALVES} * floor(l_extendedprice / {_HALVES}) AS r FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice FROM lineitem)")
+def divmod_float(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    kind = F.col("l_linenumber") % 4
+    by = F.when(kind == 0, 0.5).when(kind == 1, -0.25).when(kind == 2, 8.0).otherwise(-2.0)
+    q, r = arith.divmod_(F.col("l_extendedprice"), by, floating=True)
+    return df.select("l_orderkey", "l_linenumber", q.alias("q"), r.alias("r"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_size > 25 THEN 'inf' WHEN p_size < 25 THEN '-inf' ELSE 'nan' END END AS kind, CASE WHEN p_partkey % 5 <> 0 THEN (p_size - 25) / CAST(p_partkey % 5 AS DOUBLE) END AS v FROM part")
 def truediv(spark, sf_dir):
     v = arith.truediv(F.col("p_size") - 25, F.col("p_partkey") % 5)
@@ -148,12 +161,6 @@ def reduce_sum_min_max(spark, sf_dir):
     return _reduced(spark, sf_dir, None, s="sum", hi="max", lo="min")
 
 
-@query("SELECT o_orderstatus, product(CAST(1 + o_orderkey % 3 AS DOUBLE)) AS p FROM orders WHERE o_orderkey % 500 = 0 GROUP BY o_orderstatus")
-def reduce_prod(spark, sf_dir):
-    few = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderkey % 500 = 0")
-    return few.groupBy("o_orderstatus").agg(reduce_expr("prod", (1 + F.col("o_orderkey") % 3).cast("double")).alias("p"))
-
-
 #: Over all orders: a customer's orders are few at every scale, so that the product of their factors stays finite, and exact up to 33.
 @query("SELECT o_custkey, product(CAST(1 + o_orderkey % 3 AS DOUBLE)) AS p FROM orders GROUP BY o_custkey")
 def reduce_prod_all_rows(spark, sf_dir):
@@ -423,13 +430,6 @@ def merge_null_keys(spark, sf_dir):
     return frame.merge(a, b, "a", "b").select("p_partkey", "n_nationkey")
 
 
-@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_nationkey <> 3) c FULL JOIN (SELECT * FROM supplier WHERE s_nationkey <> 5) s ON c_nationkey IS NOT DISTINCT FROM s_nationkey")
-def merge_outer_dups(spark, sf_dir):
-    c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").where("c_nationkey <> 3")
-    s = table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").where("s_nationkey <> 5")
-    return frame.merge(c, s, "c_nationkey", "s_nationkey", "full").select("c_custkey", "s_suppkey")
-
-
 #: Unmatched rows on either side without leaving a row out: one key becomes null, one moves out of the other side's range.
 @query("SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS a FROM customer) c FULL JOIN (SELECT s_suppkey, CASE WHEN s_nationkey = 5 THEN 105 ELSE s_nationkey END AS b FROM supplier) s ON a IS NOT DISTINCT FROM b")
 def merge_outer_dups_all_rows(spark, sf_dir):
@@ -481,13 +481,6 @@ def reindex(spark, sf_dir):
     return frame.reindex(table(spark, sf_dir, "nation", "n_nationkey", "n_name"), "n_nationkey", keys, "none")
 
 
-@query("SELECT coalesce(a, b) AS k, x, y FROM (SELECT n_nationkey AS a, n_name AS x FROM nation WHERE n_nationkey > 3) FULL JOIN (SELECT r_regionkey AS b, r_name AS y FROM region) ON a = b")
-def align(spark, sf_dir):
-    a = table(spark, sf_dir, "nation", "n_nationkey", "n_name").where("n_nationkey > 3").withColumnsRenamed({"n_nationkey": "k"})
-    b = table(spark, sf_dir, "region", "r_regionkey", "r_name").withColumnsRenamed({"r_regionkey": "k"})
-    return frame.align(a, b, "k", ("x", "y"))
-
-
 @query("SELECT coalesce(a, b) AS k, x, y FROM (SELECT CASE WHEN n_nationkey > 3 THEN n_nationkey ELSE n_nationkey + 100 END AS a, n_name AS x FROM nation) FULL JOIN (SELECT r_regionkey AS b, r_name AS y FROM region) ON a = b")
 def align_all_rows(spark, sf_dir):
     shifted = F.when(F.col("n_nationkey") > 3, F.col("n_nationkey")).otherwise(F.col("n_nationkey") + 100)
@@ -592,7 +585,6 @@ def metadata(spark, sf_dir):
 @query("SELECT doc_id, contains(text, 'the') AS c FROM documents")
 def stream_text(spark, sf_dir):
     """The same expressions on a stream, run to its end into a table in the shared folder."""
-    import tempfile
     import uuid
 
     from ..functions.accessor import text_strict
@@ -600,13 +592,96 @@ def stream_text(spark, sf_dir):
 
     source = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(source).schema
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='colkit-')}/stream-{uuid.uuid4().hex}"
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
     stream = with_columns(read_parquet_stream(spark, f"{source}*", schema), c=text_strict(F.col("text")).contains("the"))
     query_ = stream.select("doc_id", "c").writeStream.format("parquet").option("checkpointLocation", f"{base}/log").option("path", f"{base}/out").trigger(availableNow=True).start()
     query_.awaitTermination()
     return spark.read.schema("doc_id bigint, c boolean").parquet(f"{base}/out")
 
 
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def arrow_round_trip(spark, sf_dir):
+    """Spark to Arrow and back: table, record batch and array."""
+    from ..sources.io import from_arrow, to_arrow
+
+    made = to_arrow(table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey"))
+    whole = from_arrow(spark, made)
+    batch = from_arrow(spark, made.select(["n_nationkey", "n_name"]).combine_chunks().to_batches()[0])
+    keys = from_arrow(spark, made.column("n_nationkey"), "n_nationkey")
+    return keys.join(batch, "n_nationkey").join(whole.select("n_nationkey", "n_regionkey"), "n_nationkey")
+
+
+@query("SELECT p_partkey, p_name, p_size, p_brand FROM part")
+def write_parquet(spark, sf_dir):
+    """Written by brand in the shared folder, and read again."""
+    import uuid
+
+    from ..sources.io import write_parquet as write
+
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/write-{uuid.uuid4().hex}"
+    write(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand"), path, partition_by=["p_brand"])
+    return read_parquet(spark, path, ["p_partkey", "p_name", "p_size", "p_brand"])
+
+
+@query("SELECT true AS itself, true AS in_any_order, false AS a_value_changed, false AS a_row_twice")
+def equals(spark, sf_dir):
+    df = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    changed = df.withColumn("n_name", F.when(F.col("n_nationkey") == 3, F.lit("x")).otherwise(F.col("n_name")))
+    found = [frame.equals(df, other) for other in (df, df.orderBy(F.desc("n_name")), changed, df.union(df.where("n_nationkey = 3")))]
+    return spark.createDataFrame([tuple(found)], "itself boolean, in_any_order boolean, a_value_changed boolean, a_row_twice boolean")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS at FROM orders GROUP BY o_orderpriority")
+def groupby_first_seen(spark, sf_dir):
+    """Groups in the order in which they are first seen."""
+    groups = frame.group_agg(table(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority"), ["o_orderpriority"], {"n": F.count("*")}, first_seen="o_orderkey")
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(groups.toLocalIterator())], "o_orderpriority string, n bigint, at bigint")
+
+
+#: Type names, and the Spark types that they stand for.
+_KINDS = {"bool": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float": "float", "double": "double", "string": "string", "binary": "binary", "date32": "date", "list<item: string>": "array<string>"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _KINDS.items()) + ") t(name, kind)")
+def parse_types(spark, sf_dir):
+    from ..types import parse_dtype
+
+    return spark.createDataFrame([(name, parse_dtype(name).simpleString()) for name in _KINDS], "name string, kind string")
+
+
+@query(f"SELECT event_id, row_number() OVER (ORDER BY x ASC NULLS FIRST, event_id) - 1 AS rank FROM (SELECT event_id, {_X} AS x FROM events)")
+def argsort_nulls_first(spark, sf_dir):
+    return frame.argsort(_events(spark, sf_dir).select("event_id", "x"), "x", ["event_id"], na_position="first").select("event_id", "rank")
+
+
+@query("SELECT coalesce(a, b) AS k, x, y FROM (SELECT n_nationkey AS a, n_name AS x FROM nation) FULL JOIN (SELECT r_regionkey * 10 AS b, r_name AS y FROM region) ON a = b")
+def concat_columns(spark, sf_dir):
+    a = table(spark, sf_dir, "nation", "n_nationkey", "n_name").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("x"))
+    b = table(spark, sf_dir, "region", "r_regionkey", "r_name").select((F.col("r_regionkey") * 10).alias("k"), F.col("r_name").alias("y"))
+    return frame.concat_columns([a, b], "k")
+
+
+@query("SELECT median(p_retailprice) AS price, median(p_size) AS size FROM part")
+def median_by_position(spark, sf_dir):
+    from ..operators.reduce import reduce
+
+    df = table(spark, sf_dir, "part", "p_retailprice", "p_size")
+    return spark.createDataFrame([(reduce(df, "p_retailprice", "median"), reduce(df, "p_size", "median"))], "price double, size double")
+
+
+@query(f"SELECT r AS rid, c_custkey FROM (SELECT (r - 2) // 5 AS r, c_custkey FROM {_NUMBERED} WHERE r >= 2 AND (r - 2) % 5 = 0)")
+def index_by_key(spark, sf_dir):
+    """The indexer takes a slice; other kinds of keys must be refused."""
+    df = _customers(spark, sf_dir).select("c_custkey")
+    for key in ("a", 1.5, None, [0.5], [[0]]):
+        try:
+            rows.index(df, key, ["c_custkey"], "c_custkey")
+        except IndexError:
+            continue
+        raise AssertionError(f"{key!r} was taken for an indexer")
+    return rows.index(df, slice(2, None, 5), ["c_custkey"])
+
+
 # --- flagship --------------------------------------------------------------------------------------------------------
 
 FLAGSHIP_SQL = """

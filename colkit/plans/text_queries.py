@@ -37,6 +37,9 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 S = F.col
 Build = Callable[[Column], "Column | list[Column]"]
 
+#: A text without white space at its ends, in SQL.
+_BARE = "trim(s, ' ' || chr(10) || chr(9) || chr(13))"
+
 #: name: (source, expression, SQL of the result columns; None where SQL has no equal)
 TEXT: dict[str, tuple[str, Build, str | None]] = {
     "text_cat": ("part", lambda s: T.cat(s, F.concat(F.lit("/"), F.col("k").cast("string"))), "s || '/' || CAST(k AS VARCHAR) AS v"),
@@ -70,9 +73,13 @@ TEXT: dict[str, tuple[str, Build, str | None]] = {
     "text_isnumeric": ("kinds", lambda s: text_strict(s).isnumeric(), "regexp_full_match(s, '\\p{N}+') AS v"),
     "text_isspace": ("kinds", lambda s: text_strict(s).isspace(), "regexp_full_match(s, '\\s+') AS v"),
     "text_isupper": ("kinds", lambda s: text_strict(s).isupper(), "regexp_matches(s, '\\p{Lu}') AND NOT regexp_matches(s, '[\\p{Ll}\\p{Lt}]') AS v"),
-    "text_istitle": ("part", lambda s: text(s).istitle(), None),
+    "text_istitle": ("part", lambda s: text(s).istitle(), "regexp_matches(s, '[A-Z]') AND NOT regexp_matches(s, '[A-Za-z][A-Z]') AND NOT regexp_matches(s, '(^|[^A-Za-z])[a-z]') AS v"),
+    "text_istitle_kinds": ("kinds", lambda s: text(s).istitle(), "regexp_matches(s, '[A-Z]') AND NOT regexp_matches(s, '[A-Za-z][A-Z]') AND NOT regexp_matches(s, '(^|[^A-Za-z])[a-z]') AS v"),
+    "text_isalpha_exact": ("kinds", lambda s: text(s).isalpha(exact=True), "regexp_full_match(s, '\\p{L}+') AS v"),
+    "text_isdigit_exact": ("kinds", lambda s: text(s).isdigit(exact=True), "regexp_full_match(s, '[\\p{Nd}²³¹]+') AS v"),
+    "text_isupper_exact": ("kinds", lambda s: text(s).isupper(exact=True), "regexp_matches(s, '\\p{Lu}') AND NOT regexp_matches(s, '[\\p{Ll}\\p{Lt}]') AS v"),
     "text_capitalize": ("part", lambda s: T.capitalize(s), "upper(s[1:1]) || lower(s[2:]) AS v"),
-    "text_casefold": ("documents", lambda s: text(s).casefold(), None),
+    "text_casefold": ("documents", lambda s: text(s).casefold(), "replace(lower(s), 'ß', 'ss') AS v"),
     "text_center": ("part", lambda s: T.center(s, 31, "*"), "rpad(lpad(s, CAST(length(s) + greatest(31 - length(s), 0) // 2 + (greatest(31 - length(s), 0) & 1) AS INTEGER), '*'), CAST(greatest(31, length(s)) AS INTEGER), '*') AS v"),
     "text_encode": ("documents", lambda s: F.hex(T.encode(s, "utf-8")), "hex(encode(s)) AS v"),
     "text_decode": ("documents", lambda s: T.decode(T.encode(s, "utf-8"), "utf-8"), "decode(encode(s)) AS v"),
@@ -96,9 +103,11 @@ TEXT: dict[str, tuple[str, Build, str | None]] = {
     "text_lower": ("documents", lambda s: T.lower(s), "lower(s) AS v"),
     "text_upper": ("part", lambda s: T.upper(s), "upper(s) AS v"),
     "text_swapcase": ("brand", lambda s: T.swapcase(s), "array_to_string(list_transform(string_split(s, ''), lambda c: CASE WHEN c = upper(c) THEN lower(c) ELSE upper(c) END), '') AS v"),
-    "text_title": ("part", lambda s: text(s).title(), None),
+    "text_title": ("part", lambda s: text(s).title(), "array_to_string(list_transform(string_split(s, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS v"),
     "text_normalize_nfc": ("documents", lambda s: text(s).normalize("NFC"), "nfc_normalize(s) AS v"),
-    "text_wrap": ("chat", lambda s: text(s).wrap(40), None),
+    "text_normalize_nfd": ("documents", lambda s: F.regexp_replace(text(s).normalize("NFD"), r"\p{Mn}+", ""), "strip_accents(s) AS v"),
+    "text_normalize_twice": ("documents", lambda s: text(text(s).normalize("NFD")).normalize("NFC"), "nfc_normalize(s) AS v"),
+    "text_wrap": ("chat", lambda s: text(s).wrap(40), f"CASE WHEN {_BARE} = '' THEN '' ELSE list_reduce(regexp_split_to_array({_BARE}, '\\s+'), lambda a, w: CASE WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(w) <= 40 THEN a || ' ' || w ELSE a || chr(10) || w END) END AS v"),
     "text_partition": ("part", lambda s: [c.alias(n) for c, n in zip(T.partition(s, "e"), ("a", "b", "c"), strict=True)], "CASE WHEN contains(s, 'e') THEN substring(s, 1, instr(s, 'e') - 1) ELSE s END AS a, CASE WHEN contains(s, 'e') THEN 'e' WHEN s IS NOT NULL THEN '' END AS b, CASE WHEN contains(s, 'e') THEN substring(s, instr(s, 'e') + 1) WHEN s IS NOT NULL THEN '' END AS c"),
     "text_rpartition": ("part", lambda s: [c.alias(n) for c, n in zip(T.rpartition(s, "e"), ("a", "b", "c"), strict=True)], "CASE WHEN contains(s, 'e') THEN substring(s, 1, length(s) - instr(reverse(s), 'e')) WHEN s IS NOT NULL THEN '' END AS a, CASE WHEN contains(s, 'e') THEN 'e' WHEN s IS NOT NULL THEN '' END AS b, CASE WHEN contains(s, 'e') THEN substring(s, length(s) - instr(reverse(s), 'e') + 2) ELSE s END AS c"),
     "text_removeprefix": ("pages", lambda s: T.removeprefix(s, "https://"), "CASE WHEN starts_with(s, 'https://') THEN substring(s, 9) ELSE s END AS v"),
@@ -131,7 +140,13 @@ def extractall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", "match", F.col("g").getField("g0").alias("g0"), F.col("g").getField("g1").alias("g1"))
 
 
-QUERIES = {name: query(name) for name in TEXT} | {"text_extractall": extractall}
+def split_expand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.expand_rows(source(spark, sf_dir, "part"), T.split(F.col("s"), " "), "k")
+
+
+QUERIES = {name: query(name) for name in TEXT} | {"text_extractall": extractall, "text_split_expand_all": split_expand_all}
 ORACLES = {name: f"SELECT k, {sql} FROM {source_sql(src).replace('AS STRING', 'AS VARCHAR')}" for name, (src, _, sql) in TEXT.items() if sql}
 _ALL = "regexp_extract_all(s, '([a-z])a([a-z])', {})"
 ORACLES["text_extractall"] = f"SELECT k, CAST(unnest(range(len({_ALL.format(1)}))) AS INTEGER) AS match, unnest({_ALL.format(1)}) AS g0, unnest({_ALL.format(2)}) AS g1 FROM {source_sql('part')}"
+#: Names have two words at every scale; the query finds the width itself.
+ORACLES["text_split_expand_all"] = f"SELECT k, string_split(s, ' ')[1] AS \"0\", string_split(s, ' ')[2] AS \"1\" FROM {source_sql('part')}"

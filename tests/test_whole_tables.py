@@ -1,14 +1,14 @@
 """Queries that take every row of their tables, against plain Python."""
 
 import math
+import uuid
 from collections import defaultdict
 
-from colkit.llm.common import new_path
 from colkit.plans.core_queries import QUERIES
 
 
 def store(spark, **tables):
-    path = new_path(spark, "whole-tables")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/whole-tables-{uuid.uuid4().hex}"
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/{name}.parquet")
     return path
