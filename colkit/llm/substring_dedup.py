@@ -4,8 +4,9 @@ Texts, with runs of white space as one space, are cut into chunks of variable le
 that an insertion moves only the boundaries next to it.  A chunk whose digest occurs in several documents
 is a duplicate, and a run of such chunks is part of a repeated passage.  A passage starts and ends inside
 chunks that differ, so its run is shorter than itself: each run that has ``min_words`` words together with two chunks on either side is a
-candidate, however short the run.  Candidates are decided exactly: each stretch of ``min_words`` words in them is hashed, and those that two
-documents share, put together, are the passages.
+candidate, however short the run.  Candidates are decided by hashes of stretches of ``min_words`` words: all that start or end where a passage
+can start or end, next to the run's first and last chunk, and between these the ones that winnowing picks, whose first words have the least hash of
+``PICK`` neighbours, so that all documents pick the same.  Neighbouring stretches that other documents have, too, put together, are the passages.
 
 At scale: digests are pre-aggregated to their smallest and largest document.  Occurrences are read again and pass a bit filter of bounded size before
 they are joined with the duplicates, where the skew join splits a chunk that very many documents share; texts travel only for documents with
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cdc import chunk_texts
-from .common import Scratch, chunks, columns, written
+from .common import Scratch, chunks, columns, release, written
 from .dedup_exact import filter_of, with_hits
 from .hashing import BASE, INVERSE, digests, mix, powers
 
 MIN_WORDS = 50
-#: Chunks on either side of a run that a passage can reach into.
-BESIDE = 2
+#: Chunks on either side of a run that a passage can reach into; words of which winnowing picks one.
+BESIDE, PICK = 2, 16
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -47,43 +48,58 @@ def word_starts(parts: list[bytes], of: np.ndarray, at: np.ndarray) -> np.ndarra
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, text) -> (doc_id, doc, no, digest, low, high): a row per chunk.
+    """(doc, text) -> (doc, no, digest, low, first, last, high): a row per chunk.
 
-    low and high are the numbers of the first word of the chunk ``BESIDE`` places before and of the first one after that as many places behind.
+    first and last are the numbers of the first word that starts in the chunk and of the first one after it; low and high are the same of the
+    chunks ``BESIDE`` places before and behind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for known, texts in chunks(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["known", "text"])])):
-                parts = [b" ".join(p.split()) for p in encoded(texts)]  # words are numbered, so white space needs no places
-                of, start, end, digest = chunk_texts(parts)
-                if not of.size:
-                    continue
-                first = np.searchsorted(of, np.arange(len(parts)))
-                last = np.searchsorted(of, np.arange(len(parts)), side="right") - 1
-                own = np.arange(of.size)
-                low = word_starts(parts, of, start)[np.maximum(own - BESIDE, first[of])]
-                high = word_starts(parts, of, end)[np.minimum(own + BESIDE, last[of])]
-                ids = known.take(pa.array(of))
-                small = lambda x: pa.array(x.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([ids.field("doc_id"), ids.field("doc"), small(own - first[of]), pa.array(digest.view(np.int64)), small(low), small(high)], names=["doc_id", "doc", "no", "digest", "low", "high"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.struct("doc_id", "doc").alias("known"), "text").mapInArrow(run, f"doc_id {kind}, doc bigint, no int, digest bigint, low int, high int")
-
-
-def stretches(part: bytes, regions: list[tuple[int, int]], n: int) -> tuple[np.ndarray, ...]:
-    """(number of the first word, start byte, end byte, two hashes) of each stretch of ``n`` words in the regions of words of a text."""
+        for known, texts in chunks(batches):
+            parts = [b" ".join(p.split()) for p in encoded(texts)]  # words are numbered, so white space needs no places
+            of, start, end, digest = chunk_texts(parts)
+            if not of.size:
+                continue
+            begin = np.searchsorted(of, np.arange(len(parts)))
+            final = np.searchsorted(of, np.arange(len(parts)), side="right") - 1
+            own = np.arange(of.size)
+            first, last = word_starts(parts, of, start), word_starts(parts, of, end)
+            places = own - begin[of], first[np.maximum(own - BESIDE, begin[of])], first, last, last[np.minimum(own + BESIDE, final[of])]
+            no, *words = (pa.array(x.astype(np.int32)) for x in places)
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(of)), no, pa.array(digest.view(np.int64)), *words], names=["doc", "no", "digest", "low", "first", "last", "high"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc bigint, no int, digest bigint, low int, first int, last int, high int")
+
+
+def winnowed(h: np.ndarray) -> np.ndarray:
+    """Whether each word is picked: its hash is the least of some ``PICK`` words in a row."""
+    if h.size < PICK:
+        return np.ones(h.size, dtype=bool)
+    least = np.lib.stride_tricks.sliding_window_view(h, PICK).min(axis=1)  # of the words from each one on
+    edge = np.full(PICK - 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+    low = np.concatenate([edge, least, edge])
+    return (np.lib.stride_tricks.sliding_window_view(low, PICK) == h[:, None]).any(axis=1)
+
+
+def stretches(part: bytes, regions: list[tuple[int, int, int, int]], n: int) -> tuple[np.ndarray, ...]:
+    """(number of the first word, start byte, end byte, two hashes) of stretches of ``n`` words of a text.
+
+    regions: low, first, last and high of runs of chunks.
+    """
     b = np.frombuffer(part + b" ", dtype=np.uint8)
     edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[b]].astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
-    take = np.zeros(start.size + 1, dtype=np.int64)
-    for lo, hi in regions:
-        if min(hi, start.size) - lo >= n:
-            take[lo] += 1
-            take[min(hi, start.size) - n + 1] -= 1
-    at = np.flatnonzero(np.cumsum(take[:-1]) > 0)
     h = digests(b, start, end)
+    picked = winnowed(mix(h, 3))
+    take = np.zeros(start.size + 1, dtype=bool)
+    for low, first, last, high in regions:
+        most = min(high, start.size) - n  # where the last stretch of the region starts
+        if most >= low:
+            take[low : most + 1] |= picked[low : most + 1]
+            # documents pick alike from the PICK-th word of a passage on
+            take[low : min(first + PICK, most) + 1] = True
+            take[max(low, last - 1 - n) : most + 1] = True
+    at = np.flatnonzero(take)
     up, down = powers(BASE, h.size + 1), powers(INVERSE, h.size + 1)
     hashes = []
     for salt in (1, 2):
@@ -106,10 +122,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     with Scratch(docs.sparkSession) as scratch:
         groups = chunk_table(rows).groupBy("digest").agg(F.min("doc").alias("one"), F.max("doc").alias("other"))
         shared = written(groups.where("one <> other").select("digest"), "cdc-shared")
-        hits = with_hits(chunk_table(rows), *filter_of(shared)).where("hit").drop("hit").join(shared, "digest").select("doc", "no", "low", "high")
+        hits = with_hits(chunk_table(rows), *filter_of(shared)).where("hit").drop("hit").join(shared, "digest").select("doc", "no", "low", "first", "last", "high")
         run = F.col("no") - F.row_number().over(Window.partitionBy("doc").orderBy("no"))
-        runs = hits.distinct().withColumn("run", run).groupBy("doc", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        regions = runs.where(F.col("high") - F.col("low") >= min_words).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("regions"))
+        runs = hits.distinct().withColumn("run", run).groupBy("doc", "run").agg(F.min("low").alias("low"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"))
+        regions = runs.where(F.col("high") - F.col("low") >= min_words).groupBy("doc").agg(F.collect_list(F.struct("low", "first", "last", "high")).alias("regions"))
         regions = written(regions, "cdc-regions")
         named = regions.select(F.col("doc").alias("digest"))
         texts = with_hits(rows.withColumn("digest", F.col("doc")), *filter_of(named)).where("hit").select("doc_id", "doc", "text")
@@ -118,19 +134,23 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             for batch in batches:
                 for k in range(batch.num_rows):
                     text, spans = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
-                    at, start, end, one, other = stretches(encoded([text])[0], [(s["low"], s["high"]) for s in spans], min_words)
-                    if at.size:
-                        same = pa.array(np.zeros(at.size, dtype=np.int64))
+                    found = stretches(encoded([text])[0], [(s["low"], s["first"], s["last"], s["high"]) for s in spans], min_words)
+                    if found[0].size:
+                        same = pa.array(np.zeros(found[0].size, dtype=np.int64))
                         part = batch.slice(k, 1)
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(same), part.column(1).take(same), pa.array(at), pa.array(start), pa.array(end), pa.array(one), pa.array(other)], names=["doc_id", "doc", "at", "start", "end", "one", "other"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(same), part.column(1).take(same), *map(pa.array, found)], names=["doc_id", "doc", "at", "start", "end", "one", "other"])
+            release()
 
         spans = texts.join(regions, "doc").select("doc_id", "doc", "text", "regions").mapInArrow(verify, f"doc_id {kind}, doc bigint, at bigint, start bigint, end bigint, one bigint, other bigint")
         spans = written(spans, "cdc-stretches")
         found = spans.groupBy("one", "other").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("doc_id").alias("first_doc_id")).where("low <> high")
         found = written(found.select("one", "other", "first_doc_id"), "cdc-found")
         met = written(spans.join(found, ["one", "other"]).select("doc_id", "doc", "at", "start", "end", "first_doc_id"), "cdc-met")
-        place = F.col("at") - F.row_number().over(Window.partitionBy("doc").orderBy("at"))
-        whole = met.dropDuplicates(["doc", "at"]).withColumn("place", place).groupBy("doc_id", "doc", "place").agg(
+        # within a passage no more than PICK words lie between stretches that all documents take; between two passages, min_words do
+        order = Window.partitionBy("doc").orderBy("at")
+        apart = F.coalesce((F.col("at") - F.lag("at").over(order) > PICK).cast("int"), F.lit(0))
+        islands = met.dropDuplicates(["doc", "at"]).withColumn("apart", apart).withColumn("island", F.sum("apart").over(order))
+        whole = islands.groupBy("doc_id", "doc", "island").agg(
             F.min("start").alias("start_byte"),
             F.max("end").alias("end_byte"),
             (F.max("at") - F.min("at") + min_words).alias("n_words"),
