@@ -92,14 +92,13 @@ class WarcWriter(DataSourceArrowWriter):
         store.create_dir(path, recursive=True)
         files, out, size = [], None, 0
         for batch in iterator:
-            names = batch.schema.names
-            for at in range(batch.num_rows):
+            for row in (r for at in range(0, batch.num_rows, 50) for r in batch.slice(at, 50).to_pylist()):
                 if out is None or size >= self.most:
                     if out is not None:
                         out.close()
                     files.append(f"part-{uuid.uuid4().hex}.warc.gz")
                     out, size = store.open_output_stream(f"{path}/{files[-1]}", compression=None), 0
-                data = member(record({n: batch.column(k)[at].as_py() for k, n in enumerate(names)}), self.level)
+                data = member(record(row), self.level)
                 out.write(data)
                 size += len(data)
         if out is not None:
