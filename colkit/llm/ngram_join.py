@@ -41,7 +41,7 @@ SKETCH = 128, 16384
 #: Documents a bucket of signatures stands for; sets that share a signature in one batch from which on only one goes to the bucket; their lanes.
 BUCKET_DOCS, LOCAL, LANES = 3000, 4, 16
 #: Nodes, and shingles, that are compared in one task.
-BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+BLOCK, BLOCK_SHINGLES = 2500, 2_000_000
 #: Most bits of a filter of nodes or of candidates: 32 MB.
 FILTER_BITS = 1 << 28
 _U = np.uint64
@@ -461,16 +461,19 @@ def _placed(members: DataFrame, n_keys: int) -> DataFrame:
     return written(placed.select("family", "node", "label", "n_shingles", "blocks", block.alias("block"), key.alias("key")), "join-placed")
 
 
-def _connected(sets: DataFrame, known: DataFrame | None, num: int, den: int, exact: bool) -> DataFrame:
-    """All links: ``known`` ones, those within blocks and those between them."""
+def _connected(sets: DataFrame, known: DataFrame | None, num: int, den: int, exact: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(links, labels): ``known`` links, those within blocks and those between them; the components of all of these where they are known, too."""
     links = written(_linked(sets, num, den, exact), "join-links")
     links = links if known is None else links.union(known)
-    more = _across(sets, components(links), num, den, exact)
-    return links if more is None else links.union(written(more, "join-across"))
+    if sets.where("blocks > 1").isEmpty():
+        return links, None
+    labels = components(links)
+    more = _across(sets, labels, num, den, exact)
+    return (links, labels) if more is None else (links.union(written(more, "join-across")), None)
 
 
 def _candidates(groups: DataFrame, nodes: DataFrame, n_keys: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that connect all nodes of each group which their sketches allow to be similar, over other nodes or directly.
+    """Components (id, label) in which all nodes of each group are together that their sketches allow to be similar.
 
     groups: (family, open, members), nodes: (node, n_shingles, sketch), both written.
     """
@@ -523,14 +526,15 @@ def _candidates(groups: DataFrame, nodes: DataFrame, n_keys: int, num: int, den:
 
     families = written(groups.select("family", "open", "members").mapInArrow(doubtful, "family bigint").distinct(), "join-doubtful")
     if families.isEmpty():
-        return close
+        return labels
     members = groups.select("family", "members").join(families.hint("merge"), "family").mapInArrow(each, "family bigint, node bigint").distinct()
     members = members.join(labels.select(F.col("id").alias("node"), "label").hint("merge"), "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
     members = written(members, "join-doubts")
     split = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family")
     members = members.join(written(split, "join-split").hint("merge"), "family").join(nodes.select("node", "n_shingles").hint("merge"), "node")
     sets = _placed(written(members, "join-doubts"), n_keys).join(nodes.select("node", F.col("sketch").alias("items")).hint("merge"), "node")
-    return _connected(written(sets, "join-sketches"), close, num, den, exact=False)
+    links, known = _connected(written(sets, "join-sketches"), close, num, den, exact=False)
+    return components(links) if known is None else known
 
 
 def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -587,10 +591,11 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
         once = groups.where("not open").dropDuplicates(["family"]).unionByName(groups.where("open"))
         # without copies: all columns depend on the node
         nodes = written(table.select("node", "n_shingles", "sketch").where("n_shingles > 0").distinct(), "join-nodes")
-        close = components(written(_candidates(written(once, "join-groups"), nodes, n_buckets, num, den), "join-close"))
+        close = _candidates(written(once, "join-groups"), nodes, n_buckets, num, den)
         members = close.select(F.col("label").alias("family"), F.col("id").alias("node"), F.col("id").alias("label")).join(nodes.select("node", "n_shingles").hint("merge"), "node")
         sets = _sets_of(_placed(members, n_buckets), rows, width, name)
-        labels = components(_connected(written(sets, "join-sets"), None, num, den, exact=True))
+        links, labels = _connected(written(sets, "join-sets"), None, num, den, exact=True)
+        labels = components(links) if labels is None else labels
 
         found = written(table.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label")), "join-labels")
         first = written(found.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("first")), "join-first")
