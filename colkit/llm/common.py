@@ -12,21 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rows import shared_folder
+
 #: White space as the contracts define it: space and U+0009 to U+000D.
 WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, which the session has to name."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/colkit/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/colkit/{name}-{uuid.uuid4().hex}"
 
 
 class Scratch:
