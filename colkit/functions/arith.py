@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .boolean import any_
+
 INF, NAN = float("inf"), float("nan")
 
 
@@ -136,12 +138,14 @@ _UFUNCS = {
 
 
 def ufunc(name: str, *inputs, out=None, **kwargs) -> Column:
-    """The binary ufuncs by name, and ``isnan``; anything else is not implemented.  ``floating`` is for the divisions."""
+    """The binary ufuncs by name, ``isnan`` and the aggregate ``logical_or.reduce``; anything else is not implemented.  ``floating`` is for the divisions."""
     floating = kwargs.pop("floating", False)
     if out is not None or kwargs:
         raise NotImplementedError("columns are immutable and take no ufunc options")
     if name == "isnan" and len(inputs) == 1:
         return isnan(inputs[0])
+    if name == "logical_or.reduce" and len(inputs) == 1:
+        return any_(inputs[0])
     if len(inputs) != 2 or name not in _UFUNCS:
         raise NotImplementedError(f"ufunc {name} with {len(inputs)} inputs")
     if floating and _UFUNCS[name] in (floordiv, mod):

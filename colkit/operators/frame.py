@@ -48,6 +48,7 @@ def argsort(df: DataFrame, by: str, order_by: Sequence[str], name: str = "rank",
 
     if na_position not in ("first", "last"):
         raise ValueError("na_position is first or last")
+    order_by = [order_by] if isinstance(order_by, str) else order_by
     flagged = df.withColumn("__null", F.col(f"`{by}`").isNull() == F.lit(na_position == "last"))
     return with_row_id(flagged, ["__null", by, *order_by], name).drop("__null")
 

@@ -6,9 +6,11 @@ partition, and row numbers inside each partition: no window over all rows.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,21 +18,33 @@ from pyspark.sql import types as T
 BLOCK = 1 << 16
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``: a folder that driver and executors share.
+
+    Where the session does not name one, a temporary folder stands in if driver and executors are one process; on a cluster it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_colkit_folder", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = spark._colkit_folder = "file://" + tempfile.mkdtemp(prefix="colkit-")
+    return path.rstrip("/")
+
+
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """The session's ``spark.checkpoint.dir``, a folder that driver and executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
 
 
-def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "rid") -> DataFrame:
+def with_row_id(df: DataFrame, order_by: Sequence[str] | str, name: str = "rid") -> DataFrame:
     """``df`` with each row's position in the order of ``order_by``, nulls first.
 
-    The ranged rows are checkpointed: range bounds are sampled, so both uses must see the same partitions.
+    The ranged rows are checkpointed: range bounds are sampled, so both uses must see the same partitions.  A chain of operators on positions
+    numbers its rows once: where ``order_by`` is a single name instead of a list, that column holds the positions already.
     """
+    if isinstance(order_by, str):
+        return df.withColumn(name, F.col(f"`{order_by}`").cast("bigint"))
     keys = [F.col(f"`{c}`") for c in order_by]
     ensure_checkpoint_dir(df)
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).checkpoint()
@@ -43,7 +57,8 @@ def with_row_id(df: DataFrame, order_by: Sequence[str], name: str = "rid") -> Da
 
 def getitem(df: DataFrame, column: str, i: int, order_by: Sequence[str]):
     """The value at a position; negative counts from the end; None beyond the ends."""
-    rows = with_row_id(df, order_by, "__rid")
+    needed = [column, *([order_by] if isinstance(order_by, str) else order_by)]
+    rows = with_row_id(df.select(*[f"`{c}`" for c in dict.fromkeys(needed)]), order_by, "__rid")
     if i < 0:
         i += df.count()
     row = rows.where(F.col("__rid") == i).select(column).first()
@@ -115,10 +130,11 @@ def take(df: DataFrame, indices: DataFrame, order_by: Sequence[str], *, allow_fi
         if bounds["high"] >= n or (not allow_fill and bounds["low"] < -n):
             raise IndexError("position out of bounds")
     rows = with_row_id(df, order_by, "__rid")
+    keys = [order_by] if isinstance(order_by, str) else order_by
     wanted = indices.select(F.col(pos).alias("__pos"), F.col(idx).cast("bigint").alias("__idx"))
     at = F.col("__idx") if allow_fill else F.when(F.col("__idx") < 0, F.col("__idx") + n).otherwise(F.col("__idx"))
     got = wanted.withColumn("__rid", at).join(rows, "__rid", "left")
-    values = [(F.when(F.col("__idx") == -1, F.lit(fill_value)).otherwise(F.col(f"`{c}`")) if allow_fill and fill_value is not None and c not in order_by else F.col(f"`{c}`")).alias(c) for c in df.columns]
+    values = [(F.when(F.col("__idx") == -1, F.lit(fill_value)).otherwise(F.col(f"`{c}`")) if allow_fill and fill_value is not None and c not in keys else F.col(f"`{c}`")).alias(c) for c in df.columns]
     return got.select(F.col("__pos").alias(pos), *values)
 
 

@@ -523,6 +523,31 @@ def apply_binary_str_prefix_len(spark, sf_dir):
     return df.select("p_partkey", apply_binary_str(with_nulls("p_partkey", "p_brand"), other, func=prefix, output_dtype="bigint").alias("n"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN array_to_string(string_split(p_brand, '')[1:1000:2], '') || '/' || p_type END AS v FROM part")
+def apply_utf8_bytes(spark, sf_dir):
+    """Every second byte of one text and the whole of another, written with the builder."""
+    from ..functions.udf import apply_utf8
+
+    def func(a, b, out):
+        for i in range(len(a)):
+            if a.is_null(i) or b.is_null(i):
+                out.end_null()
+                continue
+            for k in range(0, a.byte_length(i), 2):
+                out.put(a.view(i)[k])
+            out.put(b"/")
+            out.put(b.view(i))
+            out.end_text()
+
+    df = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
+    return df.select("p_partkey", apply_utf8(with_nulls("p_partkey", "p_brand"), F.col("p_type"), func=func).alias("v"))
+
+
+@query(f"SELECT event_type, coalesce(bool_or(coalesce({_B}, true)), false) AS v FROM events GROUP BY event_type")
+def ufunc_logical_or_reduce(spark, sf_dir):
+    return _bools(spark, sf_dir).groupBy("event_type").agg(arith.ufunc("logical_or.reduce", F.col("a")).alias("v"))
+
+
 # --- more of the data-frame contract ---------------------------------------------------------------------------------
 
 
@@ -592,7 +617,7 @@ def stream_text(spark, sf_dir):
 
     source = f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(source).schema
-    base = f"{spark.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    base = f"{rows.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = with_columns(read_parquet_stream(spark, f"{source}*", schema), c=text_strict(F.col("text")).contains("the"))
     query_ = stream.select("doc_id", "c").writeStream.format("parquet").option("checkpointLocation", f"{base}/log").option("path", f"{base}/out").trigger(availableNow=True).start()
     query_.awaitTermination()
@@ -618,7 +643,7 @@ def write_parquet(spark, sf_dir):
 
     from ..sources.io import write_parquet as write
 
-    path = f"{spark.conf.get('spark.checkpoint.dir')}/write-{uuid.uuid4().hex}"
+    path = f"{rows.shared_folder(spark)}/write-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size", "p_brand"), path, partition_by=["p_brand"])
     return read_parquet(spark, path, ["p_partkey", "p_name", "p_size", "p_brand"])
 

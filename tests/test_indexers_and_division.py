@@ -125,3 +125,57 @@ def test_frames_side_by_side_lists_and_null_positions(spark):
         assert [r["k"] for r in frame.argsort(df, "v", ["k"], na_position=place).orderBy("rank").collect()] == want
     with pytest.raises(ValueError):
         frame.argsort(df, "v", ["k"], na_position="middle")
+
+
+def test_reader_and_builder():
+    import pyarrow as pa
+
+    from colkit.functions.udf import Utf8Builder, Utf8Reader
+
+    texts = ["é1", None, "", "日本"]
+    for array in (pa.array(texts), pa.array(["x", *texts])[1:], pa.chunked_array([texts[:2], texts[2:]]), pa.array(texts, pa.large_string())):
+        r = Utf8Reader(array)
+        assert len(r) == 4 and r.is_null(1) and not r.is_null(2) and r.total_bytes() == 9
+        assert [r.byte_length(i) for i in range(4)] == [3, 0, 0, 6] and r.text(0) == "é1" and bytes(r.view(3)) == "日本".encode()
+    assert len(Utf8Reader(pa.array([], pa.string()))) == 0
+    out = Utf8Builder()
+    out.put(0x61)
+    out.put(b"bc")
+    out.end_text()
+    out.put(b"lost")
+    out.end_null()
+    out.end_text()
+    assert out.build().to_pylist() == ["abc", None, ""] and Utf8Builder().build().to_pylist() == []
+    out.put(0xFF)
+    out.end_text()
+    with pytest.raises(pa.ArrowInvalid):
+        out.build()
+
+
+def test_texts_written_batch_by_batch(spark):
+    from colkit.functions.udf import apply_utf8
+
+    df = spark.createDataFrame([(k, None if k % 3 == 0 else f"t{k}") for k in range(10)], "k int, s string").repartition(3)
+
+    def twice(texts, out):
+        for i in range(len(texts)):
+            out.put(texts.view(i))
+            out.put(texts.view(i))
+            out.end_null() if texts.is_null(i) else out.end_text()
+
+    got = {r["k"]: r["v"] for r in df.select("k", apply_utf8(F.col("s"), func=twice).alias("v")).collect()}
+    assert got == {k: None if k % 3 == 0 else f"t{k}" * 2 for k in range(10)}
+    with pytest.raises(Exception, match="0 texts"):
+        df.select(apply_utf8(F.col("s"), func=lambda texts, out: None)).collect()
+
+
+def test_a_chain_numbers_its_rows_once(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(20)], "k int, v double").repartition(3)
+    numbered = rows.with_row_id(df.orderBy(F.desc("k")), ["k"], "at")
+    assert rows.getitem(numbered, "v", -2, "at") == 18.0
+    picked = rows.take(numbered, spark.createDataFrame([(0, 3), (1, -1)], "pos int, idx int"), "at")
+    assert sorted((r["pos"], r["v"]) for r in picked.collect()) == [(0, 3.0), (1, 19.0)]
+    set_ = rows.setitem(numbered, "v", slice(0, 20, 5), -1.0, "at")
+    moved = rows.shift(set_, "v", 1, "at").orderBy("k").collect()
+    assert [r["shifted"] for r in moved] == [None] + [-1.0 if k % 5 == 0 else float(k) for k in range(19)]
+    assert [r["v"] for r in nulls.fill_in_order(numbered.withColumn("v", F.when(F.col("k") % 4 == 0, F.col("v"))), "v", "at").orderBy("k").collect()] == [float(k // 4 * 4) for k in range(20)]
