@@ -166,7 +166,7 @@ def contracted(edges: DataFrame, rounds: int = 3) -> DataFrame:
     kept = None
     for _ in range(rounds):
         low = written(edges.groupBy("a").agg(F.min("b").alias("low")), "pointers")
-        rest = edges.join(low.hint("merge"), "a").where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        rest = edges.join(low, "a").where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         pointers = low.select("a", F.col("low").alias("b"))
         kept = pointers if kept is None else kept.union(pointers)
         edges = written(rest, "edges")

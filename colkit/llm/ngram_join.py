@@ -391,7 +391,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, width: int, name: Callable) -> D
 
     # copies go before the join: a set that very many rows share is one row of it
     found = docs.mapInArrow(sets, "node bigint, items binary").dropDuplicates(["node"])
-    return found.join(nodes.hint("merge"), "node")
+    return found.join(nodes, "node")
 
 
 def _linked(sets: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
@@ -418,7 +418,7 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool)
     Two nodes in different components are not both in their family's largest one, so the nodes outside of it (few, in a group
     of near copies) meet all blocks of their family.
     """
-    wide = sets.where("blocks > 1").select("family", "node", "block", "blocks").join(labels.select(F.col("id").alias("node"), F.col("label").alias("found")).hint("merge"), "node", "left")
+    wide = sets.where("blocks > 1").select("family", "node", "block", "blocks").join(labels.select(F.col("id").alias("node"), F.col("label").alias("found")), "node", "left")
     wide = written(wide.select("family", "node", "block", "blocks", F.coalesce("found", "node").alias("label")), "join-named")
     parts = wide.groupBy("family", "label").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
     largest = parts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.first("blocks").alias("blocks"))
@@ -455,7 +455,7 @@ def _placed(members: DataFrame, n_keys: int) -> DataFrame:
     """(family, node, label, n_shingles) -> the same, blocks, block and key: small families share keys, large ones have a key per block."""
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
     sizes = written(members.groupBy("family").agg(blocks.alias("blocks")), "join-sizes")
-    placed = members.join(sizes.hint("merge"), "family")
+    placed = members.join(sizes, "family")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_keys)))
     return written(placed.select("family", "node", "label", "n_shingles", "blocks", block.alias("block"), key.alias("key")), "join-placed")
@@ -499,7 +499,7 @@ def _candidates(groups: DataFrame, nodes: DataFrame, n_keys: int, num: int, den:
                 differ[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(allowed(differ, na, nb, num, den)), pa.array(edge_names(a, b).view(np.int64))], names=["a", "b", "close", "key"])
 
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")).hint("merge")
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     edges = groups.select("members").mapInArrow(stars, "a bigint, b bigint").distinct()
     judged = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(judge, "a bigint, b bigint, close boolean, key bigint")
     judged = written(judged, "join-judged")
@@ -527,12 +527,12 @@ def _candidates(groups: DataFrame, nodes: DataFrame, n_keys: int, num: int, den:
     families = written(groups.select("family", "open", "members").mapInArrow(doubtful, "family bigint").distinct(), "join-doubtful")
     if families.isEmpty():
         return labels
-    members = groups.select("family", "members").join(families.hint("merge"), "family").mapInArrow(each, "family bigint, node bigint").distinct()
-    members = members.join(labels.select(F.col("id").alias("node"), "label").hint("merge"), "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
+    members = groups.select("family", "members").join(families, "family").mapInArrow(each, "family bigint, node bigint").distinct()
+    members = members.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
     members = written(members, "join-doubts")
     split = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family")
-    members = members.join(written(split, "join-split").hint("merge"), "family").join(nodes.select("node", "n_shingles").hint("merge"), "node")
-    sets = _placed(written(members, "join-doubts"), n_keys).join(nodes.select("node", F.col("sketch").alias("items")).hint("merge"), "node")
+    members = members.join(written(split, "join-split"), "family").join(nodes.select("node", "n_shingles"), "node")
+    sets = _placed(written(members, "join-doubts"), n_keys).join(nodes.select("node", F.col("sketch").alias("items")), "node")
     links, known = _connected(written(sets, "join-sketches"), close, num, den, exact=False)
     return components(links) if known is None else known
 
@@ -592,7 +592,7 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
         # without copies: all columns depend on the node
         nodes = written(table.select("node", "n_shingles", "sketch").where("n_shingles > 0").distinct(), "join-nodes")
         close = _candidates(written(once, "join-groups"), nodes, n_buckets, num, den)
-        members = close.select(F.col("label").alias("family"), F.col("id").alias("node"), F.col("id").alias("label")).join(nodes.select("node", "n_shingles").hint("merge"), "node")
+        members = close.select(F.col("label").alias("family"), F.col("id").alias("node"), F.col("id").alias("label")).join(nodes.select("node", "n_shingles"), "node")
         sets = _sets_of(_placed(members, n_buckets), rows, width, name)
         links, labels = _connected(written(sets, "join-sets"), None, num, den, exact=True)
         labels = components(links) if labels is None else labels
