@@ -84,10 +84,10 @@ def encode_words(words: list[bytes], t: Tables) -> list[bytes]:
     keep = np.flatnonzero(lengths)
     sym = t.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
     word = np.repeat(np.arange(len(words)), lengths)
+    rank = np.full(sym.size, _NONE)
+    rank[:-1] = np.where(word[1:] == word[:-1], t.rank(sym[:-1], sym[1:]), _NONE)
     while keep.size:
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        rank = np.full(sym.size, _NONE)
-        rank[:-1] = np.where(word[1:] == word[:-1], t.rank(sym[:-1], sym[1:]), _NONE)
         best = np.minimum.reduceat(rank, starts)
         sizes = np.diff(np.r_[starts, sym.size])
         done = best == _NONE
@@ -100,16 +100,28 @@ def encode_words(words: list[bytes], t: Tables) -> list[bytes]:
             best, sizes, keep = best[~done], sizes[~done], keep[~done]
             if not keep.size:
                 break
-        hit = rank == np.repeat(best, sizes)
-        where = np.flatnonzero(hit)
+        where = np.flatnonzero(rank == np.repeat(best, sizes))
         where = where[(where - run_starts(where)) % 2 == 0]  # of overlapping occurrences (a run of equal symbols) every other one
-        sym[where] = t.made[rank[where]]
-        stay = np.ones(sym.size, dtype=bool)
-        stay[where + 1] = False
-        sym, word = sym[stay], word[stay]
+        sym, rank, word = merged(sym, rank, where, t, word)
     return out
 
 
+def merged(sym: np.ndarray, rank: np.ndarray, where: np.ndarray, t: Tables, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, ranks and words after the pairs at ``where`` are merged; only pairs with a new symbol are looked up."""
+    sym[where] = t.made[rank[where]]
+    stay = np.ones(sym.size, dtype=bool)
+    stay[where + 1] = False
+    changed = where - np.arange(where.size)  # where they are now: each merge before takes one place
+    sym, rank, word = sym[stay], rank[stay], word[stay]
+    before = changed[changed > 0] - 1
+    pair = np.concatenate([before, changed])
+    rank[pair] = _NONE
+    pair = pair[pair < sym.size - 1]
+    pair = pair[word[pair] == word[pair + 1]]
+    rank[pair] = t.rank(sym[pair], sym[pair + 1])
+    return sym, rank, word
+
+
 def run_starts(where: np.ndarray) -> np.ndarray:
     """For each of these positions, ascending, the first of its run of neighbouring ones."""
     new = np.r_[True, where[1:] != where[:-1] + 1]
@@ -130,24 +142,14 @@ def lowest_within(rank: np.ndarray, reach: int) -> np.ndarray:
 def encode_long(word: bytes, t: Tables) -> bytes:
     """The ids of one long word: each round merges the pairs that are lowest in their window."""
     sym = t.first[np.frombuffer(word, dtype=np.uint8)]
-    rank = np.r_[t.rank(sym[:-1], sym[1:]), _NONE]
+    rank, one = np.r_[t.rank(sym[:-1], sym[1:]), _NONE], np.zeros(sym.size, dtype=np.int8)
     while (rank != _NONE).any():
         where = np.flatnonzero((rank != _NONE) & (rank == lowest_within(rank, t.longest)))
         run = run_starts(where)
         # a run of overlapping occurrences is merged from its first one on, so that one must be among them
         whole = np.where(run > 0, rank[run - 1] != rank[run], True)
         where = where[whole & ((where - run) % 2 == 0)]
-        sym[where] = t.made[rank[where]]
-        stay = np.ones(sym.size, dtype=bool)
-        stay[where + 1] = False
-        changed = np.zeros(sym.size, dtype=bool)
-        changed[where] = True
-        sym, rank, changed = sym[stay], rank[stay], np.flatnonzero(changed[stay])
-        # only pairs with a new symbol have a new rank
-        pair = np.unique(np.r_[changed[changed > 0] - 1, changed])
-        rank[pair] = _NONE
-        pair = pair[pair < sym.size - 1]
-        rank[pair] = t.rank(sym[pair], sym[pair + 1])
+        sym, rank, one = merged(sym, rank, where, t, one)
     return sym.astype("<u4").tobytes()
 
 
