@@ -648,6 +648,32 @@ def write_parquet(spark, sf_dir):
     return read_parquet(spark, path, ["p_partkey", "p_name", "p_size", "p_brand"])
 
 
+@query("SELECT CAST(unnest([1, NULL, 3, NULL, 5]) AS BIGINT) AS value")
+def from_sequence(spark, sf_dir):
+    """A column from Python values, in which None and NaN are missing."""
+    from ..sources.io import from_sequence as make
+
+    return make(spark, [1, None, 3, float("nan"), 5], "int64")
+
+
+@query("SELECT count(*) AS n, CAST(sum(r_regionkey) AS BIGINT) AS s FROM region")
+def to_numpy(spark, sf_dir):
+    from ..sources.io import to_numpy as fetch
+
+    values = fetch(table(spark, sf_dir, "region", "r_regionkey"), "r_regionkey")
+    return spark.createDataFrame([(int(values.size), int(values.sum()))], "n bigint, s bigint")
+
+
+@query("SELECT kind, CAST(3 AS BIGINT) AS n FROM (VALUES ('bool'), ('int64'), ('double'), ('string')) t(kind)")
+def example_values(spark, sf_dir):
+    """Sample columns by type name, with how many rows each has."""
+    from ..sources.io import from_sequence as make
+
+    samples = {"bool": [True, None, False], "int64": [1, None, 2], "double": [0.5, None, 2.5], "string": ["a", None, "b"]}
+    counts = [make(spark, values, kind).select(F.lit(kind).alias("kind"), "value").groupBy("kind").agg(F.count("*").alias("n")) for kind, values in samples.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
 @query("SELECT true AS itself, true AS in_any_order, false AS a_value_changed, false AS a_row_twice")
 def equals(spark, sf_dir):
     df = table(spark, sf_dir, "nation", "n_nationkey", "n_name")
