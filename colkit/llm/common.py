@@ -72,10 +72,15 @@ def register(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, and any executor can read it again."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, and any executor can read it again.
+
+    ``narrow`` rows (a few numbers each, cheap to make) go into an eighth as many files: files cost more than rows there.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if narrow:
+        df = df.coalesce(max(1, partitions(spark) // 8))
     df.write.parquet(path)
     return register(spark, spark.read.schema(df.schema).parquet(path), path)
 
@@ -104,7 +109,7 @@ def picked(table: DataFrame, picks: DataFrame) -> DataFrame:
     keep = [c for c in table.columns if c != "__row"]
     low = F.col("__row").bitwiseAND((1 << BLOCK_BITS) - 1)
     block = F.shiftright("__row", BLOCK_BITS)
-    bitmaps = written(picks.groupBy(block.alias("__block"), "__copy").agg(F.bitmap_construct_agg(low).alias("__bits")), "picks")
+    bitmaps = written(picks.groupBy(block.alias("__block"), "__copy").agg(F.bitmap_construct_agg(low).alias("__bits")), "picks", narrow=True)
 
     def some(rows: DataFrame, maps: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(maps), block == maps["__block"]).where(bit_at(maps["__bits"], low)).select(*[rows[f"`{c}`"] for c in keep])
@@ -165,11 +170,11 @@ def contracted(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """
     kept = None
     for _ in range(rounds):
-        low = written(edges.groupBy("a").agg(F.min("b").alias("low")), "pointers")
+        low = written(edges.groupBy("a").agg(F.min("b").alias("low")), "pointers", narrow=True)
         rest = edges.join(low, "a").where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         pointers = low.select("a", F.col("low").alias("b"))
         kept = pointers if kept is None else kept.union(pointers)
-        edges = written(rest, "edges")
+        edges = written(rest, "edges", narrow=True)
         if edges.isEmpty():
             return kept
     return kept.union(edges)
@@ -185,14 +190,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     with Scratch(edges.sparkSession) as scratch:
         once = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        few = contracted(written(once, "edges"))
-        both = written(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-        labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels")
+        few = contracted(written(once, "edges", narrow=True))
+        both = written(few.union(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", narrow=True)
+        labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label")), "labels", narrow=True)
         for _ in range(max_rounds):
             near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
             hooked = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
             jump = labels.select(F.col("id").alias("label"), F.col("label").alias("far"))
-            step = written(hooked.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+            step = written(hooked.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("far", "label")).alias("label")), "labels", narrow=True)
             if step.where(F.col("was") != F.col("label")).isEmpty():
                 return scratch.keep(step.select("id", "label"), step)
             labels = step.select("id", "label")

@@ -46,7 +46,7 @@ class Level:
 
     def __init__(self, like: DataFrame):
         self.spark, self.schema = like.sparkSession, like.schema
-        self.buckets = partitions(self.spark)
+        self.buckets = max(1, partitions(self.spark) // 4)  # a file for each in each run
         self.name, self.path = f"colkit_lsm_{uuid.uuid4().hex}", new_path(self.spark, "lsm-level")
 
     def flush(self, run: DataFrame) -> None:
@@ -98,7 +98,7 @@ def filter_of(groups: DataFrame) -> tuple[DataFrame, int]:
     """A bit set over the digests of ``groups`` as a written table (piece, bits), and its number of pieces."""
     pieces = min(MOST_PIECES, max(1, -(-16 * groups.count() // 32768)))
     at = F.pmod(F.xxhash64("digest"), F.lit(pieces * 32768)) + 1
-    return written(groups.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), "lsm-filter"), pieces
+    return written(groups.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), "lsm-filter", narrow=True), pieces
 
 
 def with_hits(rows: DataFrame, bits: DataFrame, pieces: int) -> DataFrame:

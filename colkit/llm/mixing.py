@@ -90,10 +90,10 @@ def mix(
         block = F.shiftright(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long"), 32 - bits).alias("block")
         rows = rows.select("*", block)
         # an id that very many rows share has one turn, so a block far too large is dealt out by the texts
-        full = written(rows.groupBy("source", "block").agg(F.count("*").alias("n")).where(F.col("n") > 8 * BLOCK_ROWS).select(F.col("source").alias("of"), F.col("block").alias("hot"), F.ceil(F.col("n") / BLOCK_ROWS).alias("lots")), "mix-hot")
+        full = written(rows.groupBy("source", "block").agg(F.count("*").alias("n")).where(F.col("n") > 8 * BLOCK_ROWS).select(F.col("source").alias("of"), F.col("block").alias("hot"), F.ceil(F.col("n") / BLOCK_ROWS).alias("lots")), "mix-hot", narrow=True)
         low = F.coalesce(F.pmod("tie", "lots"), F.lit(0)).bitwiseAND((1 << 24) - 1)
         rows = rows.join(full, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("hot")), "left").withColumn("block", F.shiftleft("block", 24) + low).drop("of", "hot", "lots")
-        sums = written(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
+        sums = written(rows.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks", narrow=True)
         sources = sums.groupBy("source").agg(F.sum("block_size").alias("source_size"))
         if weights is None:
             weights = cyclic_weights(sources.select("source"))
@@ -110,7 +110,7 @@ def mix(
         offsets = offsets.select("source", "block", (F.col("before") + F.col("inner")).alias("offset"))
         targets = targets.select(F.col("source").alias("named"), "source_size", "target")
         per = offsets.join(targets, F.col("source").eqNullSafe(F.col("named"))).select(F.col("source").alias("named"), F.col("block").alias("at"), "offset", "source_size", "target")
-        per = written(per, "mix-offsets")
+        per = written(per, "mix-offsets", narrow=True)
         inside = Window.partitionBy("source", "block").orderBy("turn", "doc_id", "size", "tie", *also).rowsBetween(Window.unboundedPreceding, 0)
         queued = rows.select("*", F.sum("size").over(inside).alias("sent"))
         queued = queued.join(per, F.col("source").eqNullSafe(F.col("named")) & (F.col("block") == F.col("at"))).select(

@@ -419,10 +419,10 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool)
     of near copies) meet all blocks of their family.
     """
     wide = sets.where("blocks > 1").select("family", "node", "block", "blocks").join(labels.select(F.col("id").alias("node"), F.col("label").alias("found")), "node", "left")
-    wide = written(wide.select("family", "node", "block", "blocks", F.coalesce("found", "node").alias("label")), "join-named")
+    wide = written(wide.select("family", "node", "block", "blocks", F.coalesce("found", "node").alias("label")), "join-named", narrow=True)
     parts = wide.groupBy("family", "label").agg(F.count("*").alias("n"), F.first("blocks").alias("blocks"))
     largest = parts.groupBy("family").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.first("blocks").alias("blocks"))
-    mixed = written(largest.where("top.n < all").select("family", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) * F.col("blocks") / F.col("all")).cast("int").alias("lots"), F.col("blocks").alias("n_blocks")), "join-mixed")
+    mixed = written(largest.where("top.n < all").select("family", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.n")) * F.col("blocks") / F.col("all")).cast("int").alias("lots"), F.col("blocks").alias("n_blocks")), "join-mixed", narrow=True)
     if mixed.isEmpty():
         return None
     members = wide.join(mixed, "family")
@@ -454,11 +454,11 @@ def _across(sets: DataFrame, labels: DataFrame, num: int, den: int, exact: bool)
 def _placed(members: DataFrame, n_keys: int) -> DataFrame:
     """(family, node, label, n_shingles) -> the same, blocks, block and key: small families share keys, large ones have a key per block."""
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    sizes = written(members.groupBy("family").agg(blocks.alias("blocks")), "join-sizes")
+    sizes = written(members.groupBy("family").agg(blocks.alias("blocks")), "join-sizes", narrow=True)
     placed = members.join(sizes, "family")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     key = F.when(F.col("blocks") > 1, F.xxhash64("family", block)).otherwise(F.pmod(F.xxhash64("family"), F.lit(n_keys)))
-    return written(placed.select("family", "node", "label", "n_shingles", "blocks", block.alias("block"), key.alias("key")), "join-placed")
+    return written(placed.select("family", "node", "label", "n_shingles", "blocks", block.alias("block"), key.alias("key")), "join-placed", narrow=True)
 
 
 def _connected(sets: DataFrame, known: DataFrame | None, num: int, den: int, exact: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -524,15 +524,15 @@ def _candidates(groups: DataFrame, nodes: DataFrame, n_keys: int, num: int, den:
                 members = [np.frombuffer(m, np.int64) for m in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(members)), [m.size for m in members]))), pa.array(np.concatenate(members))], names=["family", "node"])
 
-    families = written(groups.select("family", "open", "members").mapInArrow(doubtful, "family bigint").distinct(), "join-doubtful")
+    families = written(groups.select("family", "open", "members").mapInArrow(doubtful, "family bigint").distinct(), "join-doubtful", narrow=True)
     if families.isEmpty():
         return labels
     members = groups.select("family", "members").join(families, "family").mapInArrow(each, "family bigint, node bigint").distinct()
     members = members.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").select("family", "node", F.coalesce("label", "node").alias("label"))
-    members = written(members, "join-doubts")
+    members = written(members, "join-doubts", narrow=True)
     split = members.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("family")
-    members = members.join(written(split, "join-split"), "family").join(nodes.select("node", "n_shingles"), "node")
-    sets = _placed(written(members, "join-doubts"), n_keys).join(nodes.select("node", F.col("sketch").alias("items")), "node")
+    members = members.join(written(split, "join-split", narrow=True), "family").join(nodes.select("node", "n_shingles"), "node")
+    sets = _placed(written(members, "join-doubts", narrow=True), n_keys).join(nodes.select("node", F.col("sketch").alias("items")), "node")
     links, known = _connected(written(sets, "join-sketches"), close, num, den, exact=False)
     return components(links) if known is None else known
 

@@ -78,7 +78,7 @@ def build_templates(shapes: DataFrame, *, min_support: int = MIN_SUPPORT, z_limi
         kids = written(tree.where(here.isNotNull()).groupBy("host", "template", here.alias("seg")).agg(*sums), "url-kids")
         # siblings are pooled by an aggregate and a join: a branch with very many children is not one task
         pool = kids.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-        kids = kids.join(written(pool, "url-pools"), ["host", "template"])
+        kids = kids.join(written(pool, "url-pools", narrow=True), ["host", "template"])
         rest = (F.col("all_labelled") - F.col("labelled")).alias("rest_n"), (F.col("all_blocked") - F.col("blocked")).alias("rest_b")
         kids = kids.select("host", "template", "seg", "n", "labelled", "blocked", *rest, (F.col("all_n") < min_support).alias("few"))
         p = (F.col("blocked") + F.col("rest_b")) / F.nullif((F.col("labelled") + F.col("rest_n")).cast("double"), F.lit(0.0))
@@ -86,7 +86,7 @@ def build_templates(shapes: DataFrame, *, min_support: int = MIN_SUPPORT, z_limi
         gap = _share(F.col("blocked"), F.col("labelled")) - _share(F.col("rest_b"), F.col("rest_n"))
         differs = F.coalesce((spread > 0) & (gap * gap > F.lit(z_limit * z_limit) * spread), F.lit(False))
         own = (F.col("seg") != "*") & ((differs & (F.col("labelled") >= min_support)) | ((F.col("labelled") == 0) & (F.col("n") >= min_support)))
-        known = written(kids.select("host", "template", "seg", "few", own.alias("own")).where("few or own"), "url-literals")
+        known = written(kids.select("host", "template", "seg", "few", own.alias("own")).where("few or own"), "url-literals", narrow=True)
         tree = tree.withColumn("seg", here).join(known, ["host", "template", "seg"], "left")
         left, few = F.size("segs") - level, F.coalesce("few", F.lit(False))
         step = F.when(few, F.repeat(F.lit("/*"), left)).otherwise(F.concat(F.lit("/"), F.when(F.col("own"), F.col("seg")).otherwise(F.lit("*"))))
