@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -89,3 +91,27 @@ def test_ids_with_several_vectors(spark, monkeypatch):
             best = sorted(want[q].items(), key=lambda x: (-x[1], x[0]))[:4]
             assert [i for i, _ in got[q]] == [i for i, _ in best]
             assert [s for _, s in got[q]] == pytest.approx([s for _, s in best], abs=1e-12)
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.1", "/root/testdata/check_l"])
+def test_recall_on_the_given_tables(spark, sf_dir):
+    """Recall at 5 with production parameters, measured against exact search over all rows."""
+    path = f"{sf_dir}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no such table")
+    vectors = spark.read.parquet(path)
+    rows = [(r["vec_id"], r["embedding"]) for r in vectors.collect()]
+    good = {i: np.array(v, dtype=np.float64) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ids = np.array(sorted(good))
+    unit = np.stack([good[i] / np.sqrt(good[i] @ good[i]) for i in ids])
+    got: dict = {}
+    for r in search(vectors, every=50, k=5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = asked = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[k]
+        score[k] = -2
+        hits += len(set(ids[np.lexsort((ids, -score))[:5]].tolist()) & got[int(ids[k])])
+        asked += 5
+    assert hits >= 0.9 * asked, hits / asked
+    print(f"recall at 5 on {len(ids)} rows: {hits / asked:.3f}")
