@@ -587,11 +587,12 @@ def similar_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
             return pa.table({"family": pa.array(family, pa.int64()), "open": pa.array(open_, pa.bool_()), "members": pa.array(members, pa.binary())})
 
         met = rows.mapInArrow(emit, "bucket bigint, lane bigint, kind bigint, nodes binary, times binary, sigs binary").groupBy("bucket", "lane").applyInArrow(meet, "family bigint, open boolean, members binary")
-        groups = written(met, "join-met")
-        once = groups.where("not open").dropDuplicates(["family"]).unionByName(groups.where("open"))
+        # equal groups are one; the rows of a family that has several stay apart by their nodes
+        tie = F.when(F.col("open"), F.xxhash64("members")).otherwise(F.lit(0))
+        groups = written(met.withColumn("tie", tie).dropDuplicates(["family", "tie"]).drop("tie"), "join-groups")
         # without copies: all columns depend on the node
         nodes = written(table.select("node", "n_shingles", "sketch").where("n_shingles > 0").distinct(), "join-nodes")
-        close = _candidates(written(once, "join-groups"), nodes, n_buckets, num, den)
+        close = _candidates(groups, nodes, n_buckets, num, den)
         members = close.select(F.col("label").alias("family"), F.col("id").alias("node"), F.col("id").alias("label")).join(nodes.select("node", "n_shingles"), "node")
         sets = _sets_of(_placed(members, n_buckets), rows, width, name)
         links, labels = _connected(written(sets, "join-sets"), None, num, den, exact=True)
