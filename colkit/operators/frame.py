@@ -31,11 +31,49 @@ def group_apply(df: DataFrame, keys: Sequence[str], func: Callable, schema: str
     return df.groupBy(*keys).applyInPandas(func, schema)
 
 
+#: Rows a side, about, of a cell in which a full outer merge pairs rows of one key.
+SIDE = 2048
+
+
 def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "inner") -> DataFrame:
-    """A join on equality where null meets null."""
+    """A join on equality where null meets null.  Columns of a full outer merge are picked by name, or by ``alias`` of a frame."""
+    if how.lower().replace("_", "") in ("full", "outer", "fullouter") and not (left.isStreaming or right.isStreaming):
+        return _merge_full(left, right, left_on, right_on)
     return left.join(right, left[f"`{left_on}`"].eqNullSafe(right[f"`{right_on}`"]), how)
 
 
+def _merge_full(left: DataFrame, right: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """A left outer join, with a row of nulls added on the left for each key that only the right side has.  Spark's compiled
+    full outer join puts all pairs of a key into memory before it passes on the first, this one those of one left row.
+    A key of over ``SIDE`` rows is dealt out, its left rows to lines and its right rows to columns of a grid, and joined cell
+    by cell, so it is no single task.  Rows are dealt by their content, so that a task that runs again deals them alike;
+    equal rows share a cell."""
+    a, b = F.col(f"`{left_on}`"), F.col(f"`{right_on}`")
+    keys = left.select(a.alias("__key"), F.lit(1).alias("__l"), F.lit(0).alias("__r")).union(right.select(b, F.lit(0), F.lit(1)))
+    kind, one = keys.schema["__key"].dataType, F.lit(1).cast("bigint")
+    groups = keys.groupBy("__key").agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r")).where("__r > 0")
+    sized = groups.select("__key", *[F.greatest(F.ceil(F.col(n) / SIDE), one).alias(m) for n, m in (("__l", "__lines"), ("__r", "__columns"))], (F.col("__l") == 0).alias("__absent"))
+    grids = sized.where("__lines + __columns > 2").drop("__absent")
+
+    def dealt(df: DataFrame, key: Column, side: str, own: str, other: str) -> DataFrame:
+        """Each row in one line (column) of its key's grid and there in every column (line); keys without a grid are one cell."""
+        names = [c.lower() for c in df.columns]
+        content = ["`" + c.replace("`", "``") + "`" for c, t in df.dtypes if names.count(c.lower()) == 1 and "map<" not in t and "variant" not in t]
+        found = df.withColumn(side, key.cast(kind)).join(grids, F.col(side).eqNullSafe(F.col("__key")), "left")
+        every = F.explode(F.sequence(one, F.coalesce(other, one)))
+        placed = found.withColumn(f"{side}_own", F.pmod(F.xxhash64(*content), F.coalesce(own, one)) + 1).withColumn(f"{side}_other", every)
+        return placed.withColumn(f"{side}_grid", F.col(own).isNotNull()).drop("__key", "__lines", "__columns")
+
+    x, y = dealt(left, a, "__x", "__lines", "__columns"), dealt(right, b, "__y", "__columns", "__lines")
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema]
+    x = x.union(sized.where("__absent").select(*nulls, "__key", one, F.explode(F.sequence(one, "__columns")), F.lit(True)))
+    cell = F.col("__x").eqNullSafe(F.col("__y")) & (F.col("__x_own") == F.col("__y_other")) & (F.col("__x_other") == F.col("__y_own"))
+    # A cell can lack right rows, but not the whole grid: its left rows are matched in other cells.  The hint: with one side
+    # broadcast, the cells of the other would stay in the few tasks that read it.
+    pairs = x.join(y.hint("merge"), cell, "left").where(F.col("__y_own").isNotNull() | ~F.col("__x_grid"))
+    return pairs.drop(*[side + part for side in ("__x", "__y") for part in ("", "_own", "_other", "_grid")])
+
+
 def sort_values(df: DataFrame, by: str, ascending: bool = True, tie: str | None = None, key: Callable[[Column], Column] = lambda c: c) -> DataFrame:
     """Nulls last either way."""
     c = key(F.col(f"`{by}`"))
